@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ from .pretoken import BatchEncoder, Vocabulary, cut
 LEXICON_WORDS = 20_000
 #: Longer words stay out of the lexicon and are merged where they occur.
 LONGEST = 64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def vocabulary_path() -> str:
@@ -202,17 +203,18 @@ def _encoder(path: str, name: str, raw: bytes) -> BatchEncoder:
             return np.concatenate([lexicon.flat, flat.astype(np.int32)])[ranges(start, count)].astype(np.uint32), count
 
         _ENCODERS.clear()
-        _ENCODERS[name] = BatchEncoder(encode_words, vocab.added, remember=600_000)
+        _ENCODERS[name] = BatchEncoder(encode_words, vocab.added, remember=300_000)
     return _ENCODERS[name]
 
 
-def encode(docs: DataFrame, lexicon: Lexicon, path: str) -> DataFrame:
-    """Adds ``ids`` (array of int): the tokenizer's ids of the whole ``text``."""
+def encode(docs: DataFrame, lexicon: Lexicon, path: str, check: bool = False) -> DataFrame:
+    """Adds ``ids`` (array of int), the tokenizer's ids of the whole ``text``; ``check`` adds ``decoded``, made from the ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
     raw, name = spark.sparkContext.broadcast(lexicon.dump()), uuid.uuid4().hex
-    kept = [c for c in docs.columns if c != "ids"]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *[T.StructField("decoded", T.StringType())] * check]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *more])
     place = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,30 +225,38 @@ def encode(docs: DataFrame, lexicon: Lexicon, path: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 ids, at = coder.encode([t or "" for t in part.column(place).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *[texts(ids, at, path)] * check], [f.name for f in schema])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``decoded``: the text that ``ids`` stand for (special tokens included)."""
-    schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("decoded", T.StringType())])
+def texts(ids: np.ndarray, at: np.ndarray, path: str) -> pa.Array:
+    """The texts that the ids between each two offsets stand for."""
+    table = vocabulary(path).bytes
+    return pa.array([b"".join([table[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """Adds ``decoded``: the text that ``ids`` stand for, special tokens included."""
+    kept = [c for c in encoded.columns if c != "decoded"]
+    schema = T.StructType([*(encoded.schema[c] for c in kept), T.StructField("decoded", T.StringType())])
+    place = kept.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path).bytes
         for batch in batches:
-            lists = batch.column(len(keep))
-            at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            texts = [b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], [*keep, "decoded"])
+            lists = pc.fill_null(batch.column(place), [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts(lists.values.to_numpy(), lists.offsets.to_numpy(), path)], [*kept, "decoded"])
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+    bounded_batches(encoded.sparkSession)
+    return encoded.select(*kept).mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = documents(spark, sf_dir), vocabulary_path()
-    ids = encode(docs.select("doc_id", "text"), build_lexicon(docs, path), path)
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    out = decode(ids, path, ["doc_id", "n_tokens", "ids_sha256"])
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    rows = encode(docs.select("doc_id", "text"), build_lexicon(docs, path), path, check=True)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .classifier import op9_quality_classifier
+from .quality import op4_quality_rules
 from .tokencount import op7_token_counts
 from .tokenfile import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_quality_rules": op4_quality_rules,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .classifier import op9_quality_classifier
+from .dedup import OP10_SQL, op10_exact_dedup
+from .mixing import OP8_SQL, op8_mix
+from .pii import op5_pii
 from .quality import op4_quality_rules
 from .tokencount import op7_token_counts
 from .tokenfile import op6_token_files
@@ -15,9 +18,12 @@ from .tokenfile import op6_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_mix": op8_mix,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}

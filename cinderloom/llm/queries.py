@@ -10,6 +10,7 @@ from .bpe import op1_bpe
 from .classifier import op9_quality_classifier
 from .dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP8_SQL, op8_mix
+from .ngram_join import op2_ngram_join
 from .pii import op5_pii
 from .quality import op4_quality_rules
 from .tokencount import op7_token_counts
@@ -17,6 +18,7 @@ from .tokenfile import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,

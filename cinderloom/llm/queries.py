@@ -13,12 +13,14 @@ from .mixing import OP8_SQL, op8_mix
 from .ngram_join import op2_ngram_join
 from .pii import op5_pii
 from .quality import op4_quality_rules
+from .suffix_dedup import op3_suffix_dedup
 from .tokencount import op7_token_counts
 from .tokenfile import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,

@@ -25,13 +25,16 @@ SEED = 17
 BUCKET_DIGITS = 2
 #: Sources up to which their rows are broadcast (some 100 bytes each); above, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Names that the result has of its own; columns of the input with such names are left out.
+OWN = {"size", "mark", "source_size", "weight", "target", "taken", "epochs", "missing", "end_bucket", "before", "head", "left"}
 
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, source and size (words) of each document, and its seeded digest."""
     size = F.regexp_count(body(), F.lit(WORD)).cast("long")
     mark = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(*keep, "source", size.alias("size"), mark.alias("mark"))
+    names = dict.fromkeys([*(c for c in keep if c not in OWN), "source"])
+    return docs.select(*names, size.alias("size"), mark.alias("mark"))
 
 
 def targets(sized: DataFrame, share: float = 1.0) -> DataFrame:
@@ -48,7 +51,6 @@ def targets(sized: DataFrame, share: float = 1.0) -> DataFrame:
     wanted = share * float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     full: Column = F.lit(False)
     target = F.lit(0.0)
-    level = None
     while True:
         spent, rest = sources.agg(
             F.coalesce(F.sum(F.when(full, MAX_EPOCHS * F.col("source_size"))), F.lit(0)),
@@ -65,7 +67,7 @@ def targets(sized: DataFrame, share: float = 1.0) -> DataFrame:
 
 def mix(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, source, size, source_size, target and taken of each document."""
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, [c for c in dict.fromkeys(keep) if c not in OWN]
     sized = stage(spark, sizes(docs, *keep), "mix_sizes")
     sources = targets(sized)
     whole = F.floor(F.col("target") / F.col("source_size"))

@@ -231,7 +231,7 @@ class Vocabulary:
 class BatchEncoder:
     """Encodes batches of texts; ``encode_words`` gets the distinct words that are not remembered."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 400_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 900_000):
         self.encode_words, self.added, self.remember = encode_words, added, remember
         self.forget()
 

@@ -47,7 +47,7 @@ def write_flat(docs: DataFrame, path: str, encoder: Callable[[], BatchEncoder],
 
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 2 << 20):
                 ids, at = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 flat = np.insert(ids, at[1:], separator).astype(kind)
                 ends = np.concatenate([ends, len(rest) + at[1:] + np.arange(len(at) - 1)])

@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], BatchEnc
 
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 2 << 20):
                 ids, at = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 for name, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     names.append(name)

@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.greatest(rest, F.lit(1)).cast("string"), F.lit("}+"))
-    head = F.regexp_extract(F.col("text"), pattern, 0)
+    head = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
     copies = F.array_repeat(F.col("text"), whole)
     texts = F.when(rest > 0, F.concat(copies, F.array(head))).otherwise(copies)
     rows = taken.select(*(c for c in COLUMNS if c != "text"), F.explode(texts).alias("text"))

@@ -1,0 +1,144 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cinderloom.llm import classifier, pii, quality
+from cinderloom.llm.common import utf8
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base_measures(text):
+    words = WORD.findall(text or "")
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    inside = {j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            lines += line in seen
+            seen.add(line)
+    return [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), lines, len(inside)]
+
+
+def test_op4_on_awkward_rows(spark, landed, awkward_rows):
+    got = quality.op4_quality_rules(spark, landed["awkward"]).collect()
+    want = sorted(([d, *base_measures(t)] for d, t, *_ in awkward_rows), key=str)
+    assert sorted(([r.doc_id, *(r[m] for m in quality.MEASURES[:5])] for r in got), key=str) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert quality.op4_quality_rules(spark, landed["empty"]).count() == 0
+
+
+def test_measures_of_random_texts():
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("ab \n#é") for _ in range(rnd.randrange(300))) for _ in range(300)]
+    found = quality.measure(*utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert [int(found[m][i]) for m in quality.MEASURES[:5]] == base_measures(t)
+
+
+def test_coverage_counts_repeated_ngrams_only():
+    once = " ".join(f"w{i}" for i in range(100))
+    part = " ".join(f"w{i}" for i in range(12))
+    found = quality.measure(*utf8(pa.array([once, f"{once} {part}"])))
+    assert found["gram10_chars"].tolist() == [0, 2 * len(part.replace(" ", ""))]
+    assert found["gram20_chars"].tolist() == [0, 0]
+
+
+def test_quality_passes_other_columns_through(clashing):
+    rows = quality.judged(quality.measures(clashing))
+    assert rows.count() == clashing.count()
+    assert {"lang", "size", "n_words"} <= set(rows.columns)
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "phone":
+        return 8 <= len(digits) <= 15
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+    return True
+
+
+def base_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m.group())]
+
+
+def test_op5_against_plain_regular_expressions(spark):
+    rnd = random.Random(3)
+    parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "007.0.0.1", "4111 1111 1111 1111", "4111111111111112", "+1 (706) 555-3138", "+12", ".", "-", " ", "1", "é", "😀", "4242-4242-4242-4242", "1.2.3.4.5.6.7.8", "a@b.com_x@c.de", "a@b.c@d.e", "\n", "12 34", "+49.30.1234567-"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(600)] + [None, "", "a" * 50_000, "1" * 50_000, "a.b" * 5000 + "@c" + ".d" * 9000, "1 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = pii.spans(docs)
+    kinds = [k for k in pii.KINDS if k.base]
+    rows = found.select("doc_id", pii.listed(kinds).alias("base")).collect()
+    assert {r.doc_id: r.base for r in rows} == {i: ",".join(base_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_validators_and_context(spark):
+    texts = ["my IBAN is GB82 WEST 1234 5698 7654 32 ok", "GB82 WEST 1234 5698 7654 33", "SSN: 123-45-6789", "code 123-45-6789", "amex card 378282246310005", "number 378282246310005"]
+    rows = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r.iban) for r in rows] == [1, 0, 0, 0, 0, 0]
+    assert [len(r.national_id) for r in rows] == [0, 0, 1, 0, 0, 0]
+    assert [len(r.short_card) for r in rows] == [0, 0, 0, 0, 1, 0]
+    assert rows[0].iban[0].value == "GB82 WEST 1234 5698 7654 32" and rows[0].iban[0].start == 11
+    assert rows[0].iban[0].score > 1
+
+
+def test_op5_on_awkward_rows(spark, landed, awkward_rows, clashing):
+    rows = pii.op5_pii(spark, landed["awkward"]).collect()
+    want = sorted((str(d), hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()) for d, t, *_ in awkward_rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in rows) == want
+    assert pii.op5_pii(spark, landed["empty"]).count() == 0
+    assert pii.spans(clashing).count() == clashing.count()
+
+
+def test_classifier_ranks_held_out_documents():
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    grade = np.where(docs.toxic == 1, 0, np.where(docs.quality == 0, 1, 2))
+    flat, at = classifier.features(*utf8(pa.array(docs.text.tolist())))
+    cut = len(docs) * 3 // 4
+    model = classifier.Ordinal().fit(flat[: at[cut]], at[: cut + 1], grade[:cut])
+    tails = model.tails(model.score(flat[at[cut] :], at[cut:] - at[cut]))
+    assert (np.diff(model.cuts) >= 0).all() and (tails[:, 0] >= tails[:, 1]).all()
+    assert ((tails[:, -1] >= classifier.KEEP) == (grade[cut:] == 2)).mean() > 0.93
+    assert (tails[grade[cut:] == 2, -1] >= classifier.KEEP).mean() > 0.98  # clean documents stay
+
+
+def test_classifier_on_awkward_rows(spark, clashing, empty):
+    labels = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (3, 1, 1), (5, 1, 0), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
+    model = classifier.train(clashing, labels)
+    rows = classifier.scored(clashing, model)
+    assert rows.count() == clashing.count()
+    assert rows.where(F.isnan("p_top") | F.col("p_top").isNull()).count() == 0
+    bare = classifier.train(clashing, labels.limit(0))
+    assert (bare.weights == 0).all()
+    assert [round(r.expected_grade, 6) for r in classifier.scored(clashing, bare).select("expected_grade").distinct().collect()] == [1.0]
+    assert classifier.scored(empty, model).count() == 0
+
+
+def test_classifier_fit_does_not_depend_on_row_order(spark, awkward):
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(12)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) as toxic")
+    docs = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
+    a, b = classifier.train(docs, labels), classifier.train(docs.orderBy(F.desc("doc_id")), labels)
+    assert (a.weights == b.weights).all() and (a.cuts == b.cuts).all()
+
+
+@pytest.mark.parametrize("grades", [2, 4])
+def test_equal_chances_without_weights(grades):
+    model = classifier.Ordinal(grades, 4)
+    tails = model.tails(np.zeros(1))[0]
+    assert np.allclose(-np.diff([1, *tails, 0]), 1 / grades)

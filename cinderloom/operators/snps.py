@@ -32,7 +32,7 @@ def first_snps(snps: DataFrame, n: int) -> DataFrame:
 
 def draw(snp_id: Column, seed: int) -> Column:
     """A seeded number that orders markers at random, the same in any engine."""
-    return (snp_id * F.lit(1103515245) + F.lit(seed * 12345)) % F.lit(2147483648)
+    return (snp_id * F.lit(1103515245) + F.lit(seed * 1013904223)) % F.lit(2147483648)
 
 
 def sampled_snps(snps: DataFrame, n: int, seed: int) -> DataFrame:

@@ -106,7 +106,7 @@ def auto_tau(confident: DataFrame, alpha: float) -> DataFrame:
     s = F.col("s0") + F.coalesce(F.sum(F.col("e") * F.col("n")).over(before), F.lit(0.0))
     good = inside.select("e", ((s + F.col("e")) / (n + 1)).alias("mean")).where(F.col("mean") <= alpha)
     cut = F.least(F.greatest(1 - F.max("e"), F.lit(TAU_LOW)), F.lit(TAU_HIGH))
-    return good.agg(F.coalesce(cut, F.lit(TAU_NONE)).alias("tau"))
+    return good.agg(F.when(F.count("*") > 0, cut).otherwise(TAU_NONE).alias("tau"))
 
 
 def tau_input(fits: DataFrame, r_min: int, markers: int = TAU_MARKERS) -> DataFrame:

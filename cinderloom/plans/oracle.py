@@ -173,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
     "raw_gate": _with(PROBES, select=f"SELECT snp_id, sample_idx, CAST(red + grn AS BIGINT) AS raw, red + grn >= {CFG.r_min} AS pass_raw FROM probes"),
     "log_intensity_stats": _with(PROBES, select="SELECT sample_idx, count(*) AS n, round(avg(ln(red + grn + 1)), 6) AS mean_z, round(var_pop(ln(red + grn + 1)), 6) AS var_z FROM probes GROUP BY sample_idx"),
     "first_snps": _with(PROBES, select=f"SELECT snp_id FROM common ORDER BY snp_id LIMIT {LIMIT}"),
-    "sampled_snps": _with(PROBES, select=f"SELECT snp_id FROM common ORDER BY (snp_id * 1103515245 + {CFG.seed * 12345}) % 2147483648, snp_id LIMIT {LIMIT}"),
+    "sampled_snps": _with(PROBES, select=f"SELECT snp_id FROM common ORDER BY (snp_id * 1103515245 + {CFG.seed * 1013904223}) % 2147483648, snp_id LIMIT {LIMIT}"),
     "bad_snp_antijoin": _with(PROBES, select="SELECT snp_id FROM common WHERE snp_id NOT IN (SELECT p_partkey FROM part WHERE p_size % 7 = 0)"),
     "channel_pairs": """
 WITH f AS (
@@ -203,7 +203,7 @@ SELECT sample_idx, count(*) AS total_snps, count(*) FILTER (pass_raw) AS pass_ra
   {CFG.r_min} AS r_min_used, CAST({CFG.p_min} AS DOUBLE) AS tau_used
 FROM calls GROUP BY sample_idx"""),
     "auto_tau": _with(*_FITS, select=f"""
-SELECT round(coalesce(least(greatest(1 - max(e) FILTER (mean <= {CFG.alpha}), 0.85), 0.9999), 0.99), 4) AS tau FROM (
+SELECT round(CASE WHEN count(*) FILTER (mean <= {CFG.alpha}) > 0 THEN least(greatest(1 - max(e) FILTER (mean <= {CFG.alpha}), 0.85), 0.9999) ELSE 0.99 END, 4) AS tau FROM (
   SELECT e, avg(e) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS mean FROM (
     SELECT greatest(least(1 - post, 1), 0) AS e FROM post WHERE raw >= {CFG.r_min} AND snp_id IN (SELECT snp_id FROM common ORDER BY snp_id LIMIT 10000)))"""),
     "rmin_per_sample": _with(PROBES, FLOORS, select="SELECT sample_idx, r_min FROM floors"),

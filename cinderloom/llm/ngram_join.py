@@ -384,3 +384,25 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir))
+
+
+#: The same rows where doc_id is unique and not null: all pairs with a common 5-gram are counted, and links are followed.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS size FROM d),
+t AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, i, size, concat_ws(' ', word, lead(word, 1) OVER v, lead(word, 2) OVER v, lead(word, 3) OVER v, lead(word, 4) OVER v) AS gram
+    FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)) WHERE i = 1 OR i + 4 <= size),
+s AS (SELECT d.doc_id, count(gram) AS n, md5(string_agg(gram, '|' ORDER BY gram)) AS grams FROM d LEFT JOIN t USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT min(doc_id) AS rep_id, count(*) AS n_copies, n, grams FROM s WHERE n > 0 GROUP BY grams, n),
+g AS (SELECT rep_id, n, gram FROM k JOIN t ON t.doc_id = k.rep_id),
+p AS (
+  SELECT a.rep_id AS a, b.rep_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.rep_id <> b.rep_id
+  GROUP BY a.rep_id, b.rep_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+reach AS (SELECT rep_id AS a, rep_id AS b FROM k UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a),
+c AS (SELECT a AS rep_id, min(b) AS class_id FROM reach GROUP BY a),
+n AS (SELECT a AS rep_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT s.doc_id, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(k.rep_id, s.doc_id) AS rep_id, coalesce(k.n_copies, 1) AS n_copies, coalesce(n.n_links, 0) AS n_links
+FROM s LEFT JOIN k USING (grams) LEFT JOIN c ON c.rep_id = k.rep_id LEFT JOIN n ON n.rep_id = k.rep_id
+"""

@@ -111,3 +111,34 @@ def judged(measured: DataFrame) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(measures(documents(spark, sf_dir).select("doc_id", "text")))
     return rows.drop("text")
+
+
+def _grams_sql(k: int) -> str:
+    gram = ", ".join(f"lead(word, {o}) OVER v" for o in range(1, k))
+    return f"""
+g{k} AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n
+  FROM (SELECT doc_id, i, concat_ws(' ', word, {gram}) AS gram, size FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)) WHERE i + {k - 1} <= size),
+c{k} AS (
+  SELECT doc_id, count(*) AS words, sum(len(word)) AS chars FROM x
+  JOIN (SELECT DISTINCT doc_id, i + o AS i FROM g{k}, range({k}) AS q(o) WHERE n > 1) p USING (doc_id, i) GROUP BY doc_id)"""
+
+
+_SQL_LIMITS = " OR ".join([f"100 * line_chars > {LINE_LIMIT} * word_chars", *(f"100 * gram{k}_chars > {limit} * word_chars" for k, limit in COVERAGE_LIMITS.items())])
+#: The same rows where doc_id is unique.
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS size FROM d),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+e AS (
+  SELECT doc_id, count(*) AS lines, sum(len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) WHERE k > 1 GROUP BY doc_id),
+{",".join(map(_grams_sql, COVERAGE_LIMITS))},
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(e.lines, 0) AS n_dup_lines, coalesce(c5.words, 0) AS n_repeat_words,
+    CAST(coalesce(e.chars, 0) AS BIGINT) AS line_chars, {", ".join(f"CAST(coalesce(c{k}.chars, 0) AS BIGINT) AS gram{k}_chars" for k in COVERAGE_LIMITS)}
+  FROM d LEFT JOIN e USING (doc_id) {" ".join(f"LEFT JOIN c{k} USING (doc_id)" for k in COVERAGE_LIMITS)}),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_LIMIT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT ({_SQL_LIMITS}) AS kept FROM b
+"""

@@ -10,9 +10,9 @@ from .bpe import op1_bpe
 from .classifier import op9_quality_classifier
 from .dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP8_SQL, op8_mix
-from .ngram_join import op2_ngram_join
+from .ngram_join import OP2_SQL, op2_ngram_join
 from .pii import op5_pii
-from .quality import op4_quality_rules
+from .quality import OP4_SQL, op4_quality_rules
 from .suffix_dedup import op3_suffix_dedup
 from .tokencount import op7_token_counts
 from .tokenfile import op6_token_files
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_mix": OP8_SQL, "op10_exact_dedup": OP10_SQL}

@@ -107,7 +107,7 @@ def test_mix_leaves_clashing_columns_out(clashing):
     assert rows.count() == clashing.count() and rows.columns.count("size") == 1
 
 
-@pytest.mark.parametrize("name", ["op8_mix", "op10_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     from cinderloom.llm.queries import QUERIES
 

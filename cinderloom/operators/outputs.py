@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import CohortConfig
 from ..functions.features import snp_name
+from . import gates
 
 
 def wide_calls(called: DataFrame, samples: list[int], prefix: str = "s") -> DataFrame:
@@ -53,3 +54,10 @@ def marker_dump(called: DataFrame, snp_id: int, tau: float, r_min: int) -> DataF
     """All samples of one marker, for looking at."""
     rows = called.where(F.col("snp_id") == snp_id)
     return rows.select("snp_id", snp_name(F.col("snp_id")).alias("name"), "sample_idx", F.col("x").alias("theta"), F.col("y").alias("r"), "lab", F.col("post").alias("posterior"), "maha_gated", F.col("raw").alias("raw_sum"), F.col("call").alias("final_call"), F.lit(tau).alias("tau"), F.lit(r_min).alias("r_min"))
+
+
+def marker_centres(fits: DataFrame, snp_id: int, cfg: CohortConfig, tau: float) -> DataFrame:
+    """The fitted and the refined centre of each component of one marker, with its genotype."""
+    rows = gates.refined_markers(fits.where(F.col("snp_id") == snp_id), cfg, F.lit(tau))
+    rows = rows.select("snp_id", F.posexplode(F.arrays_zip("comps", "centres", "geno")).alias("comp", "c"))
+    return rows.select("snp_id", "comp", "c.geno", F.col("c.comps.mx").alias("mean_x"), F.col("c.comps.my").alias("mean_y"), F.col("c.centres.mx").alias("refined_x"), F.col("c.centres.my").alias("refined_y"))

@@ -59,6 +59,11 @@ def run(probes: DataFrame, cfg: CohortConfig | None = None, bad: DataFrame | Non
     return Run(called, gates.sample_summary(called, tau, r_min), gates.marker_summary(called), fits, tau, r_min, timer)
 
 
+def preflight_floor(spark: SparkSession, root: str, first: int = 0, formula: str = "reference") -> int:
+    """The intensity floor that a run over the files below ``root`` would learn, without fitting anything."""
+    return int(thresholds.cohort_floor(idat.read_probes(spark, root, first), formula).first()[0])
+
+
 def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConfig | None = None, feedback_in: str | None = None, feedback_out: str | None = None, bad_in: str | None = None, bad_out: str | None = None) -> Run | None:
     """The command line's run: files below ``root``, results below ``out_dir``.  None if there is no pair of files."""
     cfg = cfg or CohortConfig()
@@ -85,6 +90,7 @@ def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConf
             outputs.plot_points(done.calls, cfg).write.mode("overwrite").parquet(f"{out_dir}/plot_points")
     if cfg.debug_snp is not None:
         with done.timer.span("debug_csv_one_snp"):
+            outputs.marker_centres(done.fits, cfg.debug_snp, cfg, done.tau).coalesce(1).write.mode("overwrite").csv(f"{out_dir}/debug_snp_{cfg.debug_snp:08d}_centres", header=True)
             outputs.marker_dump(done.calls, cfg.debug_snp, done.tau, done.r_min).coalesce(1).write.mode("overwrite").csv(f"{out_dir}/debug_snp_{cfg.debug_snp:08d}", header=True)
     times = done.timer.frame(spark)
     times.coalesce(1).write.mode("overwrite").csv(f"{out_dir}/timings", header=True)

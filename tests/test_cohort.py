@@ -91,6 +91,9 @@ def test_run_from_files_twice(spark, array_root, tmp_path):
     assert {r.label for r in done.timer.frame(spark).collect()} >= {"load_samples", "common_ids", "chunk_cluster_em_bic"}
     first = {r.snp_id: r.seen for r in state.read_feedback(spark, feedback_path).collect()}
     assert set(first.values()) == {6}
+    centres = spark.read.csv(str(tmp_path / "out/debug_snp_00000005_centres"), header=True)
+    assert 1 <= centres.count() <= 3 and {r.geno for r in centres.collect()} <= set(gates.CALLS)
+    assert 300 <= cohort.preflight_floor(spark, array_root, 2) <= 800
     qc = spark.read.csv(str(tmp_path / "out/cohort_qc_summary"), header=True)
     assert qc.columns[0] == "Sample" and qc.count() == 6 and all(len(r.call_rate_tau.split(".")[1]) == 6 for r in qc.collect())
     cohort.run_from_files(spark, a.root, str(tmp_path / "out2"), cfg, feedback_path, feedback_path + "2", bad_path, bad_path + "2")

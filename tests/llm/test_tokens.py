@@ -28,8 +28,10 @@ def test_character_classes_follow_the_library(library):
             assert len(library.pre_tokenizer.pre_tokenize_str("a1!\n"[kinds[c]] + chr(c))) == 1, hex(c)
 
 
-def test_batch_encoder_equals_the_library(library, vocab):
-    coder = BatchEncoder(lambda words: vocab.merge_all([w.encode() for w in words]), vocab.added, remember=50)
+@pytest.mark.parametrize("own", [True, False])
+def test_batch_encoder_equals_the_library(library, vocab, own):
+    encode_words = (lambda words: vocab.merge_all([w.encode() for w in words])) if own else library_encoder(bpe.vocabulary_path()).encode_words
+    coder = BatchEncoder(encode_words, vocab.added, remember=50)
     rnd, signs = random.Random(1), "ab 's'tredlvm  \n\t!1é<|endoftext|> 　漢😀ß"
     for _ in range(60):
         texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) + rnd.choice(["", "<|endoftext|>", "'ll x", "  "]) for _ in range(20)]
@@ -135,3 +137,11 @@ def test_separator_scan_of_an_open_end(spark):
     assert got == [(0, 0, 0, 1, True), (0, 1, 2, 4, True), (0, 2, 7, 0, True)]
     got = sorted(tuple(r)[:5] for r in tokencount.count_tokens(blocks.where("block < 2"), separator=9).collect())
     assert got == [(0, 0, 0, 1, True), (0, 1, 2, 3, False)]
+
+
+def test_frequent_words_are_whole_classes_that_fit(spark):
+    texts = ["a " * 40 + "b " * 39 + "c " * 8 + "d e f"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(bpe.frequent_words(docs, 10)) == [("a", 80), ("b", 78), ("c", 16), ("d", 2), ("e", 2), ("f", 2)]
+    assert sorted(bpe.frequent_words(docs, 5)) == [("a", 80), ("b", 78), ("c", 16)]
+    assert bpe.frequent_words(docs, 0) == [] and bpe.frequent_words(docs.limit(0), 5) == []

@@ -21,7 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, body, documents, shared_dir, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, its memory bounded for each executor; files are not allocated ahead, as there may be many small stores.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -78,7 +84,7 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200"}):
+    with _settings(spark, **STATE_STORE):
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     kind = "digest string, best struct<points: long, low: long, doc_id: long, at: struct<file: string, row: long>>, n long, batch long"

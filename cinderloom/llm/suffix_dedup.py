@@ -33,8 +33,8 @@ from .common import CHARS, body, bounded_batches, chunks, documents, mix, prefix
 LENGTH, GRAM = 200, 50
 #: Offsets that a string's anchor can have in it: 0 .. REACH - 1.
 REACH = LENGTH - GRAM + 1
-#: Contexts of a bucket that are refined in one task; larger buckets are halved.
-SMALL = 64
+#: Contexts of a bucket that are refined in one task (under 1 MB of bytes); larger buckets are halved.
+SMALL = 2048
 CHUNK_BYTES, PIECE_BYTES = 1 << 20, 1 << 22
 _PLACE_BITS = np.uint64(24)
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -193,14 +193,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select(text_key().alias("key"), body().alias("text"))
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(find, "bucket long, context long, key long, place long")
     often = found.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    met = stage(spark, found.join(often, "bucket"), "repeats_met")
-    contexts = met.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
-    kinds = contexts.groupBy("bucket").agg(F.count("*").alias("k"))
-    contexts = stage(spark, contexts.join(kinds, "bucket"), "repeats_contexts")
+    # Sums are written before they are joined: then both sides of the join are shuffles, and Spark can split a large bucket.
+    met = stage(spark, found.join(stage(spark, often, "repeats_often"), "bucket"), "repeats_met")
+    contexts = stage(spark, met.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")), "repeats_contexts")
+    kinds = stage(spark, contexts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "repeats_kinds")
     whole = met.join(contexts.where("n > 1").select("bucket", "context"), ["bucket", "context"]).select("key", "place").distinct()
     low, high = F.expr("(place >> 8) & 255"), F.expr("place & 255")
     whole = whole.select("key", (F.expr("place >> 16") - high).alias("start"), (F.expr("place >> 16") - low + LENGTH).alias("end"))
-    mixed = contexts.where("k > 1").select(F.col("one.key").alias("key"), F.struct("bucket", F.col("one.place").alias("place"), "n", "k").alias("x"))
+    mixed = contexts.join(kinds, "bucket").select(F.col("one.key").alias("key"), F.struct("bucket", F.col("one.place").alias("place"), "n", "k").alias("x"))
     mixed = mixed.groupBy("key").agg(F.collect_list("x").alias("found"))  # a text's own anchors
     cuts = texts.join(mixed, "key").select("key", "text", "found").mapInArrow(cut, _CONTEXT).dropDuplicates(["node", "place", "key"])
     cuts = stage(spark, cuts.join(kinds.withColumnRenamed("bucket", "node"), "node"), "repeats_cuts")
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     while not large.isEmpty():
         halves = stage(spark, large.mapInArrow(_halve, f"{_CONTEXT}, content long"), "repeats_halves")
         sizes = halves.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("all"), (F.min("content") == F.max("content")).alias("even"))
-        halves = stage(spark, halves.join(sizes.where(F.col("all") > 1), "node"), "repeats_nodes")
+        halves = stage(spark, halves.join(stage(spark, sizes.where(F.col("all") > 1), "repeats_sizes"), "node"), "repeats_nodes")
         least, most = F.greatest(low, F.col("low")), F.least(high, F.col("high"))
         even = halves.where("even and n = 1")
         spans.append(even.select("key", (F.expr("place >> 16") - most).alias("start"), (F.expr("place >> 16") - least + LENGTH).alias("end")))

@@ -201,7 +201,8 @@ def candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
     rows = sets.mapInArrow(begin, "node long, set long")
     for level in range(1, LEVELS + 1):
         rows = stage(spark, rows, "join_rows")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("top")).where("n > 1")
+        # Sums are written before they are joined: then both sides of the join are shuffles, and Spark can split a large node.
+        sizes = stage(spark, rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("top")).where("n > 1"), "join_sizes")
         met = stage(spark, rows.join(sizes, "node"), "join_nodes")
         few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
         # Nodes with the same sets are compared once.
@@ -214,6 +215,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         if many.isEmpty():
             break
         tops = many.select("top").distinct().join(sets, F.col("top") == F.col("set")).select("top", F.col("vector").alias("top_vector"))
+        tops = stage(spark, tops, "join_tops")
         judged = many.select("node", "set", "top").join(sets, "set").join(tops, "top").select("node", "set", "top", "vector", "top_vector")
         judged = stage(spark, judged.mapInArrow(pivot, "set long, top long, near boolean, next array<long>"), "join_pivots")
         edges.append(judged.where("near and set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
@@ -326,7 +328,8 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     part = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("set"), parts)).otherwise(-1).cast("int")
     placed = stage(spark, wanted.join(sizes, "root").select("set", "id", "root", part.alias("part")), "join_groups")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), body().alias("text"))
-    sets = text.join(placed, "id").select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
+    # The same plan at every size: no broadcast where the groups happen to be few.
+    sets = text.join(placed.hint("merge"), "id").select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
     sets = stage(spark, sets, "join_sets").dropDuplicates(["set"])
     result = "set long, label long, n_links long"
     few = sets.where("part < 0").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set").mapInArrow(whole, result)

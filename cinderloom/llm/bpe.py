@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, bounded_batches, chunks, documents, ranges, utf8
+from .common import body, bounded_batches, chunks, documents, ranges, stage, utf8
 from .pretoken import BatchEncoder, Vocabulary, cut
 
 #: Words in the lexicon: bounds what the driver gathers and sends (some 2 MB), whatever the corpus is.
@@ -165,15 +165,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(body().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, size: int) -> list[tuple[str, int]]:
+    """The most frequent words, ``size`` at most: whole classes of about equal counts, as many as fit.
+
+    Only the sizes of the classes (at most a thousand) and the chosen words come to the driver.
+    """
+    counts = stage(docs.sparkSession, word_counts(docs).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "bpe_counts")
+    room, least = size, None
+    for row in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["class"]
+    return [] if least is None else [(r.word, r.n) for r in counts.where(F.col("class") >= least).select("word", "n").collect()]
+
+
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> Lexicon:
-    """The ``size`` most frequent words of the corpus (ties: by code point), cut by the tokenizer's word rule."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
+    """The frequent words of the corpus, cut by the tokenizer's word rule, with their ids."""
     pieces: Counter = Counter()
-    for row in top:
-        spaced = " " + row.word
+    for word, n in frequent_words(docs, size):
+        spaced = " " + word
         at = [*cut(np.frombuffer(spaced.encode("utf-32-le"), np.uint32), np.array([0, len(spaced)])).tolist(), len(spaced)]
         for a, b in zip(at, at[1:], strict=False):
-            pieces[spaced[a:b].encode()] += row.n
+            pieces[spaced[a:b].encode()] += n
     pieces = {w: n for w, n in pieces.items() if len(w) <= LONGEST}
     words = sorted(w for w, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0]))[:size])
     vocab = vocabulary(path)

@@ -228,25 +228,38 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
+#: Words that the library gets in one text.
+JOINED = 256
+
+
 class BatchEncoder:
     """Encodes batches of texts; ``encode_words`` gets the distinct words that are not remembered."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 900_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 400_000):
         self.encode_words, self.added, self.remember = encode_words, added, remember
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.used = self.words = 0
-        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.first, self.count, self.met = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _shrink(self) -> None:
+        """Keep the words that more than one batch had, half of the room at most."""
+        names, met = list(self.place), self.met[: self.words].copy()
+        kept = np.flatnonzero(met > 1)
+        if len(kept) > self.remember // 2:
+            kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: self.remember // 2]])
+        count, ids = self.count[kept], self.flat[ranges(self.first[kept], self.count[kept])]
+        self.forget()
+        self._add([names[i] for i in kept.tolist()], ids, count)
 
-    def _learn(self, words: list[str]) -> None:
-        ids, count = self.encode_words(words)
-        for name, size in (("first", self.words + len(words)), ("count", self.words + len(words)), ("flat", self.used + len(ids))):
+    def _add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        for name, size in (("first", self.words + len(words)), ("count", self.words + len(words)), ("met", self.words + len(words)), ("flat", self.used + len(ids))):
             if size > len(old := getattr(self, name)):
                 setattr(self, name, np.resize(old, 2 * size))
         new = slice(self.words, self.words + len(words))
-        self.flat[self.used : self.used + len(ids)], self.count[new] = ids, count
+        self.flat[self.used : self.used + len(ids)], self.count[new], self.met[new] = ids, count, 0
         self.first[new] = self.used + np.cumsum(count) - count
         self.place.update(zip(words, range(self.words, self.words + len(words)), strict=True))
         self.used, self.words = self.used + len(ids), self.words + len(words)
@@ -283,12 +296,14 @@ class BatchEncoder:
         if (size != size[model]).any() or (points != points[ranges(start[model], size)]).any():
             first = kind = np.arange(len(start))  # two different words with one hash: encode each word by itself
         if self.words > self.remember:
-            self.forget()
+            self._shrink()
         words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         place = np.asarray([self.place.get(w, -1) for w in words], np.int64)
         if len(new := np.flatnonzero(place < 0)):
-            self._learn(list(dict.fromkeys(words[i] for i in new.tolist())))
+            unknown = list(dict.fromkeys(words[i] for i in new.tolist()))
+            self._add(unknown, *self.encode_words(unknown))
             place[new] = [self.place[words[i]] for i in new.tolist()]
+        self.met[place] += 1
         place = place[kind]
         count = self.count[place]
         ids = self.flat[ranges(self.first[place], count)]
@@ -307,9 +322,30 @@ def library_encoder(path: str) -> BatchEncoder:
     tok.no_padding()
     added = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+    size = np.zeros(tok.get_vocab_size(), np.int64)
+    signs = byte_signs()
+    for piece, i in tok.get_vocab().items():
+        size[i] = len(piece) if all(c in signs for c in piece) else 0
+
+    def flat(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), count
 
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that open with a blank stay apart when joined, so the library gets many in one text."""
+        blank = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words), bool, len(words))
+        own, joint = np.flatnonzero(~blank), np.flatnonzero(blank)
+        count = np.zeros(len(words), np.int64)
+        spelled = [words[i] for i in joint.tolist()]
+        got, _ = flat(["".join(spelled[i : i + JOINED]) for i in range(0, len(spelled), JOINED)])
+        length = np.fromiter((len(w.encode()) for w in spelled), np.int64, len(spelled))
+        ends = np.searchsorted(np.cumsum(size[got]), np.cumsum(length)) + 1 if len(got) else np.zeros(0, np.int64)
+        count[joint] = np.diff(ends, prepend=0)
+        rest, count[own] = flat([words[i] for i in own.tolist()])
+        start = np.zeros(len(words), np.int64)
+        start[joint] = np.cumsum(count[joint]) - count[joint]
+        start[own] = len(got) + np.cumsum(count[own]) - count[own]
+        return np.concatenate([got, rest])[ranges(start, count)], count
+
     return BatchEncoder(encode, added)

@@ -33,17 +33,19 @@ END_ID = 0
 BROADCAST_FILES = 100_000
 
 
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    high = values >> np.uint64(32)
+    low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return (np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], low) if high.any() else low).astype(np.uint8)
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """Values as Simple-8b words: each word takes as many of the next values as fit."""
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64)
     values = values.astype(np.uint64)
-    bits = np.zeros(n, np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):  # bit length by halving
-        big = (values >> (bits + np.uint64(shift)).astype(np.uint64)) > 0
-        bits[big] += shift
-    bits += values > 0
+    bits = bit_lengths(values)
     widest = np.zeros(n + 60, np.uint8)
     widest[:n] = bits
     padded, span = widest.copy(), 1
@@ -59,11 +61,7 @@ def pack(values: np.ndarray) -> np.ndarray:
         take[fits], selector[fits] = count, s
     escaped = bits > 60
     take[escaped], selector[escaped] = 1, 0
-    steps, starts, at = take.tolist(), [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    start = np.array(starts)
+    start = _chain(take)
     kind = selector[start]
     size = 1 + (kind == 0)
     place = np.cumsum(size) - size
@@ -80,6 +78,24 @@ def pack(values: np.ndarray) -> np.ndarray:
     return words
 
 
+def _chain(take: np.ndarray) -> np.ndarray:
+    """0, take[0], and so on to the end: each word's first value."""
+    n = len(take)
+    jump, starts, hops = np.append(np.minimum(np.arange(n) + take, n), n), [0], []
+    stride = 1
+    while stride < 32:  # five doublings: from every place to 32 words on
+        hops.append(jump)
+        jump = jump[jump]
+        stride *= 2
+    far = jump.tolist()
+    while (at := far[starts[-1]]) < n:
+        starts.append(at)
+    found = np.array(starts)
+    for hop in reversed(hops):
+        found = np.concatenate([found, hop[found]])
+    return np.sort(found[found < n])
+
+
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` values of packed words."""
     kind = (words >> np.uint64(60)).astype(np.int64)

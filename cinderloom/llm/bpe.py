@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, bounded_batches, chunks, documents, ranges, stage, utf8
+from .common import body, bounded_batches, chunks, discard, documents, ranges, stage, utf8
 from .pretoken import BatchEncoder, Vocabulary, cut
 
 #: Words in the lexicon: bounds what the driver gathers and sends (some 2 MB), whatever the corpus is.
@@ -177,7 +177,9 @@ def frequent_words(docs: DataFrame, size: int) -> list[tuple[str, int]]:
         if room < 0:
             break
         least = row["class"]
-    return [] if least is None else [(r.word, r.n) for r in counts.where(F.col("class") >= least).select("word", "n").collect()]
+    chosen = [] if least is None else [(r.word, r.n) for r in counts.where(F.col("class") >= least).select("word", "n").collect()]
+    discard(counts)
+    return chosen
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> Lexicon:

@@ -42,6 +42,16 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them has been written."""
+    for df in frames:
+        place = None
+        for file in df.inputFiles()[:1]:
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if place is not None:
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def body(col: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

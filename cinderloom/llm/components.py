@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = stage(spark, large, "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
+        old, now = now, stage(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
+        discard(old, large)
         mark, last = _mark(now), mark
         if mark == last:
             break

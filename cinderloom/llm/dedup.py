@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, body, documents, shared_dir, stage
+from .common import SPACE, body, discard, shared_dir, stage
 
 #: State on disk, its memory bounded for each executor; files are not allocated ahead, as there may be many small stores.
 STATE_STORE = {
@@ -72,12 +72,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
     """Run the stream over the files at ``path`` up to now: digest, keep_id, keep_at, group_size.
 
-    Its checkpoint lies in the shared folder, so a lost executor's state is read again from there.
+    Its checkpoint lies in the shared folder, so a lost executor's state is read again from there.  With a
+    ``state_dir`` the state stays there, and the next run with it takes only the files that arrived since.
     """
-    out, checkpoint = shared_dir(spark, "dedup_state"), shared_dir(spark, "dedup_checkpoint")
+    base = state_dir or shared_dir(spark, "dedup_state")
+    out, checkpoint = f"{base}/changes", f"{base}/checkpoint"
     arriving = _arrivals(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern, the path may be one file
     state = arriving.groupBy("digest").agg(F.max(F.struct("points", "low", "doc_id", "at")).alias("best"), F.count("*").alias("n"))
 
@@ -91,7 +98,10 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     # A query that has seen no file has written none.
     changes = spark.read.schema(kind).parquet(out) if _exists(spark, out) else spark.createDataFrame([], kind)
     last = changes.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s"))
-    return last.select("digest", F.col("s.best.doc_id").alias("keep_id"), F.col("s.best.at").alias("keep_at"), F.col("s.n").alias("group_size"))
+    last = stage(spark, last.select("digest", F.col("s.best.doc_id").alias("keep_id"), F.col("s.best.at").alias("keep_at"), F.col("s.n").alias("group_size")), "dedup_last")
+    if state_dir is None:
+        _remove(spark, base)
+    return last
 
 
 def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -102,6 +112,7 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     kept = F.col("at") == F.col("keep_at")
     # Only hits carry their bytes on.
     seen = stage(spark, seen.select("doc_id", "points", "digest", "keep_id", "group_size", "at", kept.alias("kept"), F.when(F.col("group_size") > 1, F.col("norm")).alias("norm")), "dedup_seen")
+    discard(state)
     hits = seen.where("group_size > 1")
     stays = hits.where("kept").select("digest", F.col("norm").alias("keep_norm"))
     wrong = hits.where("not kept").join(stays, "digest").where("norm != keep_norm").select("digest").distinct()

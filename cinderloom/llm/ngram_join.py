@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHARS, ITEMS, body, bounded_batches, chunks, documents, mix, prefix, ranges, shared_dir, stage, stretch, utf8, words_of
+from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, mix, prefix, ranges, shared_dir, stage, stretch, utf8, words_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -43,6 +44,8 @@ NEAR, REACH, SAME = 0.6, 0.5, 0.95
 GROUP, BLOCK, STRIDE = 256, 192, 64
 CHUNK_BYTES = 1 << 20
 COLUMNS = 1 << 14
+#: Where a row of a file stands.
+PLACE = "struct(_metadata.file_path as file, _metadata.row_index as row)"
 
 
 def runs(threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL) -> int:
@@ -166,8 +169,11 @@ def _labels(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold all pairs at the threshold, met in ``runs()`` runs; sets: (set, vector)."""
+def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) whose components hold all pairs at the threshold, met in ``runs()`` runs; sets: (set, vector).
+
+    Also the staged tables that the edges are read from.
+    """
     roots = mix(np.arange(1, runs() + 1, dtype=np.uint64))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +203,15 @@ def candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(top), pa.array(same >= REACH * WIDTH), lists], ["set", "top", "near", "next"])
 
     bounded_batches(spark)
-    edges = []
+    edges, staged = [], []
     rows = sets.mapInArrow(begin, "node long, set long")
     for level in range(1, LEVELS + 1):
         rows = stage(spark, rows, "join_rows")
         # Sums are written before they are joined: then both sides of the join are shuffles, and Spark can split a large node.
         sizes = stage(spark, rows.groupBy("node").agg(F.count("*").alias("n"), F.min("set").alias("top")).where("n > 1"), "join_sizes")
         met = stage(spark, rows.join(sizes, "node"), "join_nodes")
+        discard(rows, sizes)
+        staged.append(met)
         few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
         # Nodes with the same sets are compared once.
         once = few.groupBy("node", "n").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("all"), F.min("set").alias("low")).groupBy("all", "n", "low").agg(F.min("node").alias("node"))
@@ -217,13 +225,13 @@ def candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         tops = many.select("top").distinct().join(sets, F.col("top") == F.col("set")).select("top", F.col("vector").alias("top_vector"))
         tops = stage(spark, tops, "join_tops")
         judged = many.select("node", "set", "top").join(sets, "set").join(tops, "top").select("node", "set", "top", "vector", "top_vector")
-        judged = stage(spark, judged.mapInArrow(pivot, "set long, top long, near boolean, next array<long>"), "join_pivots")
+        staged += [tops, judged := stage(spark, judged.mapInArrow(pivot, "set long, top long, near boolean, next array<long>"), "join_pivots")]
         edges.append(judged.where("near and set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
         rows = judged.where("set != top").select(F.explode("next").alias("node"), "set")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
-    return out
+    return out, staged
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -258,7 +266,10 @@ def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, label, n_links) of the sets in ``wanted`` (set, id, root): links within each root's group, and their components."""
+    """(set, label, n_links) of the sets in ``wanted`` (set, id, root): links within each root's group, and their components.
+
+    The result is staged; what it was made of is deleted.
+    """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,11 +341,14 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), body().alias("text"))
     # The same plan at every size: no broadcast where the groups happen to be few.
     sets = text.join(placed.hint("merge"), "id").select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
-    sets = stage(spark, sets, "join_sets").dropDuplicates(["set"])
+    staged = [placed, raw_sets := stage(spark, sets, "join_sets")]
+    sets = raw_sets.dropDuplicates(["set"])
     result = "set long, label long, n_links long"
     few = sets.where("part < 0").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set").mapInArrow(whole, result)
     if placed.where("part >= 0").isEmpty():
-        return few
+        out = stage(spark, few, "join_result")
+        discard(*staged)
+        return out
     many = sets.where("part >= 0").select("root", "part", "set", "grams").repartition("root", "part").sortWithinPartitions("root", "part", "set")
     blocks = stage(spark, many.mapInArrow(packed, "root long, part int, sets binary"), "join_blocks")
     # Each block meets all blocks of its group, at most STRIDE of them in a task.
@@ -347,7 +361,9 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     roots = components(spark, found.where("n_links is null").select(F.col("set").alias("a"), F.col("label").alias("b")))
     counts = found.where("n_links is not null").groupBy("set").agg(F.min("label").alias("label"), F.sum("n_links").alias("n_links"))
     counts = counts.join(roots, F.col("label") == F.col("node"), "left").select("set", F.coalesce("root", "label").alias("label"), "n_links")
-    return few.union(counts)
+    out = stage(spark, few.union(counts), "join_result")
+    discard(*staged, blocks, found, roots)
+    return out
 
 
 def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -361,9 +377,12 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
     rows = stage(spark, sketched(docs, *names), "join_sketches")
     classes = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep_id"), F.min("id").alias("id"), F.count("*").alias("n_copies"), F.min("vector").alias("vector"))
     classes = stage(spark, classes, "join_classes")
-    groups = components(spark, candidates(spark, classes.select("set", "vector")))
+    edges, staged = candidates(spark, classes.select("set", "vector"))
+    groups = components(spark, edges)
+    discard(*staged)
     wanted = classes.join(groups, F.col("set") == F.col("node")).select("set", "id", "root")
-    links = stage(spark, exact_links(spark, docs, wanted), "join_result")
+    links = exact_links(spark, docs, wanted)
+    discard(groups)
     known = classes.join(links, "set", "left").select("set", "rep_id", "n_copies", F.coalesce("label", "set").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lowest = known.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     known = known.join(lowest, "label").select("set", "rep_id", "n_copies", "n_links", "class_id")
@@ -374,10 +393,12 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate class, with all its columns: the smallest doc_id (null last, then file order)."""
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "join_landing")
-    docs.write.parquet(path)
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    landed = spark.read.parquet(path).withColumn("__at", at)
+    try:  # rows of files have a place already
+        landed = docs.withColumn("__at", F.expr(PLACE))
+    except AnalysisException:
+        path = shared_dir(docs.sparkSession, "join_landing")
+        docs.write.parquet(path)
+        landed = docs.sparkSession.read.parquet(path).withColumn("__at", F.expr(PLACE))
     rows = near_classes(landed, "__at")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__at")
     grouped = rows.where("class_id is not null").groupBy("class_id").agg(F.min_by("__at", order).alias("__at")).select("__at")

@@ -63,6 +63,14 @@ def test_equal_digests_of_different_texts_are_told_apart(spark, tmp_path, awkwar
     assert sum(r.kept for r in got) == n
 
 
+def test_state_goes_on_with_later_files(spark, tmp_path):
+    path, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for texts in (["a b", "c"], ["ab", "a  b", "d"]):
+        frame(spark, texts).coalesce(1).write.mode("append").parquet(path)
+        rows = dedup.stream_state(spark, path, spark.read.parquet(path).schema, state_dir=state).collect()
+    assert sorted((r.keep_id, r.group_size) for r in rows) == [(1, 1), (1, 3), (2, 1)]
+
+
 def test_deduplicated_keeps_columns(spark, clashing, awkward_rows):
     rows = dedup.deduplicated(spark, clashing)
     assert rows.columns == clashing.columns and rows.count() == groups(awkward_rows)[1]

@@ -115,7 +115,7 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     discard(state)
     hits = seen.where("group_size > 1")
     stays = hits.where("kept").select("digest", F.col("norm").alias("keep_norm"))
-    wrong = hits.where("not kept").join(stays, "digest").where("norm != keep_norm").select("digest").distinct()
+    wrong = hits.where("not kept").join(stays, "digest").where("norm != keep_norm").select("digest")
     wrong = stage(spark, wrong, "dedup_wrong")
     result = ["doc_id", "keep_id", "group_size", "kept", "digest", "at"]
     if wrong.isEmpty():

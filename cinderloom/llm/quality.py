@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 
 from .common import CHARS, ITEMS, bounded_batches, chunks, documents, mix, prefix, stretch, utf8, words_of
 
-#: n-gram lengths in words, and the share (percent) of code points inside repeated ones above which a text goes.
-COVERAGE_LIMITS = {5: 25, 10: 20, 20: 20}
-#: The same for code points in lines that equal an earlier line of the text.
-LINE_LIMIT = 30
+#: n-gram lengths in words, and the share (percent) of code points inside repeated ones above which a text goes.  Words
+#: inside a repeated long n-gram are inside repeated shorter ones too, and the base rule lets 20 % of words pass: a limit
+#: decides something only where it is below that and below the limits of the shorter lengths.
+COVERAGE_LIMITS = {5: 15, 10: 10, 20: 5}
+#: The same for code points in lines that equal an earlier line of the text (n-grams miss lines of under five words).
+LINE_LIMIT = 20
 MIN_WORDS, REPEAT_LIMIT = 10, 20
 SYMBOLS = b"#*$%&|<>"
 CHUNK_BYTES = 1 << 20

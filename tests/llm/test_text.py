@@ -53,6 +53,22 @@ def test_coverage_counts_repeated_ngrams_only():
     assert found["gram20_chars"].tolist() == [0, 0]
 
 
+def test_coverage_rejects_what_the_base_keeps(spark):
+    words = lambda tag, n: [f"{tag}{i:03}" for i in range(n)]
+    twice = lambda n, of: " ".join(words("p", n) + words("u", of - 2 * n) + words("p", n))
+    lines = "\n".join(f"u{i:03} v{i:03}\nsame old line" if i < 9 else f"u{i:03} v{i:03} w{i:03}" for i in range(18))
+    # A passage of n words stands twice in a text of so many words.
+    cases = [(twice(9, 100), "gram5_chars"), (twice(12, 200), "gram10_chars"), (twice(20, 600), "gram20_chars"), (lines, "line_chars")]
+    kept = [twice(9, 200), twice(12, 300), twice(20, 900), twice(0, 100)]
+    texts = [c[0] for c in cases] + kept
+    rows = quality.judged(quality.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in rows)
+    assert [r.kept for r in rows] == [False] * len(cases) + [True] * len(kept)
+    limits = {"line_chars": 20, "gram5_chars": 15, "gram10_chars": 10, "gram20_chars": 5}
+    for r, (_, measure) in zip(rows, cases, strict=False):  # each goes by one limit only
+        assert [m for m, limit in limits.items() if 100 * r[m] > limit * r.word_chars] == [measure]
+
+
 def test_quality_passes_other_columns_through(clashing):
     rows = quality.judged(quality.measures(clashing))
     assert rows.count() == clashing.count()

@@ -46,6 +46,7 @@ CHUNK_BYTES = 1 << 20
 COLUMNS = 1 << 14
 #: Where a row of a file stands.
 PLACE = "struct(_metadata.file_path as file, _metadata.row_index as row)"
+LABEL = "__label"
 
 
 def runs(threshold: float = THRESHOLD, levels: int = LEVELS, recall: float = RECALL) -> int:
@@ -372,6 +373,11 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
     rep_id is the smallest doc_id with the same 5-gram set and n_copies their number; n_links counts the other sets
     at the threshold; class_id is the smallest doc_id among all that links connect.
     """
+    return _labelled(docs, *keep).drop(LABEL)
+
+
+def _labelled(docs: DataFrame, *keep: str) -> DataFrame:
+    """The rows of ``near_classes`` with the class itself in ``LABEL``: its smallest set hash, null without words."""
     spark = docs.sparkSession
     names = list(dict.fromkeys(["doc_id", *keep]))
     rows = stage(spark, sketched(docs, *names), "join_sketches")
@@ -385,24 +391,27 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
     discard(groups)
     known = classes.join(links, "set", "left").select("set", "rep_id", "n_copies", F.coalesce("label", "set").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lowest = known.groupBy("label").agg(F.min("rep_id").alias("class_id"))
-    known = known.join(lowest, "label").select("set", "rep_id", "n_copies", "n_links", "class_id")
-    linked = rows.where("set is not null").select(*names, "set").join(known, "set").select(*names, "class_id", "rep_id", "n_copies", "n_links")
-    alone = rows.where("set is null").select(*names, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    known = known.join(lowest, "label").select("set", "rep_id", "n_copies", "n_links", "class_id", F.col("label").alias(LABEL))
+    linked = rows.where("set is not null").select(*names, "set").join(known, "set").select(*names, "class_id", "rep_id", "n_copies", "n_links", LABEL)
+    alone = rows.where("set is null").select(*names, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias(LABEL))
     return linked.union(alone)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate class, with all its columns: the smallest doc_id (null last, then file order)."""
+    """One row of each near-duplicate class, with all its columns: the smallest doc_id (null last, then file order).
+
+    Classes are told apart by their sets, not by ids, which may be null or stand on several texts.  Rows without words stay.
+    """
     try:  # rows of files have a place already
         landed = docs.withColumn("__at", F.expr(PLACE))
     except AnalysisException:
         path = shared_dir(docs.sparkSession, "join_landing")
         docs.write.parquet(path)
         landed = docs.sparkSession.read.parquet(path).withColumn("__at", F.expr(PLACE))
-    rows = near_classes(landed, "__at")
+    rows = _labelled(landed, "__at")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "__at")
-    grouped = rows.where("class_id is not null").groupBy("class_id").agg(F.min_by("__at", order).alias("__at")).select("__at")
-    stay = grouped.union(rows.where("class_id is null").select("__at"))
+    grouped = rows.where(F.col(LABEL).isNotNull()).groupBy(LABEL).agg(F.min_by("__at", order).alias("__at")).select("__at")
+    stay = grouped.union(rows.where(F.col(LABEL).isNull()).select("__at"))
     return landed.join(stay, "__at", "left_semi").select(*docs.columns)
 
 

@@ -193,6 +193,16 @@ def test_distinct_documents_keeps_one_of_each_class(spark, clashing, awkward_row
     assert rows.count() == len(classes) + sum(r[0] is None and not (r[1] or "").strip() for r in awkward_rows)
 
 
+def test_classes_are_not_told_apart_by_their_ids(spark):
+    rnd = random.Random(12)
+    one, two, three, four = (prose(rnd, 150) for _ in range(4))
+    near_copies = [(None, edited(rnd, one, 1)) for _ in range(4)]  # a class without any id
+    rows = [*near_copies, (7, two), (7, three), (None, edited(rnd, three, 1)), (8, four), (None, " "), (7, None), (9, "")]
+    got = [tuple(r) for r in ngram_join.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sum(r in near_copies for r in got) == 1
+    assert sorted((r for r in got if r not in near_copies), key=str) == sorted([(7, two), (7, three), (8, four), (None, " "), (7, None), (9, "")], key=str)
+
+
 def test_enough_runs():
     assert ngram_join.runs() == 8 and ngram_join.runs(recall=0.9) < ngram_join.runs(recall=0.99)
 

@@ -266,6 +266,11 @@ def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+def _owner_type(n: int) -> np.dtype:
+    """The smallest unsigned type that numbers ``n`` sets: blocks are cut by hash, so their size has no fixed bound."""
+    return np.min_scalar_type(max(n - 1, 0))
+
+
 def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set, label, n_links) of the sets in ``wanted`` (set, id, root): links within each root's group, and their components.
 
@@ -298,7 +303,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
             label = name[_labels(len(name), np.argwhere(np.triu(link, 1)))]
             every, place = np.unique(np.concatenate(sets), return_inverse=True)
             order = np.lexsort((np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place))  # column by column: packs well
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order].astype(np.uint8)
+            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order].astype(_owner_type(len(sets)))
             head = np.array([len(name), len(every), len(owner)], np.int64)
             raw = b"".join(x.tobytes() for x in (head, name, label, every, np.bincount(place, minlength=len(every)).astype(np.int64), owner))
             yield pa.RecordBatch.from_arrays([pa.array([group["root"][0].as_py()]), pa.array([group["part"][0].as_py()], pa.int32()), pa.array([zlib.compress(raw, 1)], pa.binary())], ["root", "part", "sets"])
@@ -308,7 +313,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
         n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
         name, label = np.frombuffer(raw, np.int64, 2 * n, 24).reshape(2, n)
         every, count = np.frombuffer(raw, np.uint64, m, 24 + 16 * n), np.frombuffer(raw, np.int64, m, 24 + 16 * n + 8 * m)
-        owner = np.frombuffer(raw, np.uint8, k, 24 + 16 * n + 16 * m)
+        owner = np.frombuffer(raw, _owner_type(n), k, 24 + 16 * n + 16 * m)
         flat = np.repeat(every, count)
         order = np.argsort(owner, kind="stable")
         return name, label, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])

@@ -179,6 +179,16 @@ def test_join_finds_all_links(spark, monkeypatch, group, block, stride, small):
     assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("block", [400, 290])
+def test_blocks_of_more_than_256_sets(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd = random.Random(13)
+    base = prose(rnd, 60)
+    texts = [base, *(edited(rnd, base, 1) for _ in range(560 if block == 290 else 300))]
+    got = ngram_join.near_classes(frame(spark, texts)).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(list(enumerate(texts)))
+
+
 def test_op2_on_awkward_rows(spark, landed, awkward_rows):
     got = ngram_join.op2_ngram_join(spark, landed["awkward"]).collect()
     assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(awkward_rows)

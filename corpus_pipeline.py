@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, exact deduplication, n-gram Jaccard join, mixing, BPE encoding.
+"""The corpus pipeline: quality rules, exact deduplication, n-gram Jaccard join, mixing, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``.
@@ -49,10 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each text."""
+    """doc_id, lang, source, n_tokens and ids of each text, and the sha256 of the text decoded from the ids."""
     path = bpe.vocabulary_path()
-    rows = bpe.encode(docs.select(*COLUMNS), bpe.build_lexicon(docs, path), path)
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    rows = bpe.encode(docs.select(*COLUMNS), bpe.build_lexicon(docs, path), path, check=True)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

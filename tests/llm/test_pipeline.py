@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import corpus_pipeline
@@ -51,3 +52,9 @@ def test_each_stage_against_brute_force(spark):
     tok = Tokenizer.from_file(bpe.vocabulary_path())
     want = sorted((int(r.doc_id), tok.encode(r.text, add_special_tokens=False).ids) for r in after.itertuples())
     assert sorted((int(r.doc_id), list(map(int, r.ids))) for r in seen["bpe_encoding"].itertuples()) == want
+
+
+def test_bpe_stage_decodes_what_it_encodes(spark, awkward, awkward_rows):
+    rows = corpus_pipeline.bpe_encoding(spark, awkward, "").collect()
+    want = sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in awkward_rows)
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in rows) == want

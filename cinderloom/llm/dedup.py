@@ -85,7 +85,7 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     """
     base = state_dir or shared_dir(spark, "dedup_state")
     out, checkpoint = f"{base}/changes", f"{base}/checkpoint"
-    arriving = _arrivals(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern, the path may be one file
+    arriving = _arrivals(spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern, the path may be one file
     state = arriving.groupBy("digest").agg(F.max(F.struct("points", "low", "doc_id", "at")).alias("best"), F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:

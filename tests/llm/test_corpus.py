@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -71,6 +72,18 @@ def test_state_goes_on_with_later_files(spark, tmp_path):
     assert sorted((r.keep_id, r.group_size) for r in rows) == [(1, 1), (1, 3), (2, 1)]
 
 
+def test_later_files_count_however_old_they_are(spark, tmp_path):
+    path, state = tmp_path / "in", str(tmp_path / "state")
+    for texts, days in ((["a b", "c"], 0), (["ab", "d"], 30)):
+        before = set(path.glob("*.parquet"))
+        frame(spark, texts).coalesce(1).write.mode("append").parquet(str(path))
+        for file in set(path.glob("*.parquet")) - before:
+            at = file.stat().st_mtime - 86_400 * days
+            os.utime(file, (at, at))
+        rows = dedup.stream_state(spark, str(path), spark.read.parquet(str(path)).schema, state_dir=state).collect()
+    assert sorted(r.group_size for r in rows) == [1, 1, 2]
+
+
 def test_deduplicated_keeps_columns(spark, clashing, awkward_rows):
     rows = dedup.deduplicated(spark, clashing)
     assert rows.columns == clashing.columns and rows.count() == groups(awkward_rows)[1]

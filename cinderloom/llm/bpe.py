@@ -6,7 +6,8 @@ maps its bytes into memory and looks whole arrays of words up; words it lacks ar
 
 Defined results: null or empty text has no ids and decodes to the empty text.  The text of an added token
 (such as an end mark) becomes that token's id, as in the tokenizers library.  Repeated rows and null doc_ids
-are kept row by row; other columns pass through.  An empty table gives an empty table.
+are kept row by row; other columns pass through, but for those named ids and decoded, which are replaced.  A long text
+is encoded in one piece; a word of any length is merged whole.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -236,20 +237,35 @@ def encode(docs: DataFrame, lexicon: Lexicon, path: str, check: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(path, name, raw.value)
         for batch in batches:
-            _, offsets = utf8(batch.column(place))
+            raw_text, offsets = utf8(batch.column(place))
             for i, j in chunks(offsets, CHUNK_BYTES):
                 part = batch.slice(i, j - i)
-                ids, at = coder.encode([t or "" for t in part.column(place).to_pylist()])
+                ids, at = coder.encode_utf8(raw_text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *[texts(ids, at, path)] * check], [f.name for f in schema])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def texts(ids: np.ndarray, at: np.ndarray, path: str) -> pa.Array:
-    """The texts that the ids between each two offsets stand for."""
+@lru_cache(2)
+def _pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids, one after the other, and their offsets."""
     table = vocabulary(path).bytes
-    return pa.array([b"".join([table[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+    return np.frombuffer(b"".join(table), np.uint8), np.append(0, np.cumsum([len(b) for b in table]))
+
+
+def texts(ids: np.ndarray, at: np.ndarray, path: str) -> pa.Array:
+    """The texts that the ids between each two offsets stand for; bytes that are not UTF-8 become U+FFFD, text by text."""
+    raw, offsets = _pieces(path)
+    ids = ids[at[0] : at[-1]]
+    size = offsets[ids + 1] - offsets[ids]
+    out = raw[ranges(offsets[ids], size)]
+    ends = np.append(0, np.cumsum(size))[at - at[0]]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+    try:
+        return whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -261,7 +277,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = pc.fill_null(batch.column(place), [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts(lists.values.to_numpy(), lists.offsets.to_numpy(), path)], [*kept, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), path)], [*kept, "decoded"])
 
     bounded_batches(encoded.sparkSession)
     return encoded.select(*kept).mapInArrow(run, schema)

@@ -8,7 +8,6 @@ by hash and then compared code point by code point, and only distinct words reac
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 from itertools import chain
@@ -25,26 +24,35 @@ WHITE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 
+class Classes:
+    """The class of each code point, settled by the tokenizers library when it is first met."""
+
+    UNKNOWN = 255
+
+    def __init__(self):
+        from tokenizers import pre_tokenizers
+
+        self.rule = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        self.known = np.full(0x110000, self.UNKNOWN, np.uint8)
+        self.known[WHITE] = BLANK
+
+    def _settle(self, point: int) -> int:
+        """What joins a letter is a letter, and what joins a digit is a digit."""
+        joins = [len(self.rule.pre_tokenize_str(x + chr(point))) == 1 for x in "a1"]
+        return LETTER if joins[0] else DIGIT if joins[1] else SIGN
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        kind = self.known[points]
+        if (new := kind == self.UNKNOWN).any():
+            for point in np.unique(points[new]).tolist():
+                self.known[point] = self._settle(point)
+            kind = self.known[points]
+        return kind
+
+
 @lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of each code point; where Unicode versions disagree, the tokenizers library settles it."""
-    import regex
-    from tokenizers import pre_tokenizers
-
-    out = np.full(0x110000, SIGN, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    doubtful = set()
-    for kind, letter in ((LETTER, "L"), (DIGIT, "N")):
-        named = {c for c in every if unicodedata.category(c)[0] == letter}
-        found = set(regex.findall(rf"\p{{{letter}}}", every))
-        doubtful |= named ^ found
-        out[[ord(c) for c in named & found]] = kind
-    rule = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-    for c in doubtful:
-        joins = [len(rule.pre_tokenize_str(x + c)) == 1 for x in "a1"]
-        out[ord(c)] = LETTER if joins[0] else DIGIT if joins[1] else SIGN
-    out[WHITE] = BLANK
-    return out
+def classes() -> Classes:
+    return Classes()
 
 
 def cut(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -52,7 +60,7 @@ def cut(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = classes()[points]
+    kind = classes().of(points)
     opens = np.zeros(n + 1, bool)
     opens[offsets] = True
     start = opens[:n].copy()
@@ -233,83 +241,143 @@ JOINED = 256
 
 
 class BatchEncoder:
-    """Encodes batches of texts; ``encode_words`` gets the distinct words that are not remembered."""
+    """Encodes batches of texts; ``encode_words`` gets the distinct words that are not remembered.
+
+    Remembered words are found by hash in an open-addressing table and then compared code point by code point.
+    """
 
     def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 400_000):
+        if len(added) > 1:
+            raise ValueError("one added token is supported")
         self.encode_words, self.added, self.remember = encode_words, added, remember
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.used = self.words = 0
-        self.flat, self.first, self.count, self.met = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.table, self.hashes = np.full(1 << 12, -1, np.int32), np.zeros(0, np.uint64)
+        # For each word: its ids' place and number, its code points' place and number, and the batches that had it.
+        self.first, self.count, self.at, self.size, self.met = (np.zeros(0, np.int64) for _ in range(5))
+        self.flat, self.points, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32), [0, 0]
 
     def _shrink(self) -> None:
         """Keep the words that more than one batch had, half of the room at most."""
-        names, met = list(self.place), self.met[: self.words].copy()
-        kept = np.flatnonzero(met > 1)
+        kept = np.flatnonzero(self.met > 1)
         if len(kept) > self.remember // 2:
-            kept = np.sort(kept[np.argsort(-met[kept], kind="stable")[: self.remember // 2]])
-        count, ids = self.count[kept], self.flat[ranges(self.first[kept], self.count[kept])]
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: self.remember // 2]])
+        hashes, count, size = self.hashes[kept], self.count[kept], self.size[kept]
+        ids, points = self.flat[ranges(self.first[kept], count)], self.points[ranges(self.at[kept], size)]
         self.forget()
-        self._add([names[i] for i in kept.tolist()], ids, count)
-
-    def _add(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
-        for name, size in (("first", self.words + len(words)), ("count", self.words + len(words)), ("met", self.words + len(words)), ("flat", self.used + len(ids))):
-            if size > len(old := getattr(self, name)):
-                setattr(self, name, np.resize(old, 2 * size))
-        new = slice(self.words, self.words + len(words))
-        self.flat[self.used : self.used + len(ids)], self.count[new], self.met[new] = ids, count, 0
-        self.first[new] = self.used + np.cumsum(count) - count
-        self.place.update(zip(words, range(self.words, self.words + len(words)), strict=True))
-        self.used, self.words = self.used + len(ids), self.words + len(words)
+        self._add(hashes, ids, count, points, size)
+
+    def _append(self, name: str, which: int, values: np.ndarray) -> int:
+        """The place of ``values`` in a growing array."""
+        begin, end = self.used[which], self.used[which] + len(values)
+        if end > len(getattr(self, name)):
+            setattr(self, name, np.resize(getattr(self, name), 2 * end))
+        getattr(self, name)[begin:end], self.used[which] = values, end
+        return begin
+
+    def _add(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray, points: np.ndarray, size: np.ndarray) -> None:
+        """Remember words with hashes that are new and distinct."""
+        n, first, at = len(self.met), self._append("flat", 0, ids), self._append("points", 1, points)
+        self.first = np.append(self.first, first + np.cumsum(count) - count)
+        self.at = np.append(self.at, at + np.cumsum(size) - size)
+        self.count, self.size, self.met = np.append(self.count, count), np.append(self.size, size), np.append(self.met, np.zeros(len(count), np.int64))
+        self.hashes = np.append(self.hashes, hashes)
+        if 4 * len(self.hashes) > len(self.table):
+            self.table, n = np.full(1 << (8 * len(self.hashes)).bit_length(), -1, np.int32), 0
+        todo = np.arange(n, len(self.hashes))
+        at = self._places(self.hashes[todo])
+        while len(todo):
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            left = self.table[at] != todo
+            todo, at = todo[left], (at[left] + 1) & (len(self.table) - 1)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word with each hash, or -1."""
+        at = self._places(hashes)
+        slot = self.table[at]
+        todo = np.flatnonzero(slot >= 0)
+        while len(todo := todo[self.hashes[slot[todo]] != hashes[todo]]):
+            at[todo] = (at[todo] + 1) & (len(self.table) - 1)
+            slot[todo] = self.table[at[todo]]
+            todo = todo[slot[todo] >= 0]
+        return slot
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and the offsets of each; added tokens in a text are found first."""
-        if not any(a in t for a in self.added for t in texts):
-            return self._plain(texts)
-        (mark, number), *more = self.added.items()
-        if more:
-            raise ValueError("one added token is supported")
-        parts = [t.split(mark) for t in texts]
-        ids, at = self._plain([p for ps in parts for p in ps])
-        out, offsets, k = [], [0], 0
-        for ps in parts:
-            for i in range(len(ps)):
-                out += [[number]] * (i > 0) + [ids[at[k] : at[k + 1]]]
-                k += 1
-            offsets.append(offsets[-1] + len(ps) - 1 + int(at[k] - at[k - len(ps)]))
-        return np.concatenate([np.asarray(x, np.uint32) for x in out]), np.asarray(offsets, np.int64)
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the offsets of each."""
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=offsets[1:])
-        whole = "".join(texts)
+        return self._whole("".join(texts), offsets)
+
+    def encode_utf8(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that stand one after the other in UTF-8."""
+        before = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=before[1:])
+        return self._whole(raw.tobytes().decode(), before[offsets])
+
+    def _whole(self, whole: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Added tokens are found first, text by text; what lies between them is encoded by itself."""
+        if not any(mark in whole for mark in self.added):
+            return self._plain(whole, offsets)
+        ((mark, number),) = self.added.items()
+        parts = [whole[a:b].split(mark) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        flat = [p for ps in parts for p in ps]
+        ends = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum([len(p) for p in flat], out=ends[1:])
+        ids, at = self._plain("".join(flat), ends)
+        last = np.cumsum([len(ps) for ps in parts])
+        inner = np.setdiff1d(np.arange(1, len(flat)), last)  # parts that follow a mark in their text
+        out = np.insert(ids, at[inner], number)
+        return out.astype(np.uint32), np.append(0, at[last] + np.searchsorted(inner, last))
+
+    def _plain(self, whole: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         start = cut(points, offsets)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(points))
-        hashes = stretch(prefix(points, CHARS), start, end, CHARS)
-        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        size, model = end - start, first[kind]
-        if (size != size[model]).any() or (points != points[ranges(start[model], size)]).any():
-            first = kind = np.arange(len(start))  # two different words with one hash: encode each word by itself
-        if self.words > self.remember:
+        size, hashes = end - start, stretch(prefix(points, CHARS), start, end, CHARS)
+        if len(self.met) > self.remember:
             self._shrink()
-        words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        place = np.asarray([self.place.get(w, -1) for w in words], np.int64)
-        if len(new := np.flatnonzero(place < 0)):
-            unknown = list(dict.fromkeys(words[i] for i in new.tolist()))
-            self._add(unknown, *self.encode_words(unknown))
-            place[new] = [self.place[words[i]] for i in new.tolist()]
-        self.met[place] += 1
-        place = place[kind]
-        count = self.count[place]
-        ids = self.flat[ranges(self.first[place], count)]
+        slot = self._find(hashes)
+        if len(new := np.flatnonzero(slot < 0)):
+            kind, first = np.unique(hashes[new], return_index=True)
+            first = new[first]
+            ids, count = self.encode_words([whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self._add(kind, ids, count, points[ranges(start[first], size[first])], size[first])
+            slot[new] = self._find(hashes[new])
+        there = np.zeros(len(self.met), bool)
+        there[slot] = True
+        self.met += there
+        count, at, flat = self.count[slot], self.first[slot], self.flat
+        if (other := self._others(points, size, slot)).any():  # another word has this word's hash
+            odd = np.flatnonzero(other)
+            ids, many = self.encode_words([whole[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
+            flat, count[odd], at[odd] = np.concatenate([flat, ids]), many, len(flat) + np.cumsum(many) - many
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(count, out=total[1:])
-        return ids, total[np.searchsorted(start, offsets)]
+        return flat[ranges(at, count)], total[np.searchsorted(start, offsets)]
+
+    def _others(self, points: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Which words differ from the remembered ones of their slots; words cover all of ``points``."""
+        out = self.size[slot] != size
+        if not out.any():
+            wrong = points != self.points[ranges(self.at[slot], size)]
+            if not wrong.any():
+                return out
+            ends = np.cumsum(size)
+            return np.add.reduceat(wrong, ends - size, dtype=np.int64) > 0
+        same = np.flatnonzero(~out)
+        begin = (np.cumsum(size) - size)[same]
+        wrong = points[ranges(begin, size[same])] != self.points[ranges(self.at[slot[same]], size[same])]
+        begin = np.cumsum(size[same]) - size[same]
+        if len(same):
+            out[same] = np.add.reduceat(wrong, begin, dtype=np.int64) > 0
+        return out
 
 
 @lru_cache(4)
@@ -334,15 +402,16 @@ def library_encoder(path: str) -> BatchEncoder:
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words that open with a blank stay apart when joined, so the library gets many in one text."""
-        blank = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words), bool, len(words))
-        own, joint = np.flatnonzero(~blank), np.flatnonzero(blank)
+        own, joint = [], []
+        for i, w in enumerate(words):
+            (joint if w[0] == " " and not w[1:2].isspace() and len(w) > 1 else own).append(i)
         count = np.zeros(len(words), np.int64)
-        spelled = [words[i] for i in joint.tolist()]
+        spelled = [words[i] for i in joint]
         got, _ = flat(["".join(spelled[i : i + JOINED]) for i in range(0, len(spelled), JOINED)])
-        length = np.fromiter((len(w.encode()) for w in spelled), np.int64, len(spelled))
+        length = np.fromiter(map(len, map(str.encode, spelled)), np.int64, len(spelled))
         ends = np.searchsorted(np.cumsum(size[got]), np.cumsum(length)) + 1 if len(got) else np.zeros(0, np.int64)
         count[joint] = np.diff(ends, prepend=0)
-        rest, count[own] = flat([words[i] for i in own.tolist()])
+        rest, count[own] = flat([words[i] for i in own])
         start = np.zeros(len(words), np.int64)
         start[joint] = np.cumsum(count[joint]) - count[joint]
         start[own] = len(got) + np.cumsum(count[own]) - count[own]

@@ -6,7 +6,8 @@ prefix scan over the blocks' summaries (length, last separator) then tells how m
 document has in earlier blocks.
 
 Defined results: null or empty text counts 0 ids.  Repeated rows and null doc_ids count row by row.  Ids after
-the last separator of a file are a document that is not closed.  An empty table gives an empty result.
+the last separator of a file are a document that is not closed.  A long text goes through as many blocks as it needs.
+Columns other than doc_id and text are not stored, so their names can't clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import bounded_batches, chunks, documents, shared_dir, utf8
 from .pretoken import BatchEncoder, library_encoder
 
 BLOCK_IDS = 1 << 16
+CHUNK_BYTES = 1 << 20
 #: The end-of-document id of the vocabulary.
 SEPARATOR = 50256
 
@@ -38,28 +40,27 @@ def write_flat(docs: DataFrame, path: str, encoder: Callable[[], BatchEncoder],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, file, block = encoder(), TaskContext.get().partitionId(), 0
-        rest, ends, names = np.zeros(0, kind), np.zeros(0, np.int64), []
+        rest, ends, names = np.zeros(0, kind), np.zeros(0, np.int64), pa.array([], pa.int64())
 
-        def out(size: int) -> pa.RecordBatch:
-            closed = int(np.searchsorted(ends, size))
-            row = {"file": file, "block": block, "ids": rest[:size].tobytes(), "names": names[:closed]}
-            return pa.RecordBatch.from_pylist([row], schema)
+        def out(size: int, closed: int) -> pa.RecordBatch:
+            """The first ``size`` ids, which close ``closed`` documents, as one block."""
+            lists = pa.ListArray.from_arrays(pa.array([0, closed], pa.int32()), names.slice(0, closed))
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([rest[:size].tobytes()], pa.binary()), lists], ["file", "block", "ids", "names"])
 
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 2 << 20):
-                ids, at = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
+            raw, offsets = utf8(batch.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                ids, at = coder.encode_utf8(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 flat = np.insert(ids, at[1:], separator).astype(kind)
                 ends = np.concatenate([ends, len(rest) + at[1:] + np.arange(len(at) - 1)])
-                rest, names = np.concatenate([rest, flat]), names + batch.column(0).slice(i, j - i).to_pylist()
+                rest, names = np.concatenate([rest, flat]), pa.concat_arrays([names, batch.column(0).slice(i, j - i)])
                 while len(rest) >= block_ids:
-                    yield out(block_ids)
-                    gone = int(np.searchsorted(ends, block_ids))
-                    rest, ends, names, block = rest[block_ids:], ends[gone:] - block_ids, names[gone:], block + 1
+                    closed = int(np.searchsorted(ends, block_ids))
+                    yield out(block_ids, closed)
+                    rest, ends, names, block = rest[block_ids:], ends[closed:] - block_ids, names.slice(closed), block + 1
         if len(rest):
-            yield out(len(rest))
+            yield out(len(rest), len(names))
 
-    schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("names", pa.list_(pa.int64()))])
     bounded_batches(docs.sparkSession)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "file int, block int, ids binary, names array<long>")
     flat.write.option("compression", "zstd").parquet(path)
@@ -72,7 +73,8 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, kind: str = "<u2
         for batch in batches:
             found = [np.frombuffer(x, kind) for x in batch.column(2).to_pylist()]
             hits = [np.flatnonzero(x == separator) for x in found]
-            lists = pa.array([h.tolist() for h in hits], pa.list_(pa.int64()))
+            ends = np.append(0, np.cumsum([len(h) for h in hits])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *hits])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), lists, batch.column(3)], ["file", "block", "n", "hits", "names"])
 
     bounded_batches(blocks.sparkSession)

@@ -7,8 +7,9 @@ A file is one range of document ids; Spark's commit protocol makes its writing s
 and the files can lie in any store that Spark writes to.
 
 Defined results: null or empty text is one id (the end id).  Rows with one doc_id follow each other in the
-order of their texts; null doc_ids come first.  An empty table gives no files and an empty result.  Columns
-other than doc_id and text are not stored.
+order of a 64-bit hash of their texts; null doc_ids come first.  A long text is encoded in one piece and is in one block,
+which then has more ids than others.  An empty table gives no files and an empty result.  Columns other than
+doc_id and text are not stored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import bounded_batches, chunks, documents, shared_dir, utf8
+from .common import body, bounded_batches, chunks, documents, shared_dir, utf8
 from .pretoken import BatchEncoder, library_encoder
 
 #: Selector 1, 2, ...: how many ids a word holds and their bits.  Selector 0 is the escape.
 LAYOUTS = [(60 // bits, bits) for bits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)]
 BLOCK_IDS = 1 << 16
 END_ID = 0
+CHUNK_BYTES = 1 << 20
 #: Files up to which their offsets are broadcast (16 bytes each); above, they are joined by a shuffle.
 BROADCAST_FILES = 100_000
 
@@ -120,32 +122,34 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable[[], BatchEnc
     """Write ``docs`` (doc_id, text) in ascending doc_id order to ``path``, one file for each range of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, file = encoder(), TaskContext.get().partitionId()
-        block, start, names, sizes, parts, held = 0, 0, [], [], [], 0
+        coder, file, block, start = encoder(), TaskContext.get().partitionId(), 0, 0
+        names, sizes, ids = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-        def out() -> pa.RecordBatch:
-            packed = pack(np.concatenate(parts)).tobytes()
-            row = {"file": file, "block": block, "start": start, "n_ids": held, "doc_ids": names, "sizes": sizes, "words": packed}
-            return pa.RecordBatch.from_pylist([row], schema)
+        def out(n: int, held: int) -> pa.RecordBatch:
+            """The first ``n`` documents, which have ``held`` ids, as one block."""
+            ends = pa.array([0, n], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (names.slice(0, n), pa.array(sizes[:n]))]
+            head = [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start]), pa.array([held])]
+            return pa.RecordBatch.from_arrays([*head, *lists, pa.array([pack(ids[:held]).tobytes()], pa.binary())], ["file", "block", "start", "n_ids", "doc_ids", "sizes", "words"])
 
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 2 << 20):
-                ids, at = coder.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
-                for name, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    names.append(name)
-                    sizes.append(b - a + 1)
-                    parts += [ids[a:b], np.array([end_id], np.uint32)]
-                    held += b - a + 1
-                    if held >= block_ids:
-                        yield out()
-                        block, start, names, sizes, parts, held = block + 1, start + held, [], [], [], 0
-        if names:
-            yield out()
-
-    schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("words", pa.binary())])
+            raw, offsets = utf8(batch.column(1))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                new, at = coder.encode_utf8(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                names = pa.concat_arrays([names, batch.column(0).slice(i, j - i)])
+                ids, sizes = np.concatenate([ids, np.insert(new, at[1:], end_id)]), np.concatenate([sizes, np.diff(at) + 1])
+                while len(ids) >= block_ids:
+                    n = int(np.searchsorted(np.cumsum(sizes), block_ids)) + 1
+                    held = int(sizes[:n].sum())
+                    yield out(n, held)
+                    names, sizes, ids, block, start = names.slice(n), sizes[n:], ids[held:], block + 1, start + held
+        if len(names):
+            yield out(len(names), len(ids))
+
     bounded_batches(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Equal ids are ordered by a hash of their texts, so that ranges can cut through them and no text is a bound.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(body()).alias("mark"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
     ordered.mapInArrow(run, "file int, block int, start long, n_ids long, doc_ids array<long>, sizes array<long>, words binary").write.parquet(path)
 
 
@@ -157,10 +161,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = unpack(np.frombuffer(row["words"], np.uint64), row["n_ids"]).astype("<u4")
                 size = np.array(row["sizes"], np.int64)
-                end = np.cumsum(size)
-                start = end - size
-                raw = [ids[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(start + row["start"] + row["before"]), pa.array(size), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                at = np.append(0, np.cumsum(size))
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(4 * at), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at[:-1] + row["start"] + row["before"]), pa.array(size), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     bounded_batches(spark)
     blocks = spark.read.parquet(path)

@@ -3,11 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cinderloom.llm import bpe, tokencount, tokenfile
+from cinderloom.llm import bpe, pretoken, tokencount, tokenfile
+from cinderloom.llm.common import utf8
 from cinderloom.llm.pretoken import BatchEncoder, Vocabulary, classes, library_encoder
 
 
@@ -22,10 +24,9 @@ def vocab():
 
 
 def test_character_classes_follow_the_library(library):
-    kinds = classes()
-    for c in range(0, 0x110000, 11):
-        if not 0xD800 <= c < 0xE000:
-            assert len(library.pre_tokenizer.pre_tokenize_str("a1!\n"[kinds[c]] + chr(c))) == 1, hex(c)
+    points = [c for c in range(0, 0x110000, 11) if not 0xD800 <= c < 0xE000]
+    for c, kind in zip(points, classes().of(np.array(points)).tolist(), strict=True):
+        assert len(library.pre_tokenizer.pre_tokenize_str("a1!\n"[kind] + chr(c))) == 1, hex(c)
 
 
 @pytest.mark.parametrize("own", [True, False])
@@ -37,6 +38,25 @@ def test_batch_encoder_equals_the_library(library, vocab, own):
         texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) + rnd.choice(["", "<|endoftext|>", "'ll x", "  "]) for _ in range(20)]
         ids, at = coder.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        again = coder.encode_utf8(*utf8(pa.array([*texts[:5], None, ""])))
+        assert again[0].tolist() == ids[: at[5]].tolist() and again[1].tolist() == [*at[:6].tolist(), at[5], at[5]]
+
+
+def test_words_with_one_hash_are_told_apart(library, monkeypatch):
+    """All words of a size have one hash here, and still get their own ids."""
+    monkeypatch.setattr(pretoken, "stretch", lambda sums, start, end, powers: (end - start).astype(np.uint64))
+    coder = BatchEncoder(library_encoder(bpe.vocabulary_path()).encode_words, {})
+    for text in ("the cat sat on the mat", "a dog ran off far and cat"):
+        assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_decoding_of_ids_that_are_no_text(library, vocab):
+    """Parts of a sign decode as the library decodes them, text by text."""
+    euro = vocab.merge("€".encode())
+    lists = [vocab.single[:3], [vocab.single[0xE2], vocab.single[0x82]], [vocab.single[0xAC]], euro, []]
+    at = np.append(0, np.cumsum([len(x) for x in lists]))
+    got = bpe.texts(np.array([i for x in lists for i in x], np.int32), at, bpe.vocabulary_path()).to_pylist()
+    assert got == [library.decode(x, skip_special_tokens=False) for x in lists]
 
 
 @pytest.mark.parametrize("word", ["ab" * 3000 + "zq" * 500, "x" * 49, "Straße" * 9, "é", "thetion" * 6])
@@ -94,12 +114,13 @@ def test_simple8b_round_trip(n, high):
 
 def test_op6_on_awkward_rows(spark, landed, awkward_rows, library):
     got = sorted((tuple(r) for r in tokenfile.op6_token_files(spark, landed["awkward"]).collect()), key=lambda r: r[1])
-    rows, start = sorted(awkward_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())), 0
-    assert len(got) == len(rows)
-    for (doc, at, n, crc), row in zip(got, rows, strict=True):
-        ids = library.encode(row[1] or "", add_special_tokens=False).ids + [0]
-        assert (doc, at, n, crc) == (row[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += n
+    want = []
+    for doc, text, *_ in awkward_rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        want.append((doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(((g[0], *g[2:]) for g in got), key=str) == sorted(want, key=str)
+    assert [g[0] for g in got] == sorted((w[0] for w in want), key=lambda d: (d is not None, d or 0))
+    assert [g[1] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1].tolist()]
     assert tokenfile.op6_token_files(spark, landed["empty"]).count() == 0
 
 

@@ -52,6 +52,35 @@ def discard(*frames: DataFrame) -> None:
             place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: A key with more than this part of all rows is frequent; so no more keys than this can be.
+SHARES = 1000
+
+
+def frequent(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """(key, parts) of frequent keys, ``SHARES`` rows at most; ``counts`` has one row for each key."""
+    return counts.where(F.col(n) * SHARES > total).select(key, F.ceil(F.col(n) * SHARES / F.lit(max(total, 1))).cast("int").alias("parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, often: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, key, how)``, where rows of ``left`` with a frequent key are dealt over many tasks.
+
+    Each row gets a part by its columns ``by`` and its partition; ``right`` is copied to all parts of its key.
+    """
+    often = F.broadcast(often)  # at most SHARES rows
+    part = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.col("parts")), F.lit(0)).cast("int")
+    dealt = left.join(often, key, "left").withColumn("part", part).drop("parts")
+    copied = right.join(often, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copied, [key, "part"], how).drop("part")
+
+
+def unused(columns: list[str]) -> str:
+    """A prefix that none of ``columns`` begins with, for columns of an operator's own (names are compared without case)."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def body(col: str | Column = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import discard, frequent, spread_join, stage
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -18,13 +18,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(spark, large, "large_star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, now = now, stage(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small_star")
-        discard(old, large)
+        # Sums are written before they are joined, and hubs are dealt over many tasks.
+        least = stage(spark, both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "large_least")
+        large = spread_join(both, least.select("a", "m"), "a", frequent(least, "a", "n", 2 * mark[0]), ["b"])
+        large = stage(spark, large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large_star")
+        lower = stage(spark, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "small_least")
+        small = spread_join(large, lower.select("a", "m"), "a", frequent(lower, "a", "n", mark[0]), ["b"])
+        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old, now = now, stage(spark, small.union(lower.select("a", F.col("m").alias("b"))).distinct(), "small_star")
+        discard(old, large, least, lower)
         mark, last = _mark(now), mark
         if mark == last:
             break

@@ -8,14 +8,18 @@ equal anchors at equal offsets.
 * Initial buckets: anchors by q-gram.  A string whose anchor is alone in its bucket occurs once.
 * An anchor's context is the stretch of all strings that it stands for.  Anchors of a bucket with one context have
   the same strings: all of them repeat.
-* Other buckets are refined by the identifiers of the bytes at farther offsets.  A small bucket is refined in one step,
-  down to its strings.  A large one is cut into two halves of offsets, whose strings share a longer core; the cores
-  give the new buckets, and these are treated the same way again, with halves of halves.
+* The contexts of another bucket are refined together.  All their places go to buckets by q-gram; each round sorts them
+  by the identifier of their own bucket and the identifier of the bucket at a later offset, which the round before has
+  refined, and so doubles the bytes that a bucket stands for (q, 2q, 4q = LENGTH).  Places that are alone drop out.
+* A bucket with too many contexts for one task is split by Spark first, by the same rule: its strings are halved by
+  their anchor's offset, and each half is dealt to new buckets, whose identifiers are made of the old one and of the
+  bytes at the farther offset that all strings of the half have.  New buckets are treated the same way again.
 
 Defined results: null text counts as empty.  Matches don't cross documents.  Copies of a document repeat each other, so they
 lose all their bytes if they have LENGTH or more.  Shorter texts lose nothing.  Repeated rows and null doc_ids
 are rows like others.  Rows are told apart by a 64-bit hash of their text, buckets and contexts by 64 bits each.
-Columns other than those asked for are left out.  An empty table gives an empty result.
+A long text is searched in pieces, and cut as a whole.  Columns other than those asked for are left out; those asked for
+may have any name that the result has not.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHARS, body, bounded_batches, chunks, documents, mix, prefix, ranges, stage, stretch, utf8
+from .common import CHARS, body, bounded_batches, chunks, documents, frequent, mix, prefix, ranges, spread_join, stage, stretch, unused, utf8
 
 LENGTH, GRAM = 200, 50
 #: Offsets that a string's anchor can have in it: 0 .. REACH - 1.
 REACH = LENGTH - GRAM + 1
-#: Contexts of a bucket that are refined in one task (under 1 MB of bytes); larger buckets are halved.
-SMALL = 2048
-CHUNK_BYTES, PIECE_BYTES = 1 << 20, 1 << 22
+#: Contexts of a bucket that are refined in one task (350 bytes each at most); larger buckets are split by Spark.
+SMALL = 512
+CHUNK_BYTES, PIECE_BYTES, CUTS = 1 << 20, 1 << 22, 1 << 14
 _PLACE_BITS = np.uint64(24)
 _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,55 +119,97 @@ def _joined(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size
 
 
+def _slices(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """The bytes of each stretch as a binary column."""
+    at = np.append(0, np.cumsum(stop - start)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw[ranges(start, stop - start)])])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each item of a list column, and the items."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), pc.list_flatten(lists)
+
+
 _CONTEXT = "node long, key long, place long, n long, low int, high int, bytes binary"
 _SPANS = "key long, start long, end long"
 
 
+def _numbered(key: np.ndarray) -> np.ndarray:
+    """Sorts the keys and numbers their buckets from 1; 0 for keys that are alone."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(key), np.int64)
+    if len(key):
+        out[order] = np.append(1, np.cumsum(~same) + 1) * (np.append(False, same) | np.append(same, False))
+    return out
+
+
+def refined(raw: np.ndarray, left: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which places begin a LENGTH-byte string that begins at another place of its node too.
+
+    ``left`` counts the bytes from each place to the end of its context, and ``node`` names the context's bucket.
+    """
+    bucket, sums = np.zeros(len(raw), np.int64), prefix(raw, CHARS)
+    place = np.flatnonzero(left >= GRAM)
+    bucket[place] = _numbered(mix(stretch(sums, place, place + GRAM, CHARS) ^ mix(node[place])))
+    depth = GRAM
+    while depth < LENGTH:
+        step = min(depth, LENGTH - depth)
+        place = place[left[place] >= depth + step]
+        place = place[(bucket[place] > 0) & (bucket[place + step] > 0)]
+        number = _numbered(bucket[place] << 32 | bucket[place + step])
+        bucket = np.zeros(len(raw), np.int64)
+        bucket[place] = number
+        depth += step
+    return bucket > 0
+
+
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small buckets, down to their strings: the spans of repeated ones, for anchors that occur once."""
-    for group in _whole_groups(batches):
-        node, place, n = (group[c].to_numpy() for c in ("node", "place", "n"))
-        at, least, most = _spread(place)
-        low, high = np.maximum(group["low"].to_numpy(), least), np.minimum(group["high"].to_numpy(), most)
-        raw, begin = _joined(group["bytes"])
-        many = np.maximum(high - low + 1, 0)
-        row, offset = np.repeat(np.arange(len(node)), many), ranges(low, many)
-        start = begin[row] + most[row] - offset
-        sums = prefix(raw, CHARS)
-        key = mix(stretch(sums, start, start + LENGTH, CHARS) ^ mix(offset.astype(np.uint64) ^ mix(node[row].view(np.uint64))))
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        hit = np.zeros(len(key), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        hit &= n[row] == 1
-        row, offset = row[hit], offset[hit]
-        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
-        end = np.append(new[1:], len(row)) - 1
-        r = row[new]
-        yield _table(["key", "start", "end"], group["key"].to_numpy()[r], at[r] - offset[end] if len(r) else r, at[r] - offset[new] + LENGTH if len(r) else r)
+    """The spans of repeated strings in buckets that fit a task, for contexts that occur once."""
+    for whole in _whole_groups(batches):
+        names = whole["node"].to_numpy()
+        ends = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
+        _, least, most = _spread(whole["place"].to_numpy())
+        held = np.append(0, np.cumsum(most - least + LENGTH))[ends]
+        for i, j in chunks(held, CHUNK_BYTES):  # whole nodes
+            yield _refine_nodes(whole.slice(ends[i], ends[j] - ends[i]))
+
+
+def _refine_nodes(group: pa.Table) -> pa.RecordBatch:
+    node, place, n = (group[c].to_numpy() for c in ("node", "place", "n"))
+    at, least, most = _spread(place)
+    raw, begin = _joined(group["bytes"])
+    size = most - least + LENGTH
+    row = np.repeat(np.arange(len(node)), size)
+    hit = refined(raw, (begin + size)[row] - np.arange(len(raw)), node.view(np.uint64)[row])
+    hit &= n[row] == 1
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    r = row[first]  # a run lies in one context: a context's last bytes begin no string
+    return _table(["key", "start", "end"], group["key"].to_numpy()[r], at[r] - most[r] + first - begin[r], at[r] - most[r] + last - begin[r] + LENGTH)
 
 
 def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each context once for each half of its range of offsets, with the half's core as its new bucket."""
+    """Each context once for each half of its bucket's offsets, cut to the strings of that half, in its new bucket."""
     for batch in batches:
-        node, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        node, place = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
         low, high = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
-        _, least, most = _spread(place)
+        at, least, most = _spread(place)
         raw, begin = _joined(batch.column(6))
-        sums, middle = prefix(raw, CHARS), (low + high) // 2
-        for a, b in ((low, middle), (middle + 1, high)):
+        sums, middle, anchor = prefix(raw, CHARS), (low + high) // 2, begin + most
+        for a, b, new, end in ((low, middle, LENGTH - high, LENGTH - middle), (middle + 1, high, -middle - 1, -low)):
             r = np.flatnonzero((a <= b) & (a <= most) & (b >= least))
             if not len(r):
                 continue
-            anchor = begin[r] + most[r]
-            core = stretch(sums, anchor - a[r], anchor - b[r] + LENGTH, CHARS)
             inner, outer = np.maximum(a[r], least[r]), np.minimum(b[r], most[r])
-            whole = stretch(sums, anchor - outer, anchor - inner + LENGTH, CHARS)
+            start, stop = anchor[r] - outer, anchor[r] - inner + LENGTH
+            farther = stretch(sums, anchor[r] + new[r], anchor[r] + end[r], CHARS)
+            child = mix(mix(node[r] ^ mix(a[r].astype(np.uint64) + _SEED)) ^ farther)
+            content = mix(stretch(sums, start, stop, CHARS) ^ mix((inner << 8 | outer).astype(np.uint64)))
             part = batch.take(pa.array(r))
-            child = mix(mix(node[r].view(np.uint64) ^ mix(a[r].astype(np.uint64) + _SEED)) ^ core)
             yield _table(
                 ["node", "key", "place", "n", "low", "high", "bytes", "content"],
-                child, part.column(1), part.column(2), part.column(3), a[r].astype(np.int32), b[r].astype(np.int32), part.column(6), mix(whole ^ mix((inner << 8 | outer).astype(np.uint64))),
+                child, part.column(1), at[r] << 16 | inner << 8 | outer, part.column(3), a[r].astype(np.int32), b[r].astype(np.int32), _slices(raw, start, stop), content,
             )
 
 
@@ -180,14 +227,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for k, found in enumerate(batch.column(2).to_pylist()):
-                text = raw[offsets[k] : offsets[k + 1]]
-                rows = []
-                for x in found:
-                    at, low, high = _spread(x["place"])
-                    rows.append((x["bucket"], x["place"], x["n"], text[at - high : at - low + LENGTH].tobytes()))
-                node, place, n, raws = zip(*rows, strict=True)
-                yield _table(["node", "key", "place", "n", "low", "high", "bytes"], pa.array(node, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([REACH - 1] * len(rows), pa.int32()), pa.array(raws, pa.binary()))
+            of, found = _flat(batch.column(2))
+            key = batch.column(0).to_numpy()[of]
+            node, place, n = (pc.struct_field(found, c).to_numpy() for c in ("bucket", "place", "n"))
+            at, low, high = _spread(place)
+            start, stop = offsets[of] + at - high, offsets[of] + at - low + LENGTH
+            for i in range(0, len(of), CUTS):
+                w = slice(i, i + CUTS)
+                whole = [np.full(len(of[w]), x, np.int32) for x in (0, REACH - 1)]
+                yield _table(["node", "key", "place", "n", "low", "high", "bytes"], node[w], key[w], place[w], n[w], *whole, _slices(raw, start[w], stop[w]))
 
     bounded_batches(spark)
     texts = docs.select(text_key().alias("key"), body().alias("text"))
@@ -211,9 +259,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         halves = stage(spark, large.mapInArrow(_halve, f"{_CONTEXT}, content long"), "repeats_halves")
         sizes = halves.groupBy("node").agg(F.count("*").alias("k"), F.sum("n").alias("all"), (F.min("content") == F.max("content")).alias("even"))
         halves = stage(spark, halves.join(stage(spark, sizes.where(F.col("all") > 1), "repeats_sizes"), "node"), "repeats_nodes")
-        least, most = F.greatest(low, F.col("low")), F.least(high, F.col("high"))
         even = halves.where("even and n = 1")
-        spans.append(even.select("key", (F.expr("place >> 16") - most).alias("start"), (F.expr("place >> 16") - least + LENGTH).alias("end")))
+        spans.append(even.select("key", (F.expr("place >> 16") - high).alias("start"), (F.expr("place >> 16") - low + LENGTH).alias("end")))
         small.append(halves.where(~F.col("even") & (F.col("k") <= SMALL)).select(*names))
         large = halves.where(~F.col("even") & (F.col("k") > SMALL)).select(*names)
     rows = small[0]
@@ -232,33 +279,41 @@ def text_key():
 def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (bytes left) of each document."""
     spark = docs.sparkSession
-    spans = repeated_spans(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = stage(spark, repeated_spans(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats_spans")
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")])
-    names = [f.name for f in schema]
+    names, own = [f.name for f in schema], unused([*keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(len(keep)))
-            lists = batch.column(len(keep) + 1)
             for i, j in chunks(offsets, CHUNK_BYTES):
-                rows = []
-                for k in range(i, j):
-                    text, runs = raw[offsets[k] : offsets[k + 1]].tobytes(), []
-                    for s in sorted((x["start"], x["end"]) for x in lists[k].as_py() or []):
-                        if runs and s[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], s[1])
-                        else:
-                            runs.append(list(s))
-                    edges = [0, *(e for r in runs for e in r), len(text)]
-                    left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(text), len(text) - len(left), len(runs), [{"start": a, "end": b} for a, b in runs], left))
-                columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:3]]
-                spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], *columns, pa.array([r[3] for r in rows], spans_kind), pa.array([r[4] for r in rows], pa.binary())], names)
+                text, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                row, found = _flat(batch.column(len(keep) + 1).slice(i, j - i))
+                start, end = (at[row] + pc.struct_field(found, c).to_numpy() for c in ("start", "end"))
+                order = np.lexsort((start, row))
+                row, start, end = row[order], start[order], np.maximum.accumulate(end[order])
+                new = np.append(True, (start[1:] > end[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+                first = np.flatnonzero(new)
+                row, start, end = row[first], start[first], end[np.append(first[1:], len(end))[: len(first)] - 1]
+                edge = np.zeros(len(text) + 1, np.int64)
+                np.add.at(edge, start, 1)
+                np.add.at(edge, end, -1)
+                keeps = np.cumsum(edge[:-1]) == 0
+                left = np.append(0, np.cumsum(keeps))[at]
+                ends = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                runs = pa.StructArray.from_arrays([pa.array(start - at[row]), pa.array(end - at[row])], ["start", "end"])
+                kept = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(text[keeps])])
+                sizes = map(pa.array, (np.diff(at), np.diff(at) - np.diff(left), np.diff(ends).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[: len(keep)], *sizes, pa.ListArray.from_arrays(pa.array(ends), runs), kept], names)
 
     bounded_batches(spark)
-    rows = docs.select(*keep, text_key().alias("__key"), body().alias("__text"))
-    return rows.join(spans, rows["__key"] == spans["key"], "left").select(*keep, "__text", "spans").mapInArrow(run, schema)
+    key, text = own + "key", own + "text"
+    rows = docs.select(*keep, text_key().alias(key), body().alias(text))
+    counts = stage(spark, rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "repeats_copies")
+    often = frequent(counts, key, "n", docs.count())
+    # Many copies of one text are dealt over many tasks.
+    joined = spread_join(rows, spans.withColumnRenamed("key", key).withColumnRenamed("spans", own + "spans"), key, often, [*keep], "left")
+    return joined.select(*keep, text, own + "spans").mapInArrow(run, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,18 @@ def without(texts):
     return out
 
 
+def test_refinement_finds_repeated_strings_of_a_node():
+    rnd = random.Random(6)
+    base = "".join(rnd.choice("abc") for _ in range(400)).encode()
+    parts = [base[:350], base[20:300], base[:210], bytes(rnd.choice(b"xyz") for _ in range(260)), base[:350]]
+    nodes = [1, 1, 1, 1, 2]
+    count = Counter((n, p[i : i + 200]) for n, p in zip(nodes, parts, strict=True) for i in range(len(p) - 199))
+    want = [len(p) - i >= 200 and count[n, p[i : i + 200]] > 1 for n, p in zip(nodes, parts, strict=True) for i in range(len(p))]
+    left = np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+    node = np.repeat(np.array(nodes, np.uint64), [len(p) for p in parts])
+    assert suffix_dedup.refined(np.frombuffer(b"".join(parts), np.uint8), left, node).tolist() == want
+
+
 @pytest.mark.parametrize("small", [64, 3])
 def test_repeats_are_removed_to_the_byte(spark, monkeypatch, small):
     monkeypatch.setattr(suffix_dedup, "SMALL", small)

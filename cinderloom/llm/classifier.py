@@ -8,7 +8,9 @@ Grades made from ``labels``: 0 toxic, 1 not toxic but of low quality, 2 neither.
 
 Defined results: unrated documents are scored like the others.  Null or empty text has the shape features of
 an empty text only.  Ratings with nulls are left out, and of several ratings of a document the lowest counts.
-Without any rating all weights are 0 and each grade is equally likely.  Repeated rows are scored one by one.
+Of several texts with one id the fit uses the least.  Without any rating all weights are 0 and each grade is equally
+likely.  Repeated rows are scored one by one.  A long text is scored whole.  Columns other than doc_id and text are not
+used, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CHARS, bounded_batches, chunks, documents, prefix, ranges, stretch, utf8
+from .common import CHARS, body, bounded_batches, chunks, documents, prefix, ranges, stage, stretch, utf8
 
 GRADES = 3
 #: Hashed features, and rated rows that a fit uses at most (chosen by a hash of the id, whatever the order).
 BITS, SAMPLE = 20, 20_000
+#: Bytes of text of these rows at most: the first ones by that hash that fit.
+SAMPLE_BYTES = 256 << 20
 #: The first so many bytes of longer words are features too.
 STEMS = (5, 7)
 EPOCHS, RATE, DECAY, SEED = 12, 0.15, 3e-4, 7
@@ -123,12 +127,18 @@ class Ordinal:
         return self
 
 
-def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, grade) of the rated documents that the fit uses."""
+def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, grade) of the rated documents that the fit uses, one row for each id."""
+    spark = docs.sparkSession
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     ratings = labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")  # at most ``sample`` rows
+    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # at most ``sample`` rows are sent
+    rows = stage(spark, rows, "rated")
+    # Ids and sizes of at most ``sample`` rows are put in order.
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = rows.select("doc_id", held.alias("held")).where(F.col("held") <= sample_bytes).select("doc_id")
+    return rows.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "grade")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:

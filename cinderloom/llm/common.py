@@ -22,17 +22,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, a local session gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder for intermediate tables")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/cinderloom/{name}-{uuid.uuid4().hex}"
 
 
 def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
-    """Batches that go to Python are cut by bytes too, so that long texts don't make huge ones."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Batches that go to Python are cut by bytes too, so that long texts don't make huge ones.
+
+    The setting is read when a query runs, so it stays in the session; a smaller one of the user's is kept.
+    """
+    name, bound = "spark.sql.execution.arrow.maxBytesPerBatch", mb << 20
+    now = spark.conf.get(name, None)
+    if not (now and now.isdigit() and 0 < int(now) <= bound):
+        spark.conf.set(name, str(bound))
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -66,11 +74,13 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, often: DataFrame, b
 
     Each row gets a part by its columns ``by`` and its partition; ``right`` is copied to all parts of its key.
     """
-    often = F.broadcast(often)  # at most SHARES rows
-    part = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.col("parts")), F.lit(0)).cast("int")
-    dealt = left.join(often, key, "left").withColumn("part", part).drop("parts")
-    copied = right.join(often, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copied, [key, "part"], how).drop("part")
+    own = unused([*left.columns, *right.columns])
+    parts, part = own + "parts", own + "part"
+    often = F.broadcast(often.withColumnRenamed("parts", parts))  # at most SHARES rows
+    which = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.col(parts)), F.lit(0)).cast("int")
+    dealt = left.join(often, key, "left").withColumn(part, which).drop(parts)
+    copied = right.join(often, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(copied, [key, part], how).drop(part)
 
 
 def unused(columns: list[str]) -> str:

@@ -6,9 +6,9 @@ Hits are then checked against the bytes at that locator; where bytes differ, the
 grouped by their whole text.
 
 Defined results: null counts as the empty text, and all empty texts are equal.  Of equal texts, the row with
-the most code points in its original text stays, then the smallest doc_id (null last), then the last row in
-file order, so of repeated rows exactly one stays.  An empty table gives an empty result.  Columns of the
-input other than doc_id and text are not used.
+the most code points in its original text stays, then the smallest doc_id (null last), then the first row in
+file order, so of repeated rows exactly one stays.  An empty table gives an empty result.  A long text is digested and
+compared whole.  Columns of the input other than doc_id and text are not used, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, body, discard, shared_dir, stage
+from .common import SPACE, body, discard, shared_dir, stage, unused
 
 #: State on disk, its memory bounded for each executor; files are not allocated ahead, as there may be many small stores.
 STATE_STORE = {
@@ -56,7 +56,7 @@ def _locator() -> Column:
 
 
 def _arrivals(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """A row for each document with its digest, normalised text, locator and rank among equals (larger stays)."""
+    """A row for each document with its digest, normalised text, locator and rank among equals (the least stays)."""
     text = body("text")
     found = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -64,7 +64,15 @@ def _arrivals(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
         F.length(text).cast("long").alias("points"),
         _locator().alias("at"),
     )
-    return found.withColumns({"digest": digest(F.col("norm")), "low": -F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))})
+    return found.withColumns({"digest": digest(F.col("norm")), "rank": F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")})
+
+
+def _pattern(path: str) -> str:
+    """A pattern that only ``path`` matches: as a pattern, it may be one file.  Spark's file streams can't take other signs of patterns."""
+    path = path.rstrip("/")
+    if signs := set(path) & set("*?[]{}\\"):
+        raise ValueError(f"a path with {' '.join(sorted(signs))} would be taken for a pattern: {path}")
+    return f"{path[:-1]}[{path[-1]}]"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -85,8 +93,8 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     """
     base = state_dir or shared_dir(spark, "dedup_state")
     out, checkpoint = f"{base}/changes", f"{base}/checkpoint"
-    arriving = _arrivals(spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(f"{path[:-1]}[{path[-1]}]"), digest)  # as a pattern, the path may be one file
-    state = arriving.groupBy("digest").agg(F.max(F.struct("points", "low", "doc_id", "at")).alias("best"), F.count("*").alias("n"))
+    arriving = _arrivals(spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(_pattern(path)), digest)
+    state = arriving.groupBy("digest").agg(F.min("rank").alias("best"), F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -94,7 +102,7 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     with _settings(spark, **STATE_STORE):
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    kind = "digest string, best struct<points: long, low: long, doc_id: long, at: struct<file: string, row: long>>, n long, batch long"
+    kind = "digest string, best struct<fewer: long, unnamed: boolean, doc_id: long, at: struct<file: string, row: long>>, n long, batch long"
     # A query that has seen no file has written none.
     changes = spark.read.schema(kind).parquet(out) if _exists(spark, out) else spark.createDataFrame([], kind)
     last = changes.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s"))
@@ -120,7 +128,7 @@ def dedup_files(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     result = ["doc_id", "keep_id", "group_size", "kept", "digest", "at"]
     if wrong.isEmpty():
         return seen.select(*result)
-    order = [F.desc("points"), F.asc_nulls_last("doc_id"), F.desc("at")]
+    order = [F.desc("points"), F.asc_nulls_last("doc_id"), F.asc("at")]
     again = seen.join(wrong, "digest", "left_semi")
     whole = Window.partitionBy("digest", "norm")
     again = again.withColumns({"keep_id": F.first("doc_id").over(whole.orderBy(*order)), "kept": F.row_number().over(whole.orderBy(*order)) == 1, "group_size": F.count("*").over(whole)})
@@ -132,8 +140,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     path = shared_dir(spark, "dedup_landing")
     docs.write.parquet(path)
     stay = dedup_files(spark, path).where("kept").select("at")
-    landed = spark.read.parquet(path)
-    return landed.withColumn("at", _locator()).join(stay, "at", "left_semi").select(*docs.columns)
+    at = unused(docs.columns) + "at"
+    landed = spark.read.parquet(path).withColumn(at, _locator())
+    return landed.join(stay.withColumnRenamed("at", at), at, "left_semi").select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ Targets share the wanted size by weight; a source whose target is above its most
 and the excess goes to the others by weight, again and again until none is above.  Each source is then taken
 in whole repetitions, and the rest as a seeded sample: documents stand in the order of a seeded digest of their
 id, and the sample is the head of that order; the document at its end gives the words that are still missing.
-The order is cut into buckets of digest prefixes, so that only one bucket of a source is ever sorted.
+The order is cut into buckets of digest prefixes; the bucket in which a source's sample ends is cut by longer prefixes
+until it is small, so that only few rows of a source are ever sorted.
 
 Defined results: null text has size 0.  Null is a source of its own, the last one.  Documents with equal ids
-stand in the order of their sizes; repeated rows count row by row.  Sources without words have target 0.  An
-empty table gives an empty result.
+stand in the order of their texts' digests, those without ids in a seeded order of these; of rows with one id and one
+text, any may be taken.  Sources without words have target 0.  A long text counts whole.  Columns named like the
+result's own are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ from .common import WORD, body, documents, stage
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-#: Hexadecimal digits of the digest that name a bucket: 256 buckets a source.
-BUCKET_DIGITS = 2
+#: Hexadecimal digits by which a bucket's prefix is longer than the last one: 256 buckets of each; rows of a bucket that
+#: is sorted; digits of a document's place in the order (its mark, its text's digest and its row's digest).
+BUCKET_DIGITS, BUCKET_ROWS, DIGITS = 2, 10_000, 96
 #: Sources up to which their rows are broadcast (some 100 bytes each); above, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: Names that the result has of its own; columns of the input with such names are left out.
-OWN = {"size", "mark", "source_size", "weight", "target", "taken", "epochs", "missing", "end_bucket", "before", "head", "left"}
+OWN = {"size", "mark", "source_size", "weight", "target", "taken", "epochs", "missing", "end_bucket", "before", "head", "left", "bucket", "words", "n"}
 
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, source and size (words) of each document, and its seeded digest."""
     size = F.regexp_count(body(), F.lit(WORD)).cast("long")
-    mark = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    text = F.md5(body().cast("binary"))
+    mark = F.concat(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), text)).cast("binary")), text)
     names = dict.fromkeys([*(c for c in keep if c not in OWN), "source"])
     return docs.select(*names, size.alias("size"), mark.alias("mark"))
 
@@ -69,6 +73,8 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, source, size, source_size, target and taken of each document."""
     spark, keep = docs.sparkSession, [c for c in dict.fromkeys(keep) if c not in OWN]
     sized = stage(spark, sizes(docs, *keep), "mix_sizes")
+    row = F.md5(F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string")).cast("binary"))
+    sized = sized.withColumn("mark", F.concat("mark", row))
     sources = targets(sized)
     whole = F.floor(F.col("target") / F.col("source_size"))
     goal = sources.withColumns(
@@ -77,23 +83,35 @@ def mix(docs: DataFrame, *keep: str) -> DataFrame:
             "missing": F.when(F.col("source_size") > 0, F.round("target").cast("long") - whole.cast("long") * F.col("source_size")).otherwise(F.lit(0)),
         }
     )
-    bucket = F.substring("mark", 1, BUCKET_DIGITS)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    buckets = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    goal = stage(spark, goal, "mix_goals")
+    few = goal.count() <= BROADCAST_SOURCES
+
+    def sent(rows: DataFrame) -> DataFrame:
+        """``rows``, of which each source has one."""
+        return F.broadcast(rows) if few else rows
+
     # The bucket in which a source's sample ends.
-    same = buckets["source"].eqNullSafe(goal["source"])
-    ends = buckets.join(goal, same).where("before <= missing and missing < before + words")
-    ends = ends.select(buckets["source"], "bucket", "before")
-    sources = goal.join(ends, goal["source"].eqNullSafe(ends["source"]), "left").select(goal["source"], "source_size", "target", "epochs", "missing", F.col("bucket").alias("end_bucket"), "before")
-    sources = stage(spark, sources, "mix_goals")
-    small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+    ends, digits = goal.where("missing > 0").select("source", "missing", F.lit("").alias("end_bucket"), F.lit(0).cast("long").alias("before")), 0
+    while digits < DIGITS:
+        digits += BUCKET_DIGITS
+        last = sent(ends)
+        inside = sized.join(last, sized["source"].eqNullSafe(last["source"])).drop(last["source"]).where(F.startswith("mark", "end_bucket"))
+        buckets = inside.groupBy("source", "missing", "before", F.substring("mark", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = buckets.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+        found = stage(spark, buckets.where("before <= missing and missing < before + words"), "mix_ends")
+        ends = found.select("source", "missing", F.col("bucket").alias("end_bucket"), "before")
+        if found.where(F.col("n") > BUCKET_ROWS).isEmpty():
+            break
+    sources = goal.join(ends, goal["source"].eqNullSafe(ends["source"]), "left").select(goal["source"], "source_size", "target", "epochs", goal["missing"], "end_bucket", "before")
+    small = sent(stage(spark, sources, "mix_sources"))
+    bucket = F.substring("mark", 1, digits)
     rows = sized.join(small, sized["source"].eqNullSafe(small["source"])).drop(small["source"])
     rows = rows.withColumn("head", F.when(F.col("end_bucket").isNull(), F.col("missing") > 0).otherwise(bucket < F.col("end_bucket")))
     names = [*keep, *(["source"] if "source" not in keep else []), "size", "source_size", "target"]
     at_end = F.col("end_bucket").isNotNull() & (bucket == F.col("end_bucket"))
     straight = rows.where(~at_end).select(*names, (F.col("epochs") * F.col("size") + F.when(F.col("head"), F.col("size")).otherwise(F.lit(0))).alias("taken"))
-    inside = Window.partitionBy("source").orderBy("mark", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("missing") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     last = rows.where(at_end).withColumn("left", left)
     last = last.select(*names, (F.col("epochs") * F.col("size") + F.least(F.col("size"), F.greatest(F.col("left"), F.lit(0)))).alias("taken"))
@@ -108,7 +126,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mark
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) || md5(coalesce(text, '')) AS mark
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -134,7 +152,7 @@ g AS (
 q AS (
   SELECT d.doc_id, d.source, d.size, g.source_size, g.target,
          CASE WHEN g.source_size > 0 THEN CAST(floor(target / g.source_size) AS BIGINT) ELSE 0 END AS epochs,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY mark, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, source, size, source_size, target,
   CAST(epochs * size + CASE WHEN source_size > 0 THEN least(size, greatest(CAST(round(target) AS BIGINT) - epochs * source_size - before, 0)) ELSE 0 END AS BIGINT) AS taken

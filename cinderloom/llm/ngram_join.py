@@ -11,8 +11,8 @@ That gives groups of candidates.  Within a group all pairs are compared exactly,
 in one task each, large ones block by block, so that no task holds a large group and no pairs are written; each
 set gets its exact number of links, and the links' components are the near-duplicate classes.
 
-Defined results: a text of 1 to 4 words is one n-gram; a text without words links to nothing and is a class by itself.
-Repeated rows are copies.  Null doc_ids are rows like others, and a class's id is the smallest doc_id that is not
+Defined results: a text of 1 to 4 words is one n-gram; a null text, as one without words, links to nothing and is a class by
+itself.  Links of exactly the threshold count.  A long text is compared whole.  Repeated rows are copies.  Null doc_ids are rows like others, and a class's id is the smallest doc_id that is not
 null in it.  Columns other than those asked for are left out.  An empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, mix, prefix, ranges, shared_dir, stage, stretch, utf8, words_of
+from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, mix, prefix, ranges, shared_dir, stage, stretch, unused, utf8, words_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -407,17 +407,18 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
     Classes are told apart by their sets, not by ids, which may be null or stand on several texts.  Rows without words stay.
     """
+    at = unused(docs.columns) + "at"
     try:  # rows of files have a place already
-        landed = docs.withColumn("__at", F.expr(PLACE))
+        landed = docs.withColumn(at, F.expr(PLACE))
     except AnalysisException:
         path = shared_dir(docs.sparkSession, "join_landing")
         docs.write.parquet(path)
-        landed = docs.sparkSession.read.parquet(path).withColumn("__at", F.expr(PLACE))
-    rows = _labelled(landed, "__at")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__at")
-    grouped = rows.where(F.col(LABEL).isNotNull()).groupBy(LABEL).agg(F.min_by("__at", order).alias("__at")).select("__at")
-    stay = grouped.union(rows.where(F.col(LABEL).isNull()).select("__at"))
-    return landed.join(stay, "__at", "left_semi").select(*docs.columns)
+        landed = docs.sparkSession.read.parquet(path).withColumn(at, F.expr(PLACE))
+    rows = _labelled(landed, at)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", at)
+    grouped = rows.where(F.col(LABEL).isNotNull()).groupBy(LABEL).agg(F.min_by(at, order).alias(at)).select(at)
+    stay = grouped.union(rows.where(F.col(LABEL).isNull()).select(at))
+    return landed.join(stay, at, "left_semi").select(*docs.columns)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ Words, lines and word n-grams of several lengths are found and hashed with numpy
 measured against all code points in words.
 
 Defined results: null or empty text has 0 words and fails the base rule.  Rows are judged one by one, so
-repeated rows, ties, null doc_ids and other columns pass through unchanged.  An empty table stays empty.
+repeated rows, ties, null doc_ids and other columns pass through unchanged, but for columns named as a measure, which
+are replaced.  A long text is measured whole.  An empty table stays empty.
 """
 
 from __future__ import annotations

@@ -213,7 +213,13 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def copies(docs: DataFrame) -> DataFrame:
+    """(key, parts) of texts that hold many rows; see ``spread_join``."""
+    counts = docs.groupBy(text_key().alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return frequent(stage(docs.sparkSession, counts, "repeats_copies"), "key", "n", docs.count())
+
+
+def repeated_spans(docs: DataFrame, copied: DataFrame) -> DataFrame:
     """(key, start, end) of repeated strings, joined where an anchor's overlap; key is ``text_key`` of the text."""
     spark = docs.sparkSession
 
@@ -225,10 +231,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield _table(["bucket", "context", "key", "place"], bucket.view(np.int64), context.view(np.int64), key[i + row], (at + base) << 16 | low << 8 | high)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            fresh = np.append(key[:1] != last, key[1:] != key[:-1])  # copies of a text stand together and are cut once
+            batch, last = batch.filter(pa.array(fresh)), key[-1]
             raw, offsets = utf8(batch.column(1))
             of, found = _flat(batch.column(2))
-            key = batch.column(0).to_numpy()[of]
+            key = key[fresh][of]
             node, place, n = (pc.struct_field(found, c).to_numpy() for c in ("bucket", "place", "n"))
             at, low, high = _spread(place)
             start, stop = offsets[of] + at - high, offsets[of] + at - low + LENGTH
@@ -250,7 +262,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = whole.select("key", (F.expr("place >> 16") - high).alias("start"), (F.expr("place >> 16") - low + LENGTH).alias("end"))
     mixed = contexts.join(kinds, "bucket").select(F.col("one.key").alias("key"), F.struct("bucket", F.col("one.place").alias("place"), "n", "k").alias("x"))
     mixed = mixed.groupBy("key").agg(F.collect_list("x").alias("found"))  # a text's own anchors
-    cuts = texts.join(mixed, "key").select("key", "text", "found").mapInArrow(cut, _CONTEXT).dropDuplicates(["node", "place", "key"])
+    mixed = stage(spark, mixed, "repeats_mixed")
+    cuts = spread_join(texts, mixed, "key", copied, []).select("key", "text", "found").mapInArrow(cut, _CONTEXT).dropDuplicates(["node", "place", "key"])
     cuts = stage(spark, cuts.join(kinds.withColumnRenamed("bucket", "node"), "node"), "repeats_cuts")
     names = [c for c in cuts.columns if c != "k"]
     small, spans = [cuts.where(F.col("k") <= SMALL).select(*names)], [whole]
@@ -279,7 +292,8 @@ def text_key():
 def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (bytes left) of each document."""
     spark = docs.sparkSession
-    spans = stage(spark, repeated_spans(docs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats_spans")
+    often = copies(docs)
+    spans = stage(spark, repeated_spans(docs, often).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeats_spans")
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")])
     names, own = [f.name for f in schema], unused([*keep])
 
@@ -309,10 +323,8 @@ def without_repeats(docs: DataFrame, *keep: str) -> DataFrame:
     bounded_batches(spark)
     key, text = own + "key", own + "text"
     rows = docs.select(*keep, text_key().alias(key), body().alias(text))
-    counts = stage(spark, rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "repeats_copies")
-    often = frequent(counts, key, "n", docs.count())
-    # Many copies of one text are dealt over many tasks.
-    joined = spread_join(rows, spans.withColumnRenamed("key", key).withColumnRenamed("spans", own + "spans"), key, often, [*keep], "left")
+    spans, often = spans.withColumnRenamed("key", key).withColumnRenamed("spans", own + "spans"), often.withColumnRenamed("key", key)
+    joined = spread_join(rows, spans, key, often, [*keep], "left")  # many copies of one text are dealt over many tasks
     return joined.select(*keep, text, own + "spans").mapInArrow(run, schema)
 
 

@@ -4,7 +4,7 @@ import pytest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves: columns of the input that have them must not get in the way.
-CLASHES = "size long, kept boolean, ids string, decoded string, n_words long, key long, spans string, email string, start long, mark string, set long, class_id long, digest string, score double"
+CLASHES = "size long, kept boolean, ids string, decoded string, n_words long, key long, spans string, email string, start long, mark string, set long, class_id long, digest string, score double, __text string, __at long, at long, rank int, part int, bucket string, missing long, before long, words long, low int, root long"
 
 
 def prose(rnd: random.Random, n: int) -> str:

@@ -85,6 +85,22 @@ def test_later_files_count_however_old_they_are(spark, tmp_path):
     assert sorted(r.group_size for r in rows) == [1, 1, 2]
 
 
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+@pytest.mark.parametrize("tail", ["", "/"])
+def test_extreme_ids_ties_and_odd_paths(spark, tmp_path, tail):
+    rows = [(LEAST, "a b"), (0, "ab "), (MOST, "c"), (LEAST, "c"), (None, "c"), (None, "d"), (MOST, "d"), (LEAST, "e"), (LEAST, "e"), (None, "f"), (None, "f")]
+    want, n = groups(rows)
+    with pytest.raises(ValueError, match="pattern"):
+        dedup.stream_state(spark, str(tmp_path / "odd[1]dir"), None)
+    plain = str(tmp_path / "plain")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(plain)
+    got = dedup.dedup_files(spark, plain + tail).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.digest) for r in got), key=str) == want
+    assert sum(r.kept for r in got) == n
+
+
 def test_deduplicated_keeps_columns(spark, clashing, awkward_rows):
     rows = dedup.deduplicated(spark, clashing)
     assert rows.columns == clashing.columns and rows.count() == groups(awkward_rows)[1]
@@ -124,6 +140,31 @@ def test_op8_on_awkward_rows(spark, landed, awkward_rows):
     assert mixing.op8_mix(spark, landed["empty"]).count() == 0
 
 
+def test_mix_takes_the_same_rows_however_they_are_partitioned(spark, monkeypatch):
+    """Ids that are null, equal or extreme; rows that differ in nothing are as good as each other."""
+    rnd = random.Random(9)
+    ids = [None, None, 5, LEAST, MOST]
+    rows = [(ids[i % 5], prose(rnd, 3), None if i % 3 else "s", 0, 0) for i in range(300)] + [(None, "same text here", "t", 0, 0)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text", "source")
+    taken = []
+    for parts, bound in ((1, 10_000), (7, 10_000), (5, 2)):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", bound)
+        got = mixing.mix(docs.repartition(parts), "doc_id", "text").collect()
+        taken.append(sorted(map(str, got)))
+        _, _, target = mixed([(r[0], r[1], 0, r[2]) for r in docs.collect()])
+        for s, t in target.items():
+            assert abs(sum(r.taken for r in got if r.source == s) - t) <= 1
+    assert taken[0] == taken[1] == taken[2]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_mix_with_few_and_many_sources(spark, landed, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    assert mixing.op8_mix(spark, landed["awkward"]).agg(F.sum("taken")).first()[0] > 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000 - few)
+    assert len({tuple(sorted(map(str, mixing.op8_mix(spark, landed["awkward"]).collect()))) for _ in range(2)}) == 1
+
+
 def test_mix_leaves_clashing_columns_out(clashing):
     rows = mixing.mix(clashing, *clashing.columns)
     assert rows.count() == clashing.count() and rows.columns.count("size") == 1
@@ -227,6 +268,33 @@ def test_classes_are_not_told_apart_by_their_ids(spark):
     assert sorted((r for r in got if r not in near_copies), key=str) == sorted([(7, two), (7, three), (8, four), (None, " "), (7, None), (9, "")], key=str)
 
 
+def test_distinct_documents_row_by_row(spark):
+    """Held against brute force by rows: repeated, null and extreme ids, rows without words, a column named like the place."""
+    rnd = random.Random(14)
+    bases = [prose(rnd, 80) for _ in range(6)]
+    rows = [(rnd.choice([None, 3, LEAST, MOST, i]), edited(rnd, rnd.choice(bases), rnd.randrange(2)), i) for i in range(60)] + [(None, " ", 60), (3, None, 61), (3, "", 62)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __at long").repartition(3)
+    got = {r["__at"] for r in ngram_join.distinct_documents(docs).collect()}
+    # near() names classes by ids, so each row gets its number as its id here.
+    classes = {n: c for n, c, *_ in near([(r[2], r[1]) for r in rows])}
+    assert {60, 61, 62} <= got
+    for c in set(classes.values()) - {60, 61, 62}:
+        members = [r for r in rows if classes[r[2]] == c]
+        stays = [r for r in members if r[2] in got]
+        assert len(stays) == 1 and (stays[0][0] is None, stays[0][0] or 0) == min((r[0] is None, r[0] or 0) for r in members)
+
+
+def test_spread_join_equals_join(spark):
+    from cinderloom.llm.common import frequent, spread_join
+
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, x long").repartition(4)
+    right = spark.createDataFrame([(k, -k) for k in range(0, 3000, 2)] + [(1, 7), (1, 8)], "k long, y long")
+    often = frequent(left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 3000)
+    for how in ("inner", "left"):
+        got, want = spread_join(left, right, "k", often, ["x"], how), left.join(right, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_enough_runs():
     assert ngram_join.runs() == 8 and ngram_join.runs(recall=0.9) < ngram_join.runs(recall=0.99)
 

@@ -213,6 +213,102 @@ def test_classifier_on_awkward_rows(spark, clashing, empty):
     assert classifier.scored(empty, model).count() == 0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_hash(raw):
+    """The hash of a byte string, byte by byte."""
+    h, power = 0, 1
+    for b in raw:
+        h, power = (h + (b + 1) * power) & M64, power * 0x9E3779B97F4A7C15 & M64
+    h = (h + len(raw) * 0xA0761D6478BD642F) & M64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_features(text):
+    raw = (text or "").encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", low)
+    keys = {plain_hash(w) >> 44 for w in runs}
+    for size in classifier.STEMS:
+        keys |= {(~plain_hash(w[:size]) & M64) >> 44 for w in runs if len(w) > size}
+    upper, signs = sum(65 <= b <= 90 for b in raw), sum(map(len, re.findall(rb"[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", low)))
+    size, n = max(len(raw), 1), max(len(runs), 1)
+    shape = [min(20 * upper // size, 19), min(40 * signs // size, 39), min(20 * len(keys) // n, 20), min(n.bit_length() - 1, 30), min(size // n, 30)]
+    return sorted(keys), [64 * i + x for i, x in enumerate(shape)]
+
+
+def test_features_against_plain_python(awkward_rows):
+    texts = [t for _, t, *_ in awkward_rows if len(t or "") < 20_000] + ["Ünïcode UPPER lower 12,5 %%% ... abcdefghij ABCDEFGHIJ"]
+    flat, at = classifier.features(*utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        keys, shape = plain_features(t)
+        got = flat[at[i] : at[i + 1]].tolist()
+        assert sorted(got[: len(keys)]) == keys and got[len(keys) :] == shape
+
+
+def test_one_step_and_tails_against_plain_python():
+    """One batch: the slope of the mean negative log likelihood by finite differences, and an AdaGrad step along it."""
+    import math
+
+    rows, grades = [[0, 1], [1, 2], [0, 2, 3], [3]], [0, 1, 2, 2]
+    flat, at = np.array([f for r in rows for f in r]), np.cumsum([0, *map(len, rows)])
+    start = classifier.Ordinal(3, 4)
+    start.weights[:] = [0.3, -0.2, 0.1, 0.5]
+    before, cuts = start.weights.astype(float).tolist(), start.cuts.tolist()
+
+    def tails(weights, cuts, row):
+        return [1 / (1 + math.exp(-(sum(weights[f] for f in row) - c))) for c in cuts]
+
+    def loss(weights, cuts):
+        out = 0.0
+        for row, g in zip(rows, grades, strict=True):
+            p = [1.0, *tails(weights, cuts, row), 0.0]
+            out -= math.log(p[g] - p[g + 1])
+        return out / len(rows)
+
+    got = start.tails(start.score(flat, at))
+    assert np.allclose(got, [tails(before, cuts, r) for r in rows], atol=1e-6)
+    model = start.fit(flat, at, np.array(grades), epochs=1, batch=4)
+    for j in range(4):
+        up, down = ([w + d * (i == j) for i, w in enumerate(before)] for d in (1e-5, -1e-5))
+        slope = (loss(up, cuts) - loss(down, cuts)) / 2e-5 + classifier.DECAY * before[j]
+        assert model.weights[j] == pytest.approx(before[j] - classifier.RATE * slope / math.sqrt(1e-2 + slope**2), abs=1e-4)
+    for k in range(2):
+        up, down = ([c + d * (i == k) for i, c in enumerate(cuts)] for d in (1e-5, -1e-5))
+        slope = (loss(before, up) - loss(before, down)) / 2e-5
+        assert model.cuts[k] == pytest.approx(cuts[k] - classifier.RATE * slope / math.sqrt(1e-2 + slope**2), abs=1e-4)
+
+
+def test_op9_on_awkward_rows(spark, landed, awkward_rows):
+    labels = [(1, 0, 0), (3, 1, 0), (3, 1, 1), (5, 1, 0), (None, 1, 1), (9, None, 0), (10, 1, 0)]
+    for name in ("awkward", "empty"):
+        rows = labels if name == "awkward" else []
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{landed[name]}/labels.parquet")
+    got = classifier.op9_quality_classifier(spark, landed["awkward"]).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in awkward_rows)
+    model = classifier.train(spark.read.parquet(f"{landed['awkward']}/documents.parquet"), spark.read.parquet(f"{landed['awkward']}/labels.parquet"))
+    want = []
+    for doc, text, *_ in awkward_rows:
+        if len(text or "") < 20_000:
+            keys, shape = plain_features(text)
+            score = sum(float(model.weights[f]) for f in keys + shape)
+            want.append((str(doc), round(float(sum(1 / (1 + np.exp(c - score)) for c in model.cuts)), 4)))
+    found = sorted((str(r.doc_id), round(r.expected_grade, 4)) for r in got)
+    assert all(w in found for w in want) and all(r.kept == (r.p_top >= classifier.KEEP) for r in got)
+    assert classifier.op9_quality_classifier(spark, landed["empty"]).count() == 0
+
+
+def test_bytes_of_the_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(20)] + [(3, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    assert classifier.rated(docs, labels).count() == 20
+    assert classifier.rated(docs, labels, sample=7).count() == 7
+    assert 4 <= classifier.rated(docs, labels, sample_bytes=500).count() <= 6
+
+
 def test_classifier_fit_does_not_depend_on_row_order(spark, awkward):
     labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(12)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) as toxic")
     docs = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -27,8 +28,9 @@ def parse(argv: list[str] | None = None) -> tuple[argparse.Namespace, CohortConf
     p.add_argument("--drop-bad-snps", action=argparse.BooleanOptionalAction, default=d.drop_bad_snps)
     p.add_argument("--debug-snp", type=int)
     p.add_argument("--init", default=d.init, choices=["quantile", "kpp"])
+    p.add_argument("--rmin-formula", default=d.rmin_formula, choices=["reference", "exact"])
     a = p.parse_args(argv)
-    names = ("alpha", "max_maha", "tol", "nocall_bad_thresh", "k_max", "max_iters", "seed", "restarts", "first", "plot_first_snps", "max_snps", "sample_snps", "drop_bad_snps", "debug_snp", "init")
+    names = ("alpha", "max_maha", "tol", "nocall_bad_thresh", "k_max", "max_iters", "seed", "restarts", "first", "plot_first_snps", "max_snps", "sample_snps", "drop_bad_snps", "debug_snp", "init", "rmin_formula")
     cfg = CohortConfig(w_theta=a.thetar[0], w_r=a.thetar[1], r_min=0 if a.r_min == "auto" else int(a.r_min), p_min=None if a.p_min == "auto" else float(a.p_min), **{n: getattr(a, n) for n in names})
     return a, cfg
 
@@ -37,6 +39,8 @@ def main(argv: list[str] | None = None) -> int:
     a, cfg = parse(argv)
     done = run_from_files(SparkSession.builder.getOrCreate(), a.root, a.out_dir, cfg, a.feedback_in, a.feedback_out, a.bad_snps_in, a.bad_snps_out)
     print("no pairs of channel files" if done is None else f"{a.out_dir}/calls\n{a.out_dir}/cohort_qc_summary")
+    if done is not None:
+        print(*done.timer.lines(), sep="\n", file=sys.stderr)
     return 0
 
 

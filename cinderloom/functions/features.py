@@ -42,9 +42,9 @@ def sample_name(path: Column, strict_names: bool = True) -> Column:
 
 
 def log_sum_exp(values: Column) -> Column:
-    """ln of the sum of exponentials of an array, shifted by its maximum."""
+    """ln of the sum of exponentials of an array, shifted by its maximum; a maximum that is not finite is the result."""
     top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return F.when(F.isnan(top) | (F.abs(top) == math.inf), top).otherwise(top + F.log(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
 
 
 def mahalanobis2(x: Column, y: Column, mx: Column, my: Column, vx: Column, vy: Column) -> Column:

@@ -40,7 +40,8 @@ def log_joint(x: np.ndarray, y: np.ndarray, m: Model) -> np.ndarray:
 
 def _lse(values: np.ndarray) -> np.ndarray:
     top = values.max(-1)
-    return top + np.log(np.exp(values - top[..., None]).sum(-1))
+    shift = np.where(np.isfinite(top), top, 0)
+    return np.where(np.isfinite(top), shift + np.log(np.maximum(np.exp(np.minimum(values - shift[..., None], 0)).sum(-1), TINY)), top)
 
 
 def single(x: np.ndarray, y: np.ndarray) -> Model:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +51,19 @@ def svg(points: list, centres: list[tuple[float, float]] = (), width: int = 1400
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}{marks}</svg>'
 
 
+def plots(points: DataFrame, fits: DataFrame, cfg: CohortConfig, tau: float) -> DataFrame:
+    """(name, svg): a picture of each marker of ``plot_points`` rows with its refined centres; a task draws a marker."""
+    rows = gates.refined_markers(fits.join(F.broadcast(points.select("snp_id").distinct()), "snp_id"), cfg, F.lit(tau))  # at most plot_first_snps + 1 rows
+    places = F.transform("centres", lambda c: F.struct((c["mx"] / cfg.theta_scale).alias("theta"), (c["my"] / max(cfg.w_r, 1e-9)).alias("r")))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        centres = [(c["theta"], c["r"]) for c in rows["places"].iloc[0]]
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "svg": [svg(rows.sort_values("sample_idx").to_dict("records"), centres)]})
+
+    joined = points.join(rows.select("snp_id", places.alias("places")), "snp_id")
+    return joined.select(snp_name(F.col("snp_id")).alias("name"), "sample_idx", "theta", "r", "call", "places").groupBy("name").applyInPandas(draw, "name string, svg string")
+
+
 def marker_dump(called: DataFrame, snp_id: int, tau: float, r_min: int) -> DataFrame:
     """All samples of one marker, for looking at."""
     rows = called.where(F.col("snp_id") == snp_id)

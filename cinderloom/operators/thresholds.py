@@ -25,8 +25,9 @@ def _two_normals(t: np.ndarray, n: np.ndarray) -> tuple[float, ...]:
         r0 = d[:, 0] / total
         r = np.stack([r0, 1 - r0], 1) * n[:, None]
         loglik = float((n * np.log(total)).sum())
-        mass = np.maximum(r.sum(0), 1e-12)
+        mass = r.sum(0)
         w0 = float(np.clip(mass[0] / size, 1e-6, 1 - 1e-6))
+        mass = np.maximum(mass, 1e-8)
         w = np.array([w0, 1 - w0])
         m = (r * t[:, None]).sum(0) / mass
         s = np.sqrt(np.maximum((r * (t[:, None] - m) ** 2).sum(0) / mass, 1e-6))
@@ -111,5 +112,6 @@ def auto_tau(confident: DataFrame, alpha: float) -> DataFrame:
 
 def tau_input(fits: DataFrame, r_min: int, markers: int = TAU_MARKERS) -> DataFrame:
     """Posteriors that the cut is learned from: the first markers by id, points of enough intensity."""
-    first = fits.orderBy("snp_id").limit(markers)
+    last = fits.select("snp_id").orderBy("snp_id").limit(markers).agg(F.max("snp_id").alias("last"))  # only ids are put in order
+    first = fits.join(F.broadcast(last), F.col("snp_id") <= F.col("last"))  # one row is broadcast
     return first.select(F.explode(F.arrays_zip("raw", "post")).alias("p")).select("p.raw", "p.post").where(F.col("raw") >= r_min)

@@ -15,13 +15,20 @@ from ..sources import idat, state
 from ..timing import Timer, timing_summary
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write to the cluster's shared folder and read back: later steps don't compute ``df`` again."""
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, a local session gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors share no folder for intermediate tables")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/cohort/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cohort/{name}-{uuid.uuid4().hex}"
+
+
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write to the cluster's shared folder and read back: later steps don't compute ``df`` again."""
+    path = shared(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,7 +94,9 @@ def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConf
             state.write_bad(stage(spark, feedback.updated_bad(old, feedback.bad_of_run(done.summary, cfg.nocall_bad_thresh)), "bad"), bad_out)
     if cfg.plot_first_snps:
         with done.timer.span("plot_one_snp"):
-            outputs.plot_points(done.calls, cfg).write.mode("overwrite").parquet(f"{out_dir}/plot_points")
+            points = stage(spark, outputs.plot_points(done.calls, cfg), "plot_points")
+            points.write.mode("overwrite").parquet(f"{out_dir}/plot_points")
+            outputs.plots(points, done.fits, cfg, done.tau).write.mode("overwrite").partitionBy("name").text(f"{out_dir}/plots")
     if cfg.debug_snp is not None:
         with done.timer.span("debug_csv_one_snp"):
             outputs.marker_centres(done.fits, cfg.debug_snp, cfg, done.tau).coalesce(1).write.mode("overwrite").csv(f"{out_dir}/debug_snp_{cfg.debug_snp:08d}_centres", header=True)

@@ -168,6 +168,20 @@ def _fixed(k: int) -> str:
 ORACLE_SQL: dict[str, str] = {
     "probe_cells": _with(PROBES, select="SELECT * FROM probes"),
     "idat_decode": _with(PROBES, select="SELECT sample_idx, snp_id, red, grn FROM probes"),
+    "channel_zip": _with(PROBES, select="""
+SELECT sample_idx, snp_id, red, grn FROM (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY sample_idx, snp_id // 100000) AS n
+  FROM probes WINDOW w AS (PARTITION BY sample_idx, snp_id // 100000 ORDER BY snp_id))
+WHERE place <= n - sample_idx % 2 AND place <= n - sample_idx % 3"""),
+    "state_round_trip": """
+SELECT p_partkey AS snp_id, CAST(p_size AS BIGINT) AS seen, CAST(p_size % 3 AS BIGINT) AS nocall_raw, CAST(p_size % 5 AS BIGINT) AS nocall_p,
+  p_size % 10 = 0 AS bad, p_size % 10 = 0 AS listed
+FROM part WHERE p_partkey <> 0""",
+    "plot_bounds": _with(*_CALLS, select=f"""
+SELECT snp_id, round(min(t) - 0.06 * greatest(max(t) - min(t), 1), 5) AS low_theta, round(max(t) + 0.06 * greatest(max(t) - min(t), 1), 5) AS high_theta,
+  round(min(r) - 0.06 * greatest(max(r) - min(r), 1), 5) AS low_r, round(max(r) + 0.06 * greatest(max(r) - min(r), 1), 5) AS high_r
+FROM (SELECT snp_id, x AS t, y / 0.45 AS r FROM calls WHERE call <> 'NoCall' AND snp_id IN (SELECT DISTINCT snp_id FROM calls ORDER BY snp_id LIMIT {CFG.plot_first_snps}))
+GROUP BY snp_id"""),
     "common_snps": _with(PROBES, select="SELECT snp_id FROM common"),
     "theta_r": _with(PROBES, select="SELECT snp_id, sample_idx, round(2 * atan2(grn, red) / pi(), 6) AS theta, round(0.45 * ln(red + grn + 1), 6) AS r FROM probes"),
     "raw_gate": _with(PROBES, select=f"SELECT snp_id, sample_idx, CAST(red + grn AS BIGINT) AS raw, red + grn >= {CFG.r_min} AS pass_raw FROM probes"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from ..config import CohortConfig
 from ..functions import features
 from ..operators import feedback, gates, mixture, outputs, snps, thresholds
-from ..sources import idat
+from ..sources import idat, state
 from ..timing import timing_summary
+from .cohort import shared, stage
 
 CFG = CohortConfig()
 SAMPLES = 24
 #: Markers of the limit and sampling operators, and rounds of the fixed-length fits.
 LIMIT, ROUNDS = 100, 10
+#: Markers of one range of ids in a channel file that a query writes.
+FILE_MARKERS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,10 +119,25 @@ def idat_decode(spark, sf_dir):
                 ids, grn = idat.decode(green)
                 yield pd.DataFrame({"sample_idx": sample, "snp_id": ids, "red": idat.decode(red)[1], "grn": grn})
 
-    files = probes(spark, sf_dir).groupBy("sample_idx").applyInPandas(write, "sample_idx int, green binary, red binary")
+    # A file holds a sample's markers of one range of ids, so that no task gets a whole sample, however many markers there are.
+    files = probes(spark, sf_dir).groupBy("sample_idx", F.floor(F.col("snp_id") / FILE_MARKERS)).applyInPandas(write, "sample_idx int, green binary, red binary")
     return files.mapInPandas(read, "sample_idx int, snp_id long, red int, grn int")
 
 
+def channel_zip(spark, sf_dir):
+    """Channel files of all samples, of which some have fewer values in red or green: channels meet as far as the shorter goes."""
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, sample = rows.sort_values("snp_id"), rows["sample_idx"].iloc[0]
+        piece = rows["piece"].iloc[0]
+        short = {"green": len(rows) - sample % 2, "red": len(rows) - sample % 3}
+        return pd.DataFrame([(SAMPLES * piece + sample, c, idat.encode(rows["snp_id"][:n], rows[v][:n])) for (c, n), v in zip(short.items(), ("grn", "red"), strict=True)])
+
+    cells = probes(spark, sf_dir).withColumn("piece", F.floor(F.col("snp_id") / FILE_MARKERS).cast("int"))
+    files = cells.groupBy("sample_idx", "piece").applyInPandas(write, "sample_idx int, channel string, content binary")
+    return idat.zipped(idat.decoded(files)).select((F.col("sample_idx") % SAMPLES).alias("sample_idx"), "snp_id", "red", "grn")
+
+
 def k1_fit(spark, sf_dir):
     """One-component fits by plain aggregation."""
     cells = probes(spark, sf_dir)
@@ -182,8 +201,8 @@ def qc_summary(spark, sf_dir):
 
 
 def auto_tau(spark, sf_dir):
-    rows = thresholds.auto_tau(thresholds.tau_input(fits(spark, sf_dir), CFG.r_min), CFG.alpha)
-    return rows.select(_r("tau"))
+    posteriors = stage(spark, thresholds.tau_input(stage(spark, fits(spark, sf_dir), "tau_fits"), CFG.r_min), "tau_input")  # fitted once
+    return thresholds.auto_tau(posteriors, CFG.alpha).select(_r("tau"))
 
 
 def rmin_per_sample(spark, sf_dir):
@@ -194,6 +213,21 @@ def rmin_upper_median(spark, sf_dir):
     return thresholds.cohort_floor(probes(spark, sf_dir))
 
 
+def kpp_fits(spark, sf_dir):
+    """Fits from k-means++ starts, the best of several restarts."""
+    rows = mixture.fits(points(spark, sf_dir), replace(CFG, init="kpp"))
+    return rows.select("snp_id", "k", _r("loglik"), _r("bic"))
+
+
+def state_round_trip(spark, sf_dir):
+    """Counters and bad markers of all parts, written as state files and read again; the reader leaves marker 0 out."""
+    place, old = shared(spark, "state"), _old_feedback(spark, sf_dir)
+    state.write_feedback(old, f"{place}/feedback")
+    state.write_bad(old.where("bad").select("snp_id"), f"{place}/bad")
+    bad = state.read_bad(spark, f"{place}/bad").select("snp_id", F.lit(True).alias("listed"))
+    return state.read_feedback(spark, f"{place}/feedback").join(bad, "snp_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
 def _old_feedback(spark, sf_dir):
     """Earlier counters for all parts' numbers."""
     size = F.col("p_size").cast("long")
@@ -213,6 +247,11 @@ def plot_points(spark, sf_dir):
     return outputs.plot_points(called(spark, sf_dir), CFG).select("snp_id", "sample_idx", _r("theta", 6), _r("r", 6), "call", "n_called")
 
 
+def plot_bounds(spark, sf_dir):
+    points = outputs.plot_points(called(spark, sf_dir), CFG)
+    return outputs.plot_bounds(points).select("snp_id", *(_r(c, 5) for c in ("low_theta", "high_theta", "low_r", "high_r")))
+
+
 def timings(spark, sf_dir):
     """Totals of all events' values by their kind, as spans of a run."""
     rows = timing_summary(table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("value").alias("ms")))
@@ -230,9 +269,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bad_snp_antijoin": bad_snp_antijoin,
     "channel_pairs": channel_pairs,
     "idat_decode": idat_decode,
+    "channel_zip": channel_zip,
     "k1_fit": k1_fit,
     "em_k2": _fixed(2),
     "em_k3": _fixed(3),
+    "kpp_fits": kpp_fits,
     "bic_choose_k": bic_choose_k,
     "collapse_k": collapse_k,
     "posteriors": posteriors,
@@ -248,6 +289,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rmin_upper_median": rmin_upper_median,
     "feedback_update": feedback_update,
     "bad_snps_learned": bad_snps_learned,
+    "state_round_trip": state_round_trip,
     "plot_points": plot_points,
+    "plot_bounds": plot_bounds,
     "timing_summary": timings,
 }

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,25 +89,37 @@ def find_pairs(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
     return pairs.where(F.col("sample_idx") < first) if first else pairs
 
 
-def read_channels(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ord, illumina_id, mean) of every channel file below ``root``; a task decodes a file at a time."""
+def decoded(files: DataFrame) -> DataFrame:
+    """(sample_idx, channel, ord, illumina_id, mean) of files (sample_idx, channel, content); a task decodes a file at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for sample, channel, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, means = decode(content)
-                yield pd.DataFrame({"path": path, "ord": np.arange(len(ids), dtype=np.int32), "illumina_id": ids, "mean": means.astype(np.int32)})
+                n = len(ids)
+                columns = [np.full(n, sample, np.int32), pa.array([channel] * n, pa.string()), np.arange(n, dtype=np.int32), ids, means.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sample_idx", "channel", "ord", "illumina_id", "mean"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{idat,idat.gz}").load(root)
-    return files.select("path", "content").mapInPandas(run, "path string, ord int, illumina_id long, mean int")
+    return files.select("sample_idx", "channel", "content").mapInArrow(run, "sample_idx int, channel string, ord int, illumina_id long, mean int")
 
 
-def read_probes(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
-    """(sample_idx, sample, snp_id, red, grn) of the samples below ``root``.
+def zipped(values: DataFrame) -> DataFrame:
+    """(sample_idx, snp_id, red, grn) of ``decoded()`` rows.
 
     Channels meet by position, as far as the shorter goes; ids are those of the green file.
     """
-    pairs, values = find_pairs(spark, root, first), read_channels(spark, root)
-    green = values.join(pairs.select("sample_idx", "sample", F.col("green_path").alias("path")), "path").select("sample_idx", "sample", "ord", F.col("illumina_id").alias("snp_id"), F.col("mean").alias("grn"))
-    red = values.join(pairs.select("sample_idx", F.col("red_path").alias("path")), "path").select("sample_idx", "ord", F.col("mean").alias("red"))
-    return green.join(red, ["sample_idx", "ord"]).select("sample_idx", "sample", "snp_id", "red", "grn")
+    green = F.col("channel") == "green"
+    met = values.groupBy("sample_idx", "ord").agg(F.max(F.when(green, F.col("illumina_id"))).alias("snp_id"), F.max(F.when(~green, F.col("mean"))).alias("red"), F.max(F.when(green, F.col("mean"))).alias("grn"))
+    return met.where("red is not null and grn is not null").select("sample_idx", "snp_id", "red", "grn")
+
+
+def read_probes(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
+    """(sample_idx, sample, snp_id, red, grn) of the samples below ``root``; only files of these samples are read, once each."""
+    pairs = find_pairs(spark, root, first)
+    sides = pairs.select("sample_idx", F.explode(F.create_map(F.lit("green"), "green_path", F.lit("red"), "red_path")).alias("channel", "path"))
+    # Two names for each sample: the driver lists as many files anyway.
+    paths = [r.path for r in sides.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "sample_idx int, sample string, snp_id long, red int, grn int")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content").join(sides, "path")
+    return zipped(decoded(files)).join(pairs.select("sample_idx", "sample"), "sample_idx").select("sample_idx", "sample", "snp_id", "red", "grn")

@@ -14,14 +14,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """A missing file is empty; fields that can't be read are 0 or false; marker 0 is left out; of equal ids the last counts."""
+    """A missing file is empty; fields that can't be read are 0 or false; ids that are no 32-bit numbers and
+    marker 0 are left out; of equal ids the last counts."""
     if not exists(spark, path):
         return spark.createDataFrame([], FEEDBACK)
     text = ", ".join(f"{c.split()[0]} string" for c in FEEDBACK.split(", "))
     rows = spark.read.schema(text).csv(path, header=True, mode="DROPMALFORMED").withColumn("line", F.monotonically_increasing_id())
     number = lambda c: F.coalesce(F.try_to_number(F.trim(c), F.lit("9" * 18)).cast("long"), F.lit(0))
     rows = rows.select(*(number(F.col(c)).alias(c) for c in ("snp_id", "seen", "nocall_raw", "nocall_p")), (F.trim("bad") == "true").alias("bad"), "line")
-    last = rows.where("snp_id != 0").groupBy("snp_id").agg(F.max_by(F.struct("seen", "nocall_raw", "nocall_p", "bad"), "line").alias("s"))
+    last = rows.where("snp_id between 1 and 4294967295").groupBy("snp_id").agg(F.max_by(F.struct("seen", "nocall_raw", "nocall_p", "bad"), "line").alias("s"))
     return last.select("snp_id", "s.seen", "s.nocall_raw", "s.nocall_p", F.coalesce("s.bad", F.lit(False)).alias("bad"))
 
 

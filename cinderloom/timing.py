@@ -26,6 +26,15 @@ class Timer:
         return spark.createDataFrame(self.records, "label string, ms double")
 
 
+    def lines(self) -> list[str]:
+        """A table of totals, the longest first."""
+        total: dict[str, list[float]] = {}
+        for label, ms in self.records:
+            total.setdefault(label, []).append(ms)
+        rows = sorted(total.items(), key=lambda x: -sum(x[1]))
+        return [f"{'step':<28}{'total ms':>14}{'count':>8}{'avg ms':>14}", *(f"{n:<28}{sum(v):>14.1f}{len(v):>8}{sum(v) / len(v):>14.1f}" for n, v in rows)]
+
+
 def timing_summary(records: DataFrame) -> DataFrame:
     """label, total_ms, count, avg_ms of (label, ms)."""
     return records.groupBy("label").agg(F.sum("ms").alias("total_ms"), F.count("*").alias("count"), F.avg("ms").alias("avg_ms"))

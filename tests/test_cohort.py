@@ -102,6 +102,26 @@ def test_run_from_files_twice(spark, array_root, tmp_path):
     assert all(n == (6 if s in dropped else 12) for s, n in second.items())
 
 
+def test_command_line(spark, array_root, tmp_path, capsys):
+    out = tmp_path / "out"
+    assert cli.main(["--root", array_root, "--out-dir", str(out), "--first", "4", "--rmin-formula", "exact", "--r-min", "auto", "--p-min", "auto", "--init", "kpp", "--plot-first-snps", "3"]) == 0
+    text = capsys.readouterr()
+    assert "cohort_qc_summary" in text.out and "chunk_cluster_em_bic" in text.err and "total ms" in text.err
+    assert spark.read.csv(str(out / "cohort_qc_summary"), header=True).count() == 4
+    pictures = sorted(out.glob("plots/name=*/part-*"))
+    assert len(pictures) == 3 and all(p.read_text().startswith("<svg ") and "<circle" in p.read_text() for p in pictures)
+    (tmp_path / "none").mkdir()
+    assert cli.main(["--root", str(tmp_path / "none"), "--out-dir", str(out)]) == 0
+    assert "no pairs" in capsys.readouterr().out
+    assert cli.parse(["--root", "a", "--out-dir", "b", "--rmin-formula", "exact"])[1].rmin_formula == "exact"
+
+
+def test_channels_meet_as_far_as_the_shorter_goes(spark, array_root):
+    rows = idat.read_probes(spark, array_root).groupBy("sample").count().collect()
+    assert {r["sample"]: r["count"] for r in rows} == {s: 38 if s == "S2" else 40 for s in ("S0", "S2", "S4", "S1.idat", "S3_Green.idat", "S5.idat")}
+    assert idat.read_probes(spark, array_root, 2).select("sample").distinct().count() == 2
+
+
 def test_no_pairs_and_too_few_samples(spark, tmp_path, array_root):
     (tmp_path / "x_Grn.idat").write_bytes(b"IDAT")
     assert cohort.run_from_files(spark, str(tmp_path), str(tmp_path / "o")) is None
@@ -119,7 +139,7 @@ def test_state_readers(spark, tmp_path):
     assert sorted(r.snp_id for r in state.read_bad(spark, str(bad)).collect()) == [9, 10]
     assert state.read_bad(spark, str(tmp_path / "none")).count() == 0
     old = tmp_path / "feedback.csv"
-    old.write_text("snp_id,seen,nocall_raw,nocall_p,bad\n5,1,2,3,true\n0,9,9,9,true\n6,x,1,,false\n5,4,0,0,false\n")
+    old.write_text("snp_id,seen,nocall_raw,nocall_p,bad\n5,1,2,3,true\n0,9,9,9,true\n6,x,1,,false\n4294967296,1,1,1,true\n-4,1,1,1,true\n5,4,0,0,false\n")
     assert sorted(map(tuple, state.read_feedback(spark, str(old)).collect())) == [(5, 4, 0, 0, False), (6, 0, 1, 0, False)]
     assert state.read_feedback(spark, str(tmp_path / "none")).count() == 0
     state.write_bad(spark.createDataFrame([(9,), (10,)], "snp_id long"), str(tmp_path / "w"))
@@ -138,6 +158,10 @@ def test_theta_at_the_edges(spark):
 def test_log_sum_exp(spark):
     row = spark.createDataFrame([([1000.0, 1000.0],)], "v array<double>").select(features.log_sum_exp(F.col("v"))).first()
     assert row[0] == pytest.approx(1000 + math.log(2))
+    inf = math.inf
+    values = spark.createDataFrame([([-inf, -inf],), ([inf, 1.0],), ([-inf, 2.0],)], "v array<double>")
+    assert [r[0] for r in values.select(features.log_sum_exp(F.col("v"))).collect()] == [-inf, inf, 2.0]
+    assert mixture._lse(np.array([[-inf, -inf], [inf, 1.0], [-inf, 2.0]])).tolist() == [-inf, inf, 2.0]
 
 
 # --- mixtures ---

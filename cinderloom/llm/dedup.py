@@ -91,9 +91,9 @@ def stream_state(spark: SparkSession, path: str, schema, digest: Callable[[Colum
     Its checkpoint lies in the shared folder, so a lost executor's state is read again from there.  With a
     ``state_dir`` the state stays there, and the next run with it takes only the files that arrived since.
     """
-    base = state_dir or shared_dir(spark, "dedup_state")
+    pattern, base = _pattern(path), state_dir or shared_dir(spark, "dedup_state")
     out, checkpoint = f"{base}/changes", f"{base}/checkpoint"
-    arriving = _arrivals(spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(_pattern(path)), digest)
+    arriving = _arrivals(spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(pattern), digest)
     state = arriving.groupBy("digest").agg(F.min("rank").alias("best"), F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:

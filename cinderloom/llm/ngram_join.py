@@ -7,9 +7,11 @@ on the signatures.  In a large node every set is compared with one pivot, sets t
 further, and the others are split again; what is still large after the last level is passed on as a
 whole.  Runs are repeated until a pair at the threshold is met with probability ``RECALL``.
 
-That gives groups of candidates.  Within a group all pairs are compared exactly, on whole 5-gram sets: small groups
-in one task each, large ones block by block, so that no task holds a large group and no pairs are written; each
-set gets its exact number of links, and the links' components are the near-duplicate classes.
+That gives groups of candidates.  Within a group links are exact, on whole 5-gram sets.  A small group is compared in one
+task.  In a large one every set becomes its difference from a centre, and its distance from there decides most pairs
+(Jaccard distance is a metric): bins of sets that surely link are only counted, bins that surely don't are left alone,
+and blocks of sets are compared for the rest, so that no task holds a large group and no pairs are written.  Each set gets
+its exact number of links, and the links' components are the near-duplicate classes.
 
 Defined results: a text of 1 to 4 words is one n-gram; a null text, as one without words, links to nothing and is a class by
 itself.  Links of exactly the threshold count.  A long text is compared whole.  Repeated rows are copies.  Null doc_ids are rows like others, and a class's id is the smallest doc_id that is not
@@ -42,6 +44,8 @@ RECALL = 0.9995
 NEAR, REACH, SAME = 0.6, 0.5, 0.95
 #: Sets of a group that are compared in one task; larger groups are cut into blocks of about this many.
 GROUP, BLOCK, STRIDE = 256, 192, 64
+#: Two sets whose distances from a centre, in hundredths rounded down, add up to less than this are within 0.2 of each other.
+CLOSE = 19
 CHUNK_BYTES = 1 << 20
 COLUMNS = 1 << 14
 #: Where a row of a file stands.
@@ -296,48 +300,67 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
             label = _labels(len(name), np.argwhere(np.triu(link)))
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name[label]), pa.array(link.sum(1))], ["set", "label", "n_links"])
 
+    def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set of a part as its difference from the group's centre, which comes first."""
+        for group in _groups(batches, 2):
+            name, (centre, *sets) = group["set"].to_numpy()[1:], _unpacked(group["grams"])
+            size = np.array([len(x) for x in sets], np.int64)
+            diff = [np.setxor1d(centre, x, assume_unique=True) for x in sets]
+            apart = np.array([len(x) for x in diff], np.int64)
+            gone = (apart + len(centre) - size) // 2
+            whole = size + gone  # of the set and the centre
+            columns = [pa.array([group["root"][0].as_py()] * len(sets)), pa.array(name), pa.array(size), pa.array(gone), pa.array(np.full(len(sets), len(centre))), pa.array(100 * apart // whole), pa.array([x.tobytes() for x in diff], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "set", "size", "gone", "centre", "bin", "diff"])
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 2):
-            name, sets = group["set"].to_numpy(), _unpacked(group["grams"])
-            link = _linked(sets, sets)
-            label = name[_labels(len(name), np.argwhere(np.triu(link, 1)))]
+            name, size, gone = (group[c].to_numpy() for c in ("set", "size", "gone"))
+            sets = _unpacked(group["diff"])
             every, place = np.unique(np.concatenate(sets), return_inverse=True)
             order = np.lexsort((np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place))  # column by column: packs well
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order].astype(_owner_type(len(sets)))
-            head = np.array([len(name), len(every), len(owner)], np.int64)
-            raw = b"".join(x.tobytes() for x in (head, name, label, every, np.bincount(place, minlength=len(every)).astype(np.int64), owner))
-            yield pa.RecordBatch.from_arrays([pa.array([group["root"][0].as_py()]), pa.array([group["part"][0].as_py()], pa.int32()), pa.array([zlib.compress(raw, 1)], pa.binary())], ["root", "part", "sets"])
+            head = np.array([len(name), len(every), len(owner), group["centre"][0].as_py()], np.int64)
+            raw = b"".join(x.tobytes() for x in (head, name, size, gone, every, np.bincount(place, minlength=len(every)).astype(np.int64), owner))
+            yield pa.RecordBatch.from_arrays([pa.array([group[c][0].as_py()], pa.int64()) for c in ("root", "block")] + [pa.array([zlib.compress(raw, 1)], pa.binary())], ["root", "block", "sets"])
 
-    def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def opened(raw: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         raw = zlib.decompress(raw)
-        n, m, k = np.frombuffer(raw, np.int64, 3).tolist()
-        name, label = np.frombuffer(raw, np.int64, 2 * n, 24).reshape(2, n)
-        every, count = np.frombuffer(raw, np.uint64, m, 24 + 16 * n), np.frombuffer(raw, np.int64, m, 24 + 16 * n + 8 * m)
-        owner = np.frombuffer(raw, _owner_type(n), k, 24 + 16 * n + 16 * m)
+        n, m, k, centre = np.frombuffer(raw, np.int64, 4).tolist()
+        name, size, gone = np.frombuffer(raw, np.int64, 3 * n, 32).reshape(3, n)
+        every, count = np.frombuffer(raw, np.uint64, m, 32 + 24 * n), np.frombuffer(raw, np.int64, m, 32 + 24 * n + 8 * m)
+        owner = np.frombuffer(raw, _owner_type(n), k, 32 + 24 * n + 16 * m)
         flat = np.repeat(every, count)
         order = np.argsort(owner, kind="stable")
-        return name, label, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
+        return centre, name, size, gone, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block against others: the links of its sets, and which labels they connect (a set near the centre has its label)."""
         for group in _groups(batches, 3):
-            mine = None
+            root, block, joins = group["root"][0].as_py(), group["mine"][0].as_py(), []
             for batch in group.to_batches():
-                for part, other, raw in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
-                    name, label, sets = opened(raw)
-                    if mine is None:  # the block itself comes first
-                        mine, total, joins = (name, label, sets), np.zeros(len(name), np.int64), []
-                    if other >= 0:
-                        link = _linked(mine[2], sets)
-                        if other == part:
-                            np.fill_diagonal(link, False)
-                        total += link.sum(1)
+                for other, raw in zip(batch["other"].to_pylist(), batch["sets"].to_pylist(), strict=True):
+                    if other < 0:  # the block itself comes first
+                        centre, name, size, gone, diff = opened(raw)
+                        total = np.zeros(len(name), np.int64)
+                        continue
+                    _, names, sizes, lost, diffs = opened(raw)
+                    # What two sets have in common: the centre's grams that neither lacks, and those that both have beside it.
+                    common = centre - gone[:, None] - lost[None, :] + _common(diff, diffs)
+                    link = 9 * common >= 4 * (size[:, None] + sizes[None, :])
+                    if other == block:
+                        np.fill_diagonal(link, False)
+                    total += link.sum(1)
+                    close = [b >> 32 < CLOSE for b in (block, other)]
+                    if not all(close):
                         i, j = np.nonzero(link)
-                        joins.append(np.unique(np.stack([mine[1][i], label[j]], 1), axis=0))
-            edge = np.unique(np.concatenate(joins), axis=0) if joins else np.zeros((0, 2), np.int64)
-            edge = edge[edge[:, 0] != edge[:, 1]]
-            none = pa.nulls(len(edge), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(mine[0]), pa.array(mine[1]), pa.array(total)], ["set", "label", "n_links"])
-            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1]), none], ["set", "label", "n_links"])
+                        ends = [np.full(len(x), root) if near else x for x, near in zip((name[i], names[j]), close, strict=True)]
+                        joins.append(np.unique(np.stack(ends, 1), axis=0))
+            edge = np.concatenate(joins) if joins else np.zeros((0, 2), np.int64)
+            node, place = np.unique(edge, return_inverse=True)
+            label = _labels(len(node), place.reshape(-1, 2))
+            far = label != np.arange(len(node))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), pa.array(total)], ["set", "label", "n_links"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]]), pa.nulls(int(far.sum()), pa.int64())], ["set", "label", "n_links"])
 
     bounded_batches(spark)
     sizes = wanted.groupBy("root").agg(F.count("*").alias("n"))
@@ -355,20 +378,40 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
         out = stage(spark, few, "join_result")
         discard(*staged)
         return out
-    many = sets.where("part >= 0").select("root", "part", "set", "grams").repartition("root", "part").sortWithinPartitions("root", "part", "set")
-    blocks = stage(spark, many.mapInArrow(packed, "root long, part int, sets binary"), "join_blocks")
-    # Each block meets all blocks of its group, at most STRIDE of them in a task.
-    count = blocks.groupBy("root").agg(F.collect_set("part").alias("parts"))
-    met = blocks.join(count, "root").select("root", F.explode("parts").alias("mine"), F.col("part").alias("other"), "sets").withColumn("stride", F.floor(F.col("other") / STRIDE).cast("int"))
-    own = blocks.join(count, "root").select("root", F.col("part").alias("mine"), F.lit(-1).alias("other"), "sets", F.explode(F.array_distinct(F.transform("parts", lambda p: F.floor(p / STRIDE).cast("int")))).alias("stride"))
+    many = sets.where("part >= 0").select("root", "part", "set", "grams", F.lit(1).alias("turn"))
+    parts = placed.where("part >= 0").select("root", "part").distinct()
+    centres = many.where("set = root").select("root", "set", "grams").join(parts, "root").select("root", "part", "set", "grams", F.lit(0).alias("turn"))
+    turns = centres.union(many.select(*centres.columns)).repartition("root", "part").sortWithinPartitions("root", "part", "turn", "set")
+    diffs = stage(spark, turns.mapInArrow(centred, "root long, set long, size long, gone long, centre long, bin long, diff binary"), "join_diffs")
+    # Distances by a hundredth of 1.  As Jaccard distance is a metric, two sets link for sure if their distances from the
+    # centre add up to 0.2 at most, and don't if they differ by more: only blocks of other pairs of bins are compared.
+    bins = stage(spark, diffs.groupBy("root", "bin").agg(F.count("*").alias("n")), "join_bins")
+    mine, other = bins.select("root", F.col("bin").alias("a"), F.col("n").alias("n_a")), bins.select("root", F.col("bin").alias("b"), F.col("n").alias("n_b"))
+    pairs = mine.join(other, "root")  # of at most 101 bins
+    sure = pairs.where(F.col("a") + F.col("b") < CLOSE).groupBy("root", F.col("a").alias("bin")).agg(F.sum("n_b").alias("sure"))
+    doubtful = stage(spark, pairs.where((F.col("a") + F.col("b") >= CLOSE) & (F.abs(F.col("a") - F.col("b")) <= CLOSE + 1)).select("root", "a", "b", "n_a", "n_b"), "join_pairs")
+    block = F.shiftleft("bin", 32) + F.pmod(F.xxhash64("set"), F.ceil(F.col("n_a") / BLOCK))
+    cut = diffs.join(doubtful.select("root", F.col("a").alias("bin"), "n_a").distinct(), ["root", "bin"]).select("root", block.alias("block"), "set", "size", "gone", "centre", "diff")
+    blocks = stage(spark, cut.repartition("root", "block").sortWithinPartitions("root", "block", "set").mapInArrow(packed, "root long, block long, sets binary"), "join_blocks")
+    # Each block meets the blocks of its doubtful bins, at most STRIDE of them in a task.
+    names = blocks.select("root", F.col("block").alias("mine"), F.shiftright("block", 32).alias("a"))
+    stride = F.shiftleft("b", 32) + F.floor(F.expr("other & 4294967295") / STRIDE)
+    others = blocks.select("root", F.col("block").alias("other"), F.shiftright("block", 32).alias("b"), "sets")
     columns = ["root", "mine", "stride", "other", "sets"]
-    met = met.select(*columns).union(own.select(*columns)).repartition("root", "mine", "stride").sortWithinPartitions("root", "mine", "stride", "other")
+    targets = doubtful.select("root", "a", "b").join(names, ["root", "a"]).select("root", "b", "mine")
+    met = others.join(targets, ["root", "b"]).withColumn("stride", stride).select(*columns)
+    strides = others.drop("sets").join(targets, ["root", "b"]).select("root", "mine", stride.alias("stride")).distinct()
+    own = blocks.select("root", F.col("block").alias("mine"), "sets").join(strides, ["root", "mine"]).withColumn("other", F.lit(-1).cast("long")).select(*columns)
+    met = met.union(own).repartition("root", "mine", "stride").sortWithinPartitions("root", "mine", "stride", "other")
     found = stage(spark, met.mapInArrow(across, result), "join_links")
     roots = components(spark, found.where("n_links is null").select(F.col("set").alias("a"), F.col("label").alias("b")))
-    counts = found.where("n_links is not null").groupBy("set").agg(F.min("label").alias("label"), F.sum("n_links").alias("n_links"))
-    counts = counts.join(roots, F.col("label") == F.col("node"), "left").select("set", F.coalesce("root", "label").alias("label"), "n_links")
-    out = stage(spark, few.union(counts), "join_result")
-    discard(*staged, blocks, found, roots)
+    counts = found.where("n_links is not null").groupBy("set").agg(F.sum("n_links").alias("counted"))
+    every = diffs.select("set", F.when(F.col("bin") < CLOSE, F.col("root")).otherwise(F.col("set")).alias("label"), "root", "bin").join(sure, ["root", "bin"], "left").join(counts, "set", "left")
+    itself = F.when(2 * F.col("bin") < CLOSE, 1).otherwise(0)
+    every = every.select("set", "label", (F.coalesce("sure", F.lit(0)) - itself + F.coalesce("counted", F.lit(0))).alias("n_links"))
+    every = every.join(roots.withColumnRenamed("root", "lowest"), F.col("label") == F.col("node"), "left").select("set", F.coalesce("lowest", "label").alias("label"), "n_links")
+    out = stage(spark, few.union(every), "join_result")
+    discard(*staged, diffs, bins, doubtful, blocks, found, roots)
     return out
 
 

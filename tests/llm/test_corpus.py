@@ -244,6 +244,30 @@ def test_blocks_of_more_than_256_sets(spark, monkeypatch, block):
     assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(list(enumerate(texts)))
 
 
+def test_large_group_of_near_and_far_sets(spark, monkeypatch):
+    """Distances from the centre from 0 to over 0.2: sure links, doubtful ones, chains and sets that link to none."""
+    for name, value in (("GROUP", 8), ("BLOCK", 5), ("STRIDE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(15)
+    base = prose(rnd, 200)
+    texts = [base, *(edited(rnd, base, rnd.randrange(0, 12)) for _ in range(120))]
+    texts += [edited(rnd, rnd.choice(texts[1:]), rnd.randrange(1, 4)) for _ in range(40)]
+    got = ngram_join.near_classes(frame(spark, texts)).collect()
+    want = near(list(enumerate(texts)))
+    assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == want
+    assert len({w[4] for w in want}) > 20
+
+
+def test_join_equals_sql_on_ten_thousand_documents(spark):
+    """Every link of all 10,000 documents is found: recall 1 against all pairs that share a 5-gram."""
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(f"SELECT doc_id, class_id, rep_id, n_copies, n_links FROM ({ORACLE_SQL['op2_ngram_join']})").fetchall()
+    got = ngram_join.op2_ngram_join(spark, sf).select("doc_id", "class_id", "rep_id", "n_copies", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_op2_on_awkward_rows(spark, landed, awkward_rows):
     got = ngram_join.op2_ngram_join(spark, landed["awkward"]).collect()
     assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(awkward_rows)

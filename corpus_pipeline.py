@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``.
+
+Every stage takes only the columns of ``documents`` (other columns of the input are left out, whatever their names), works on
+whole texts of any length, treats rows with null or equal doc_ids as rows like others, and gives no rows for no rows.
 """
 
 from __future__ import annotations
@@ -18,24 +21,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts (under ten words) go.  Rows are judged one by one, so equal rows stay or go together.
+    """
     return quality.judged(quality.measures(docs.select(*COLUMNS))).where("kept").select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space: the longest, then the least doc_id.
+
+    A null doc_id comes last, and of rows that differ in nothing the first in file order stays.  Null counts as empty, so at
+    most one document without words is left.
+    """
     return dedup.deduplicated(spark, docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 5-gram similarity of 0.8 or more connects."""
+    """One document of each group that 5-gram similarity of 0.8 or more connects: the least doc_id (null last, then file order).
+
+    Groups are told apart by their texts, so a doc_id on different texts loses none of them.  Documents without words stay.
+    """
     return ngram_join.distinct_documents(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it whole; where it takes a part more, that part follows once.
 
-    A part is the head of the text, cut after the words that are taken.
+    A part is the head of the text, cut after the words that are taken.  Null texts and texts without words have nothing to
+    take and give no rows; a null source is a source of its own.  Equal rows are as good as each other, and reruns take the same.
     """
     taken = mixing.mix(docs.select(*COLUMNS), *COLUMNS)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
@@ -49,7 +63,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each text, and the sha256 of the text decoded from the ids."""
+    """doc_id, lang, source, n_tokens and ids of each text, and the sha256 of the text decoded from the ids.
+
+    A null or empty text has no ids and decodes to the empty text.  Each row gives a row.
+    """
     path = bpe.vocabulary_path()
     rows = bpe.encode(docs.select(*COLUMNS), bpe.build_lexicon(docs, path), path, check=True)
     decoded = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")

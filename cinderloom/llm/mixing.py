@@ -44,14 +44,18 @@ def sizes(docs: DataFrame, *keep: str) -> DataFrame:
 def targets(sized: DataFrame, share: float = 1.0) -> DataFrame:
     """(source, source_size, weight, target): one row for each source.
 
-    Sources are as many as their names, so one task ranks them; clamping runs in rounds of one sum each, at most
-    one round for each source.
+    Sources are ranked within ranges of their names, and one task adds up the sizes of the ranges only.  Clamping runs in
+    rounds of one sum each, at most one round for each source.
     """
     spark = sized.sparkSession
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = stage(spark, sums.repartitionByRange(F.asc_nulls_last("source")).withColumn("range", F.spark_partition_id()), "mix_ranges")
+    earlier = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = sums.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    rank = F.col("earlier") + F.row_number().over(Window.partitionBy("range").orderBy(F.asc_nulls_last("source"))) - 1
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).select("source", "source_size", weight.cast("double").alias("weight"))
-    sources = stage(spark, sources, "mix_sources")
+    sources = sums.join(F.broadcast(ranges), "range")  # as many rows as a shuffle has partitions
+    sources = stage(spark, sources.select("source", "source_size", weight.cast("double").alias("weight")), "mix_sources")
     wanted = share * float(sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     full: Column = F.lit(False)
     target = F.lit(0.0)

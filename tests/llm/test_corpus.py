@@ -165,6 +165,18 @@ def test_mix_with_few_and_many_sources(spark, landed, monkeypatch, few):
     assert len({tuple(sorted(map(str, mixing.op8_mix(spark, landed["awkward"]).collect()))) for _ in range(2)}) == 1
 
 
+def test_sources_are_ranked_over_all_ranges(spark):
+    """By code point, null last, whatever range of names a source is in."""
+    rnd = random.Random(12)
+    names = [*(chr(rnd.choice((65, 97, 233, 0x6F22, 0x1F600)) + i % 20) * (1 + i % 3) for i in range(400)), "", None]
+    rows = [(i, prose(rnd, rnd.randrange(9)), None, s) for i, s in enumerate(names * 2)]
+    got = mixing.targets(mixing.sizes(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, source string"))).collect()
+    _, total, target = mixed(rows)
+    assert {r.source: r.source_size for r in got} == total and len(got) == len(total)
+    for r in got:
+        assert r.target == pytest.approx(target[r.source])
+
+
 def test_mix_leaves_clashing_columns_out(clashing):
     rows = mixing.mix(clashing, *clashing.columns)
     assert rows.count() == clashing.count() and rows.columns.count("size") == 1

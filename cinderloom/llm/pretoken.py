@@ -36,16 +36,15 @@ class Classes:
         self.known = np.full(0x110000, self.UNKNOWN, np.uint8)
         self.known[WHITE] = BLANK
 
-    def _settle(self, point: int) -> int:
-        """What joins a letter is a letter, and what joins a digit is a digit."""
-        joins = [len(self.rule.pre_tokenize_str(x + chr(point))) == 1 for x in "a1"]
-        return LETTER if joins[0] else DIGIT if joins[1] else SIGN
+    def _joins(self, points: list[int]) -> list[tuple[bool, bool]]:
+        """Whether each code point stays with a letter, and with a digit, before it."""
+        return [tuple(len(self.rule.pre_tokenize_str(x + chr(p))) == 1 for x in "a1") for p in points]
 
     def of(self, points: np.ndarray) -> np.ndarray:
         kind = self.known[points]
         if (new := kind == self.UNKNOWN).any():
-            for point in np.unique(points[new]).tolist():
-                self.known[point] = self._settle(point)
+            fresh = np.unique(points[new]).tolist()
+            self.known[fresh] = [LETTER if a else DIGIT if b else SIGN for a, b in self._joins(fresh)]
             kind = self.known[points]
         return kind
 
@@ -55,12 +54,12 @@ def classes() -> Classes:
     return Classes()
 
 
-def cut(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def cut(points: np.ndarray, offsets: np.ndarray, kinds: Classes | None = None) -> np.ndarray:
     """Starts of the words of texts that stand one after the other; a word ends where the next starts."""
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = classes().of(points)
+    kind = (kinds or classes()).of(points)
     opens = np.zeros(n + 1, bool)
     opens[offsets] = True
     start = opens[:n].copy()
@@ -246,10 +245,10 @@ class BatchEncoder:
     Remembered words are found by hash in an open-addressing table and then compared code point by code point.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 400_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int], remember: int = 400_000, kinds: Classes | None = None):
         if len(added) > 1:
             raise ValueError("one added token is supported")
-        self.encode_words, self.added, self.remember = encode_words, added, remember
+        self.encode_words, self.added, self.remember, self.kinds = encode_words, added, remember, kinds
         self.forget()
 
     def forget(self) -> None:
@@ -336,7 +335,7 @@ class BatchEncoder:
 
     def _plain(self, whole: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        start = cut(points, offsets)
+        start = cut(points, offsets, self.kinds)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(points))

@@ -34,10 +34,10 @@ def theta_r(red: Column, grn: Column, cfg: CohortConfig) -> tuple[Column, Column
 
 
 def sample_name(path: Column, strict_names: bool = True) -> Column:
-    """The file's stem without its channel; ``strict_names`` keeps the quirk that only ``_Grn`` and one extension go."""
+    """The file's stem without its channel; ``strict_names`` keeps the quirk that one extension goes and then ``_Grn`` if it is at the end."""
     name = F.element_at(F.split(path, "/"), -1)
     if strict_names:
-        return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "_Grn", "")
+        return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "_Grn$", "")
     return F.regexp_replace(name, r"_(Grn|Green|Red)\.idat(\.gz)?$", "")
 
 

@@ -79,6 +79,28 @@ def sample_summary(called: DataFrame, tau: float, r_min: int) -> DataFrame:
     return rows.withColumns({"call_rate_tau": rate("calls_at_tau"), "call_rate_p090": rate("calls_p090"), "r_min_used": F.lit(r_min), "tau_used": F.lit(float(tau))})
 
 
+def totals() -> list[Column]:
+    """Counters of all calls, for an ``Observation`` of the pass that writes them."""
+    pass_raw, none = F.col("pass_raw"), F.col("call") == "NoCall"
+    counts = {
+        "total": F.count(F.lit(1)),
+        "pass_raw": F.count_if(pass_raw),
+        "nocall_raw": F.count_if(~pass_raw),
+        "nocall_p": F.count_if(pass_raw & none),
+        "nocall_maha": F.count_if(pass_raw & F.col("maha_gated")),
+        "calls_tau": F.count_if(~none),
+        "calls_p090": F.count_if(pass_raw & (F.col("post") >= P90)),
+    }
+    return [c.alias(name) for name, c in counts.items()]
+
+
+def check_totals(t: dict[str, int]) -> None:
+    """What the cascade of gates makes true of its counters."""
+    sound = t["total"] == t["nocall_raw"] + t["pass_raw"] and t["pass_raw"] == t["nocall_p"] + t["calls_tau"] and t["nocall_maha"] <= t["nocall_p"]
+    if not sound:
+        raise ValueError(f"counters of the calls don't add up: {t}")
+
+
 def marker_summary(called: DataFrame) -> DataFrame:
     """(snp_id, seen, nocall_raw, nocall_p, nocall): what a run adds to the feedback of each marker."""
     none = F.col("call") == "NoCall"

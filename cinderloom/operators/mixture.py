@@ -172,7 +172,8 @@ def markers(probes: DataFrame, snps: DataFrame, cfg: CohortConfig) -> DataFrame:
     x, y = theta_r(F.col("red"), F.col("grn"), cfg)
     points = probes.join(snps, "snp_id", "left_semi").select("snp_id", F.struct("sample_idx", (F.col("red").cast("long") + F.col("grn").cast("long")).alias("raw"), x.alias("x"), y.alias("y")).alias("p"))
     rows = points.groupBy("snp_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return rows.select("snp_id", F.col("p.sample_idx").cast("array<int>").alias("samples"), F.col("p.raw").alias("raw"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    once = F.when(F.size(F.array_distinct("p.sample_idx")) == F.size("p"), F.col("p")).otherwise(F.raise_error(F.lit("a sample has a marker twice")).cast(rows.schema["p"].dataType))
+    return rows.withColumn("p", once).select("snp_id", F.col("p.sample_idx").cast("array<int>").alias("samples"), F.col("p.raw").alias("raw"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
 def fits(points: DataFrame, cfg: CohortConfig) -> DataFrame:

@@ -8,18 +8,28 @@ from pyspark.sql import functions as F
 from ..config import CohortConfig
 
 
-def unique_probes(probes: DataFrame) -> DataFrame:
-    """``probes`` (sample_idx, snp_id, red, grn), failing on a marker that a sample has twice."""
-    once = probes.groupBy("sample_idx", "snp_id").agg(F.count("*").alias("n"), F.first("red").alias("red"), F.first("grn").alias("grn"))
-    checked = F.when(F.col("n") == 1, F.col("red")).otherwise(F.raise_error(F.lit("a sample has a marker twice")).cast("int"))
-    return once.select("sample_idx", "snp_id", checked.alias("red"), "grn")
+#: Samples of one bitmap: a long.  (``bitmap_construct_agg`` has bitmaps of 4 KiB, one for each marker and task.)
+WORD = 64
 
 
-def common_snps(probes: DataFrame) -> DataFrame:
-    """Markers that every sample has: one aggregation, whatever the number of samples."""
-    samples = probes.agg(F.count_distinct("sample_idx").alias("samples"))
-    seen = probes.groupBy("snp_id").agg(F.count_distinct("sample_idx").alias("n"))
-    return seen.join(F.broadcast(samples), F.col("n") == F.col("samples")).select("snp_id")  # one row is broadcast
+def _bitmaps(probes: DataFrame, *by: str) -> DataFrame:
+    """``by``, samples and cells: how many samples the cells of a group come from, and how many cells those are.
+
+    Samples are bits of a few words of 64, which each task combines by OR before the shuffle: no distinct cells are gathered.
+    """
+    word, bit = F.floor(F.col("sample_idx") / WORD).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(sample_idx, {WORD}) as int))")
+    words = probes.groupBy(*by, word).agg(F.bit_or(bit).alias("bits"), F.count("*").alias("cells"))
+    return words.groupBy(*by).agg(F.sum(F.bit_count("bits")).alias("samples"), F.sum("cells").alias("cells"))
+
+
+def common_snps(probes: DataFrame, once: bool = False) -> DataFrame:
+    """Markers that every sample has; with ``once``, a marker that a sample has twice is an error."""
+    every = _bitmaps(probes).select(F.col("samples").alias("all_samples"))
+    seen = _bitmaps(probes, "snp_id").join(F.broadcast(every))  # one row is broadcast
+    common = F.col("samples") == F.col("all_samples")
+    if once:
+        common = F.when(F.col("cells") == F.col("samples"), common).otherwise(F.raise_error(F.lit("a sample has a marker twice")).cast("boolean"))
+    return seen.where(common).select("snp_id")
 
 
 def drop_bad(snps: DataFrame, bad: DataFrame) -> DataFrame:
@@ -42,7 +52,7 @@ def sampled_snps(snps: DataFrame, n: int, seed: int) -> DataFrame:
 
 def selected(probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None = None) -> DataFrame:
     """The markers of a run."""
-    snps = common_snps(probes)
+    snps = common_snps(probes, once=True)
     if cfg.drop_bad_snps and bad is not None:
         snps = drop_bad(snps, bad)
     if cfg.sample_snps:

@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CohortConfig
 from ..operators import feedback, gates, mixture, outputs, snps, thresholds
-from ..sources import idat, state
+from ..sources import idat, idat_source, matrix, state
+from ..sources.places import SCHEMES, scheme
 from ..timing import Timer, timing_summary
 
 
@@ -42,19 +43,26 @@ class Run:
     tau: float
     r_min: int
     timer: Timer
+    #: Counters of all calls, taken while they were written.
+    totals: dict[str, int]
 
 
-def run(probes: DataFrame, cfg: CohortConfig | None = None, bad: DataFrame | None = None) -> Run:
-    """Fit and call all selected markers of ``probes`` (sample_idx, snp_id, red, grn)."""
+def _chosen(spark: SparkSession, probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None) -> DataFrame:
+    if probes.select("sample_idx").distinct().limit(2).count() < 2:
+        raise ValueError("a run needs two samples or more")
+    chosen = stage(spark, snps.selected(probes, cfg, bad), "snps")
+    if chosen.isEmpty():
+        raise ValueError("no common markers")
+    return chosen
+
+
+def run(probes: DataFrame, cfg: CohortConfig | None = None, bad: DataFrame | None = None, chosen: DataFrame | None = None) -> Run:
+    """Fit and call all selected markers of ``probes`` (sample_idx, snp_id, red, grn), or the ``chosen`` ones (snp_id)."""
     cfg, spark, timer = cfg or CohortConfig(), probes.sparkSession, Timer()
     with timer.span("load_samples"):
-        probes = stage(spark, snps.unique_probes(probes), "probes")
-        if probes.select("sample_idx").distinct().limit(2).count() < 2:
-            raise ValueError("a run needs two samples or more")
+        probes = stage(spark, probes.select("sample_idx", "snp_id", "red", "grn"), "probes")
     with timer.span("common_ids"):
-        chosen = stage(spark, snps.selected(probes, cfg, bad), "snps")
-        if chosen.isEmpty():
-            raise ValueError("no common markers")
+        chosen = _chosen(spark, probes, cfg, bad) if chosen is None else chosen
     with timer.span("compute_r_min"):
         r_min = cfg.r_min or int(thresholds.cohort_floor(probes, cfg.rmin_formula).first()[0])
     with timer.span("chunk_cluster_em_bic"):
@@ -62,8 +70,10 @@ def run(probes: DataFrame, cfg: CohortConfig | None = None, bad: DataFrame | Non
     with timer.span("auto_tau"):
         tau = cfg.p_min if cfg.p_min is not None else float(thresholds.auto_tau(thresholds.tau_input(fits, r_min), cfg.alpha).first()[0])
     with timer.span("chunk_finalize_and_write"):
-        called = stage(spark, gates.calls(fits, cfg, tau, r_min), "calls")
-    return Run(called, gates.sample_summary(called, tau, r_min), gates.marker_summary(called), fits, tau, r_min, timer)
+        seen = Observation("calls")
+        called = stage(spark, gates.calls(fits, cfg, tau, r_min).observe(seen, *gates.totals()), "calls")
+        gates.check_totals(seen.get)
+    return Run(called, gates.sample_summary(called, tau, r_min), gates.marker_summary(called), fits, tau, r_min, timer, seen.get)
 
 
 def preflight_floor(spark: SparkSession, root: str, first: int = 0, formula: str = "reference") -> int:
@@ -71,17 +81,37 @@ def preflight_floor(spark: SparkSession, root: str, first: int = 0, formula: str
     return int(thresholds.cohort_floor(idat.read_probes(spark, root, first), formula).first()[0])
 
 
+def decoded_cells(spark: SparkSession, root: str, cfg: CohortConfig, bad: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Cells (sample_idx, snp_id, red, grn) below ``root``, the samples' names, and the chosen markers if they are known already.
+
+    A run that wants some markers only reads ids first; the second reading leaves the other markers out where they are
+    decoded, so their cells are never written or shuffled.  (A learned floor needs all cells, so then they are read once.)
+    """
+    every = idat.read_probes(spark, root, cfg.first)
+    few = cfg.max_snps or cfg.sample_snps or (bad is not None and cfg.drop_bad_snps)
+    if not few or not cfg.r_min or scheme(root) not in SCHEMES:
+        probes = stage(spark, every, "decoded")
+        return probes.drop("sample"), probes.select("sample_idx", "sample").distinct(), None
+    chosen = _chosen(spark, every, cfg, bad)
+    place = idat_source.write_bloom(chosen, shared(spark, "chosen_markers"))
+    cells = stage(spark, idat.read_probes(spark, root, cfg.first, place), "decoded")
+    return cells.drop("sample"), cells.select("sample_idx", "sample").distinct(), chosen
+
+
 def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConfig | None = None, feedback_in: str | None = None, feedback_out: str | None = None, bad_in: str | None = None, bad_out: str | None = None) -> Run | None:
     """The command line's run: files below ``root``, results below ``out_dir``.  None if there is no pair of files."""
     cfg = cfg or CohortConfig()
     if idat.find_pairs(spark, root, cfg.first).isEmpty():
         return None
-    probes = stage(spark, idat.read_probes(spark, root, cfg.first), "decoded")
-    names = probes.select("sample_idx", "sample").distinct()
     bad = state.read_bad(spark, bad_in) if bad_in else None
-    done = run(probes.select("sample_idx", "snp_id", "red", "grn"), cfg, bad)
-    with done.timer.span("write_qc_summary"):
+    probes, names, chosen = decoded_cells(spark, root, cfg, bad)
+    done = run(probes, cfg, bad, chosen)
+    with done.timer.span("write_calls_header"):
         done.calls.join(names, "sample_idx").write.mode("overwrite").parquet(f"{out_dir}/calls")
+        if scheme(out_dir) in SCHEMES:  # the matrix is written by Python
+            order = [r["sample"] for r in names.orderBy("sample_idx").collect()]  # a row for each sample, which the driver has listed
+            matrix.write_matrix(done.calls, order, f"{out_dir}/cohort_calls")
+    with done.timer.span("write_qc_summary"):
         rates = {c: F.format_string("%.6f", c) for c in ("call_rate_tau", "call_rate_p090")} | {"tau_used": F.format_string("%.4f", "tau_used")}
         qc = names.join(done.qc, "sample_idx").withColumns(rates).withColumnRenamed("sample", "Sample")
         qc.coalesce(1).sortWithinPartitions("sample_idx").drop("sample_idx").write.mode("overwrite").csv(f"{out_dir}/cohort_qc_summary", header=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CFG, LIMIT, ROUNDS, SAMPLES
+from .queries import CFG, LIMIT, ROUNDS, SAMPLES, STREAM_BAD
 
 PROBES = """
 m AS (SELECT CAST(count(*) // 8 AS BIGINT) AS m FROM part),
@@ -168,6 +168,7 @@ def _fixed(k: int) -> str:
 ORACLE_SQL: dict[str, str] = {
     "probe_cells": _with(PROBES, select="SELECT * FROM probes"),
     "idat_decode": _with(PROBES, select="SELECT sample_idx, snp_id, red, grn FROM probes"),
+    "idat_source": _with(PROBES, select="SELECT sample_idx, snp_id, red, grn FROM probes"),
     "channel_zip": _with(PROBES, select="""
 SELECT sample_idx, snp_id, red, grn FROM (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY sample_idx, snp_id // 100000) AS n
@@ -195,7 +196,7 @@ WITH f AS (
   UNION ALL
   SELECT '/data/' || c_nationkey || '/C' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '_Red.idat' WHEN 1 THEN '_Red.idat.gz' ELSE '_red.idat' END FROM customer),
 c AS (SELECT path, regexp_extract(path, '([^/]*)_(Grn|Green|Red)\\.idat(\\.gz)?$', 1) AS base, regexp_matches(path, '_Red\\.idat(\\.gz)?$') AS red FROM f WHERE regexp_matches(path, '_(Grn|Green|Red)\\.idat(\\.gz)?$'))
-SELECT g.base, replace(regexp_replace(regexp_extract(g.path, '[^/]*$'), '\\.[^.]*$', ''), '_Grn', '') AS sample, g.path AS green_path, r.path AS red_path
+SELECT g.base, regexp_replace(regexp_replace(regexp_extract(g.path, '[^/]*$'), '\\.[^.]*$', ''), '_Grn$', '') AS sample, g.path AS green_path, r.path AS red_path
 FROM c g JOIN c r ON g.base = r.base AND NOT g.red AND r.red""",
     "k1_fit": _with(PROBES, ONE, select="SELECT snp_id, n, round(mx, 4) AS mx, round(my, 4) AS my, round(vx, 4) AS vx, round(vy, 4) AS vy, round(loglik, 4) AS loglik, round(-2 * loglik + 4 * ln(n), 4) AS bic FROM fit1"),
     "em_k2": _fixed(2),
@@ -209,6 +210,7 @@ FROM c g JOIN c r ON g.base = r.base AND NOT g.red AND r.red""",
     "theta_guard": _with(*_CALLS, select="SELECT snp_id, geno, count(*) FILTER (guard_ok) AS n_ok, count(*) FILTER (NOT guard_ok) AS n_off FROM calls GROUP BY snp_id, geno"),
     "calls": _with(*_CALLS, select="SELECT snp_id, sample_idx, raw, k, CAST(lab AS INTEGER) AS lab, pass_raw, maha_gated, call FROM calls"),
     "calls_wide": _with(*_CALLS, select=f"SELECT snp_id, {_WIDE} FROM calls GROUP BY snp_id"),
+    "calls_matrix": _with(*_CALLS, select=f"SELECT snp_id, {_WIDE} FROM calls GROUP BY snp_id"),
     "qc_summary": _with(*_CALLS, select=f"""
 SELECT sample_idx, count(*) AS total_snps, count(*) FILTER (pass_raw) AS pass_raw, count(*) FILTER (NOT pass_raw) AS nocall_raw,
   count(*) FILTER (pass_raw AND call = 'NoCall') AS nocall_p_at_tau, count(*) FILTER (pass_raw AND maha_gated) AS nocall_maha_at_tau,
@@ -226,6 +228,13 @@ SELECT round(CASE WHEN count(*) FILTER (mean <= {CFG.alpha}) > 0 THEN least(grea
 SELECT snp_id, coalesce(o.seen, 0) + coalesce(n.seen, 0) AS seen, coalesce(o.nocall_raw, 0) + coalesce(n.nocall_raw, 0) AS nocall_raw,
   coalesce(o.nocall_p, 0) + coalesce(n.nocall_p, 0) AS nocall_p, coalesce(o.bad, false) OR coalesce(n.nocall / n.seen >= {CFG.nocall_bad_thresh}, false) AS bad
 FROM ({_OLD}) o FULL JOIN marks n USING (snp_id)"""),
+    "feedback_stream": f"""
+SELECT snp_id, count(*) AS cohorts, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(nocall_raw) AS BIGINT) AS nocall_raw, CAST(sum(nocall_p) AS BIGINT) AS nocall_p,
+  bool_or((nocall_raw + nocall_p) / seen >= {STREAM_BAD}) AS bad
+FROM (
+  SELECT user_id AS snp_id, event_type, count(*) AS seen, count(*) FILTER (value < 20) AS nocall_raw, count(*) FILTER (value > 80) AS nocall_p
+  FROM events GROUP BY user_id, event_type)
+GROUP BY snp_id""",
     "bad_snps_learned": _with(*_CALLS, SUMMARY, select=f"SELECT snp_id FROM ({_OLD}) WHERE bad UNION SELECT snp_id FROM marks WHERE nocall / seen >= 0.1"),
     "plot_points": _with(*_CALLS, select=f"""
 SELECT snp_id, sample_idx, round(x, 6) AS theta, round(y / 0.45, 6) AS r, call, count(*) OVER (PARTITION BY snp_id) AS n_called

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..config import CohortConfig
 from ..functions import features
 from ..operators import feedback, gates, mixture, outputs, snps, thresholds
-from ..sources import idat, state
+from ..sources import idat, matrix, state
+from ..sources import idat_source as idat_source_module
+from ..streaming import feedback as stream_feedback
 from ..timing import timing_summary
 from .cohort import shared, stage
 
@@ -20,6 +22,8 @@ CFG = CohortConfig()
 SAMPLES = 24
 #: Markers of the limit and sampling operators, and rounds of the fixed-length fits.
 LIMIT, ROUNDS = 100, 10
+#: Share of missing calls from which the stream's markers are bad.
+STREAM_BAD = 0.75
 #: Markers of one range of ids in a channel file that a query writes.
 FILE_MARKERS = 100_000
 
@@ -131,11 +135,24 @@ def channel_zip(spark, sf_dir):
         rows, sample = rows.sort_values("snp_id"), rows["sample_idx"].iloc[0]
         piece = rows["piece"].iloc[0]
         short = {"green": len(rows) - sample % 2, "red": len(rows) - sample % 3}
+        if not min(short.values()):  # a pair without values is an error when it is read
+            return pd.DataFrame({"sample_idx": [], "channel": [], "content": []})
         return pd.DataFrame([(SAMPLES * piece + sample, c, idat.encode(rows["snp_id"][:n], rows[v][:n])) for (c, n), v in zip(short.items(), ("grn", "red"), strict=True)])
 
     cells = probes(spark, sf_dir).withColumn("piece", F.floor(F.col("snp_id") / FILE_MARKERS).cast("int"))
     files = cells.groupBy("sample_idx", "piece").applyInPandas(write, "sample_idx int, channel string, content binary")
-    return idat.zipped(idat.decoded(files)).select((F.col("sample_idx") % SAMPLES).alias("sample_idx"), "snp_id", "red", "grn")
+    return idat.zipped(files).select((F.col("sample_idx") % SAMPLES).alias("sample_idx"), "snp_id", "red", "grn")
+
+
+def idat_source(spark, sf_dir):
+    """All cells written as a folder of gzipped channel files by the ``idat`` source, and read by it: a task opens a sample's two files."""
+    idat_source_module.register(spark)
+    place, piece = shared(spark, "channel_files"), F.floor(F.col("snp_id") / FILE_MARKERS).cast("int")
+    cells = probes(spark, sf_dir).select(F.format_string("S%d_%d", "sample_idx", piece).alias("sample"), "snp_id", "red", "grn")
+    cells.repartition("sample").sortWithinPartitions("sample", "snp_id").write.format("idat").option("gzip", "true").mode("overwrite").save(place)
+    read = spark.read.format("idat").load(place)
+    number = F.regexp_extract("sample", r"^S(\d+)_", 1).cast("int")  # gzipped files keep an extension and their channel in the name
+    return read.select(number.alias("sample_idx"), "snp_id", "red", "grn")
 
 
 def k1_fit(spark, sf_dir):
@@ -195,6 +212,13 @@ def calls_wide(spark, sf_dir):
     return outputs.wide_calls(called(spark, sf_dir), list(range(SAMPLES)))
 
 
+def calls_matrix(spark, sf_dir):
+    """The matrix of a run, written as CSV parts by the ``callmatrix`` sink and read again."""
+    place = shared(spark, "call_matrix")
+    matrix.write_matrix(called(spark, sf_dir), [f"S{k}" for k in range(SAMPLES)], place)
+    return matrix.read_matrix(spark, place, SAMPLES)
+
+
 def qc_summary(spark, sf_dir):
     rows = gates.sample_summary(called(spark, sf_dir), CFG.p_min, CFG.r_min)
     return rows.withColumns({c: F.round(c, 6) for c in ("call_rate_tau", "call_rate_p090")})
@@ -243,6 +267,18 @@ def bad_snps_learned(spark, sf_dir):
     return feedback.updated_bad(old, feedback.bad_of_run(gates.marker_summary(called(spark, sf_dir)), 0.1))
 
 
+def feedback_stream(spark, sf_dir):
+    """Counters of all events' users over cohorts (a cohort is a kind of event), by a stream in which every cohort arrives twice."""
+    low, high = F.col("value") < 20, F.col("value") > 80
+    cohorts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("cohort"), F.col("user_id").alias("snp_id"))
+    rows = cohorts.agg(F.count("*").alias("seen"), F.count_if(low).alias("nocall_raw"), F.count_if(high).alias("nocall_p"), F.count_if(low | high).alias("nocall"))
+    place, again = shared(spark, "summaries"), shared(spark, "feedback_state")
+    rows.write.parquet(place)
+    stream_feedback.counted_files(spark, place, STREAM_BAD, again).count()
+    rows.write.mode("append").parquet(place)  # the same cohorts once more, for a stream that starts again
+    return stream_feedback.counted_files(spark, place, STREAM_BAD, again)
+
+
 def plot_points(spark, sf_dir):
     return outputs.plot_points(called(spark, sf_dir), CFG).select("snp_id", "sample_idx", _r("theta", 6), _r("r", 6), "call", "n_called")
 
@@ -270,6 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "channel_pairs": channel_pairs,
     "idat_decode": idat_decode,
     "channel_zip": channel_zip,
+    "idat_source": idat_source,
     "k1_fit": k1_fit,
     "em_k2": _fixed(2),
     "em_k3": _fixed(3),
@@ -283,11 +320,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "theta_guard": theta_guard,
     "calls": calls,
     "calls_wide": calls_wide,
+    "calls_matrix": calls_matrix,
     "qc_summary": qc_summary,
     "auto_tau": auto_tau,
     "rmin_per_sample": rmin_per_sample,
     "rmin_upper_median": rmin_upper_median,
     "feedback_update": feedback_update,
+    "feedback_stream": feedback_stream,
     "bad_snps_learned": bad_snps_learned,
     "state_round_trip": state_round_trip,
     "plot_points": plot_points,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 import struct
 from collections.abc import Iterator
 
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.features import sample_name
+from .places import SCHEMES, scheme
 
 #: Fixed values of the file format: field codes, version, most fields.
 N_SNPS, IDS, MEANS = 1000, 102, 104
 VERSION, MOST_FIELDS = 3, 50_000
-_NAME = r"^(.*)_(Grn|Green|Red)\.idat(\.gz)?$"
+NAME = r"^(.*)_(Grn|Green|Red)\.idat(\.gz)?$"
 
 
 def decode(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +66,8 @@ def encode(ids: np.ndarray, means: np.ndarray) -> bytes:
 def channel_files(paths: DataFrame, path: str = "path") -> DataFrame:
     """(base, channel, path) of paths that name a channel file; others are left out."""
     name = F.element_at(F.split(path, "/"), -1)
-    kind = F.regexp_extract(name, _NAME, 2)
-    return paths.where(name.rlike(_NAME)).select(F.regexp_extract(name, _NAME, 1).alias("base"), F.when(kind == "Red", "red").otherwise("green").alias("channel"), F.col(path).alias("path"))
+    kind = F.regexp_extract(name, NAME, 2)
+    return paths.where(name.rlike(NAME)).select(F.regexp_extract(name, NAME, 1).alias("base"), F.when(kind == "Red", "red").otherwise("green").alias("channel"), F.col(path).alias("path"))
 
 
 def one_path(paths: Column) -> Column:
@@ -89,32 +91,54 @@ def find_pairs(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
     return pairs.where(F.col("sample_idx") < first) if first else pairs
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """(sample_idx, channel, ord, illumina_id, mean) of files (sample_idx, channel, content); a task decodes a file at a time."""
+def stem(name: str) -> str:
+    """The sample of a green file's name, as ``sample_name`` gives it."""
+    return re.sub(r"\.[^.]*$", "", name).removesuffix("_Grn")
+
+
+def paired(green: tuple[np.ndarray, np.ndarray], red: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, red, green means) of two decoded channels: they meet by position, as far as the shorter goes; ids are the green file's."""
+    n = min(len(green[1]), len(red[1]))
+    if not n:
+        raise ValueError("empty pair")
+    return green[0][:n], red[1][:n], green[1][:n]
+
+
+def zipped(files: DataFrame) -> DataFrame:
+    """(sample_idx, snp_id, red, grn) of files (sample_idx, channel, content); a sample with one channel only is left out.
+
+    The two files of a sample meet, as they are, and are decoded and paired in one task: no decoded value is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sample, channel, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, means = decode(content)
-                n = len(ids)
-                columns = [np.full(n, sample, np.int32), pa.array([channel] * n, pa.string()), np.arange(n, dtype=np.int32), ids, means.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sample_idx", "channel", "ord", "illumina_id", "mean"])
+            for sample, green, red in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, r, g = paired(decode(green), decode(red))
+                columns = [np.full(len(ids), sample, np.int32), ids, r.astype(np.int32), g.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sample_idx", "snp_id", "red", "grn"])
 
-    return files.select("sample_idx", "channel", "content").mapInArrow(run, "sample_idx int, channel string, ord int, illumina_id long, mean int")
+    side = lambda c: F.first(F.when(F.col("channel") == c, F.col("content")), ignorenulls=True).alias(c)
+    both = files.groupBy("sample_idx").agg(side("green"), side("red")).where("green is not null and red is not null")
+    return both.mapInArrow(run, "sample_idx int, snp_id long, red int, grn int")
 
 
-def zipped(values: DataFrame) -> DataFrame:
-    """(sample_idx, snp_id, red, grn) of ``decoded()`` rows.
+def read_probes(spark: SparkSession, root: str, first: int = 0, markers: str | None = None) -> DataFrame:
+    """(sample_idx, sample, snp_id, red, grn) of the samples below ``root``; only files of these samples are read, once each.
 
-    Channels meet by position, as far as the shorter goes; ids are those of the green file.
+    Stores that Python opens are read by the ``idat`` source, a sample a task, others through Spark's own files.  ``markers`` is the
+    path of a Bloom filter (``idat_source.write_bloom``): most cells of other markers are left out where they are decoded.
     """
-    green = F.col("channel") == "green"
-    met = values.groupBy("sample_idx", "ord").agg(F.max(F.when(green, F.col("illumina_id"))).alias("snp_id"), F.max(F.when(~green, F.col("mean"))).alias("red"), F.max(F.when(green, F.col("mean"))).alias("grn"))
-    return met.where("red is not null and grn is not null").select("sample_idx", "snp_id", "red", "grn")
+    from . import idat_source
+
+    if scheme(root) in SCHEMES:
+        idat_source.register(spark)
+        options = {"first": str(first)} | ({"markers": markers} if markers else {})
+        return spark.read.format("idat").options(**options).load(root)
+    return through_spark(spark, root, first)
 
 
-def read_probes(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
-    """(sample_idx, sample, snp_id, red, grn) of the samples below ``root``; only files of these samples are read, once each."""
+def through_spark(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
+    """The rows of ``read_probes`` where only Spark reaches the files."""
     pairs = find_pairs(spark, root, first)
     sides = pairs.select("sample_idx", F.explode(F.create_map(F.lit("green"), "green_path", F.lit("red"), "red_path")).alias("channel", "path"))
     # Two names for each sample: the driver lists as many files anyway.
@@ -122,4 +146,4 @@ def read_probes(spark: SparkSession, root: str, first: int = 0) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "sample_idx int, sample string, snp_id long, red int, grn int")
     files = spark.read.format("binaryFile").load(paths).select("path", "content").join(sides, "path")
-    return zipped(decoded(files)).join(pairs.select("sample_idx", "sample"), "sample_idx").select("sample_idx", "sample", "snp_id", "red", "grn")
+    return zipped(files).join(pairs.select("sample_idx", "sample"), "sample_idx").select("sample_idx", "sample", "snp_id", "red", "grn")

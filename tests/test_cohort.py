@@ -13,8 +13,8 @@ from cinderloom.config import CohortConfig
 from cinderloom.functions import features
 from cinderloom.operators import feedback, gates, mixture, outputs, snps, thresholds
 from cinderloom.plans import cohort
-from cinderloom.sources import idat, state
-from cinderloom.streaming.feedback import feedback_stream
+from cinderloom.sources import idat, idat_source, matrix, state
+from cinderloom.streaming import feedback as stream
 from cinderloom.timing import Timer, timing_summary
 
 CFG = CohortConfig()
@@ -72,7 +72,7 @@ def array_root(tmp_path_factory):
 def test_pairs_in_path_order_with_names(spark, array_root):
     rows = idat.find_pairs(spark, array_root).orderBy("sample_idx").collect()
     assert [r.base for r in rows] == ["S0", "S2", "S4", "S1", "S3", "S5"]
-    assert [r.sample for r in rows] == ["S0", "S2", "S4", "S1.idat", "S3_Green.idat", "S5.idat"]
+    assert [r.sample for r in rows] == ["S0", "S2", "S4", "S1_Grn.idat", "S3_Green.idat", "S5_Grn.idat"]  # the channel goes where it ends the stem
     assert idat.find_pairs(spark, array_root, 2).count() == 2
 
 
@@ -94,7 +94,10 @@ def test_run_from_files_twice(spark, array_root, tmp_path):
     centres = spark.read.csv(str(tmp_path / "out/debug_snp_00000005_centres"), header=True)
     assert 1 <= centres.count() <= 3 and {r.geno for r in centres.collect()} <= set(gates.CALLS)
     assert 300 <= cohort.preflight_floor(spark, array_root, 2) <= 800
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "out/cohort_calls").glob("part-*"))).splitlines()
+    assert lines[0] == "SNP_ID,S0,S2,S4,S1_Grn.idat,S3_Green.idat,S5_Grn.idat" and len(lines) == 39
     qc = spark.read.csv(str(tmp_path / "out/cohort_qc_summary"), header=True)
+    assert done.totals["total"] == 6 * 38 == sum(int(r.total_snps) for r in qc.collect()) and done.totals["calls_tau"] == sum(int(r.calls_at_tau) for r in qc.collect())
     assert qc.columns[0] == "Sample" and qc.count() == 6 and all(len(r.call_rate_tau.split(".")[1]) == 6 for r in qc.collect())
     cohort.run_from_files(spark, a.root, str(tmp_path / "out2"), cfg, feedback_path, feedback_path + "2", bad_path, bad_path + "2")
     second = {r.snp_id: r.seen for r in state.read_feedback(spark, feedback_path + "2").collect()}
@@ -118,10 +121,125 @@ def test_command_line(spark, array_root, tmp_path, capsys):
 
 def test_channels_meet_as_far_as_the_shorter_goes(spark, array_root):
     rows = idat.read_probes(spark, array_root).groupBy("sample").count().collect()
-    assert {r["sample"]: r["count"] for r in rows} == {s: 38 if s == "S2" else 40 for s in ("S0", "S2", "S4", "S1.idat", "S3_Green.idat", "S5.idat")}
+    assert {r["sample"]: r["count"] for r in rows} == {s: 38 if s == "S2" else 40 for s in ("S0", "S2", "S4", "S1_Grn.idat", "S3_Green.idat", "S5_Grn.idat")}
     assert idat.read_probes(spark, array_root, 2).select("sample").distinct().count() == 2
 
 
+def test_source_reads_what_spark_reads(spark, array_root):
+    idat_source.register(spark)
+    for first in (0, 2):
+        got = spark.read.format("idat").option("first", first).load(array_root)
+        want = idat.through_spark(spark, array_root, first)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = idat.read_probes(spark, array_root)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "BatchScan" in plan
+    points = mixture.markers(got, snps.common_snps(got).hint("broadcast"), CFG)._jdf.queryExecution().executedPlan().toString()
+    assert points.split("BroadcastExchange")[0].count("Exchange hashpartitioning(snp_id") == 1  # where a marker's points meet
+
+
+def test_source_leaves_samples_and_markers_out(spark, array_root):
+    idat_source.register(spark)
+    table = spark.read.format("idat").load(array_root)
+    every = [tuple(r) for r in table.collect()]
+    # One DataFrame under many filters: none may stay with the table.
+    for condition, keep in (("sample_idx = 3", lambda r: r[0] == 3), ("sample_idx in (1, 4) and snp_id > 30", lambda r: r[0] in (1, 4) and r[2] > 30), ("snp_id between 5 and 7 and sample != 'S0'", lambda r: 5 <= r[2] <= 7 and r[1] != "S0"), ("snp_id = 41", lambda r: False), ("snp_id in (1, 40) or red > 9000", lambda r: r[2] in (1, 40) or r[3] > 9000)):
+        assert sorted(tuple(r) for r in table.where(condition).collect()) == sorted(filter(keep, every)), condition
+    chosen = lambda **o: spark.read.format("idat").options(**o).load(array_root)
+    assert sorted(map(tuple, chosen(samples="1, 4", low=31).collect())) == sorted(r for r in every if r[0] in (1, 4) and r[2] > 30)
+    assert sorted(map(tuple, chosen(low=5, high=7, first=3).collect())) == sorted(r for r in every if r[0] < 3 and 5 <= r[2] <= 7)
+    assert chosen(samples="9").collect() == [] and chosen(samples="").collect() == [] and chosen(high=0).collect() == []
+    reader = idat_source.IdatReader({"path": array_root, "samples": "2", "high": "4"})
+    (part,) = reader.partitions()
+    assert part.sample_idx == 2 and sum(b.num_rows for b in reader.read(part)) == 4
+
+
+def test_bloom_filter_of_markers(spark, tmp_path, array_root):
+    chosen = spark.range(1, 400_001, 2).select((F.col("id") * 7).alias("snp_id"))
+    path = idat_source.write_bloom(chosen, str(tmp_path / "deep/markers"))
+    words = idat_source.read_bloom(path)
+    ids = np.arange(1, 400_001, 2) * 7
+    assert len(words) * 64 == idat_source.BLOOM_BITS and idat_source.bloom_has(words, ids).all()
+    assert idat_source.bloom_has(words, ids + 1).mean() < 0.001
+    few = idat_source.write_bloom(spark.createDataFrame([(3,), (17,), (40,)], "snp_id long"), str(tmp_path / "few"))
+    rows = idat.read_probes(spark, array_root, markers=few).collect()
+    assert len(rows) == 3 * 6 - 1 and {r.snp_id for r in rows} == {3, 17, 40}  # one sample lacks marker 40
+
+
+def test_empty_and_broken_files_name_their_pair(spark, tmp_path):
+    for name, raw in (("A_Grn", idat.encode(np.arange(2), np.arange(2))), ("A_Red", idat.encode(np.arange(0), np.arange(0)))):
+        (tmp_path / f"{name}.idat").write_bytes(raw)
+    for read in (idat.read_probes, idat.through_spark):
+        with pytest.raises(Exception, match="empty pair"):
+            read(spark, str(tmp_path)).collect()
+    (tmp_path / "A_Red.idat").write_bytes(b"IDAT")
+    with pytest.raises(Exception, match="A_Red.idat: short read"):
+        idat.read_probes(spark, str(tmp_path)).collect()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/A_Red.idat").write_bytes(b"")
+    with pytest.raises(Exception, match="several files"):
+        idat.read_probes(spark, str(tmp_path)).collect()
+
+
+def _fails(rows, at):
+    """The rows, with an error where ``snp_id`` is ``at``."""
+    return rows.withColumn("snp_id", F.when(F.col("snp_id") == at, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("snp_id")))
+
+
+def test_written_channel_files(spark, tmp_path):
+    idat_source.register(spark)
+    cells = spark.range(300).select(F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("sample"), F.col("id").alias("snp_id"), (F.col("id") % 7).cast("int").alias("red"), (F.col("id") % 11).cast("int").alias("grn"))
+    ready = cells.repartition(2, "sample").sortWithinPartitions("sample", "snp_id")
+    place = tmp_path / "out"
+    ready.write.format("idat").option("gzip", "true").mode("overwrite").save(str(place))
+    assert sorted(p.name for p in place.iterdir()) == [f"S{k}_{c}.idat.gz" for k in range(3) for c in ("Grn", "Red")]
+    read = spark.read.format("idat").load(str(place)).select(F.substring("sample", 1, 2), "snp_id", "red", "grn")
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, cells.collect()))
+    with pytest.raises(Exception, match="lost"):
+        _fails(ready, 200).write.format("idat").mode("append").save(str(place))
+    assert len(list(place.iterdir())) == 6
+    with pytest.raises(Exception, match="several places"):
+        cells.repartition(4, "snp_id").write.format("idat").mode("overwrite").save(str(tmp_path / "torn"))
+    assert not list((tmp_path / "torn").iterdir())
+
+
+def test_call_matrix_parts(spark, tmp_path):
+    rows = [(s, k, "AA" if (s + k) % 3 else "NoCall") for s in range(2000, 0, -1) for k in range(5) if (s, k) != (7, 2)]
+    called = spark.createDataFrame(rows, "snp_id long, sample_idx int, call string").repartition(6)
+    place = tmp_path / "matrix"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several parts, small as they are
+    matrix.write_matrix(called, [f"N{k}" for k in range(5)], str(place))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(place.iterdir())
+    text = "".join(p.read_text() for p in parts).splitlines()
+    assert len(parts) > 2 and text[0] == "SNP_ID,N0,N1,N2,N3,N4" and sum(t.startswith("SNP_ID") for t in text) == 1
+    assert [int(t.split(",")[0]) for t in text[1:]] == list(range(1, 2001)) and text[7] == "7,AA,AA,,AA,AA"
+    back = matrix.read_matrix(spark, str(place), 5)
+    want = outputs.wide_calls(called, list(range(5)))
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+    before = [p.name for p in parts]
+    with pytest.raises(Exception, match="lost"):
+        matrix.write_matrix(_fails(called, 1500), ["x"] * 5, str(place))
+    assert [p.name for p in sorted(place.iterdir())] == before
+    for torn in (called.repartition(3).sortWithinPartitions("snp_id"), called.coalesce(1).orderBy(F.desc("snp_id"))):
+        with pytest.raises(Exception, match="ordered"):
+            torn.write.format("callmatrix").option("samples", "\n".join("abcde")).mode("overwrite").save(str(tmp_path / "torn"))
+        assert not list((tmp_path / "torn").glob("*"))
+
+
+def test_chosen_markers_are_left_out_where_they_are_decoded(spark, array_root, tmp_path):
+    """A limited run from files reads twice, and its calls are those of the same run over all cells."""
+    for limit in ({"max_snps": 9}, {"sample_snps": 11}):
+        cfg = CohortConfig(plot_first_snps=0, **limit)
+        bad = spark.createDataFrame([(2,), (5,)], "snp_id long")
+        state.write_bad(bad, str(tmp_path / "bad"))
+        done = cohort.run_from_files(spark, array_root, str(tmp_path / "out"), cfg, bad_in=str(tmp_path / "bad"))
+        plain = cohort.run(idat.read_probes(spark, array_root).drop("sample"), cfg, bad)
+        pick = lambda r: sorted(map(tuple, r.calls.select("snp_id", "sample_idx", "call").collect()))
+        assert pick(done) == pick(plain) and len({r[0] for r in pick(done)}) == next(iter(limit.values()))
+        cells, names, chosen = cohort.decoded_cells(spark, array_root, cfg, bad)
+        assert cells.count() == 6 * chosen.count() and names.count() == 6  # no false positive among so few
+
+
 def test_no_pairs_and_too_few_samples(spark, tmp_path, array_root):
     (tmp_path / "x_Grn.idat").write_bytes(b"IDAT")
     assert cohort.run_from_files(spark, str(tmp_path), str(tmp_path / "o")) is None
@@ -360,6 +478,41 @@ def test_exact_crossing_has_equal_densities():
 # --- marker sets, feedback, timing ---
 
 
+@pytest.mark.parametrize("samples", [range(3), range(200), [5, 70, 4_000, 1_000_000]])
+def test_intersection_by_bitmaps(spark, samples):
+    cells = [(s, m, 1, 1) for k, s in enumerate(samples) for m in range(6) if (m, k) not in ((3, 1), (5, 0))]
+    df = spark.createDataFrame([*cells, *cells[:4]], "sample_idx int, snp_id long, red int, grn int").repartition(5)
+    assert sorted(r[0] for r in snps.common_snps(df).collect()) == [0, 1, 2, 4]  # cells twice count once
+    with pytest.raises(Exception, match="marker twice"):
+        snps.common_snps(df, once=True).collect()
+    assert sorted(r[0] for r in snps.common_snps(df.distinct(), once=True).collect()) == [0, 1, 2, 4]
+    with pytest.raises(Exception, match="marker twice"):
+        mixture.markers(df, snps.common_snps(df), CFG).collect()
+    assert snps.common_snps(df.limit(0), once=True).collect() == []
+
+
+def test_counters_that_do_not_add_up():
+    good = {"total": 5, "pass_raw": 4, "nocall_raw": 1, "nocall_p": 1, "nocall_maha": 1, "calls_tau": 3, "calls_p090": 3}
+    gates.check_totals(good)
+    for name in ("total", "pass_raw", "nocall_p", "calls_tau"):
+        with pytest.raises(ValueError, match="add up"):
+            gates.check_totals(good | {name: 9})
+
+
+def test_totals_are_those_of_the_samples(spark):
+    from pyspark.sql import Observation
+
+    from cinderloom.plans.queries import called
+
+    seen = Observation("t")
+    rows = called(spark, "/root/testdata/sf0.001")
+    rows.observe(seen, *gates.totals()).write.format("noop").mode("overwrite").save()
+    names = {"total": "total_snps", "pass_raw": "pass_raw", "nocall_raw": "nocall_raw", "nocall_p": "nocall_p_at_tau", "nocall_maha": "nocall_maha_at_tau", "calls_tau": "calls_at_tau", "calls_p090": "calls_p090"}
+    qc = gates.sample_summary(rows, 0.85, 500).agg(*(F.sum(c).alias(n) for n, c in names.items())).first().asDict()
+    assert seen.get == qc and qc["total"] > 0
+    gates.check_totals(qc)
+
+
 def test_marker_limits(spark):
     ids = spark.createDataFrame([(i,) for i in range(50)], "snp_id long").repartition(5)
     a = sorted(r[0] for r in snps.sampled_snps(ids, 10, 42).collect())
@@ -377,14 +530,26 @@ def test_bad_is_sticky_and_dropped_markers_keep_their_counters(spark):
     assert [r[0] for r in feedback.bad_of_run(summary, 0.35).collect()] == [3]
 
 
-def test_feedback_as_a_stream(spark, tmp_path):
-    kind = "snp_id long, seen long, nocall_raw long, nocall_p long, nocall long"
-    for rows in ([(1, 20, 1, 2, 3), (2, 20, 9, 9, 18)], [(1, 20, 0, 1, 1), (2, 20, 0, 0, 0)]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = feedback_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 0.35)
-    query = stream.writeStream.format("memory").queryName("feedback_now").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(map(tuple, spark.table("feedback_now").collect())) == [(1, 40, 1, 3, False), (2, 40, 9, 9, True)]
+def _summaries(spark, place, *cohorts):
+    """A file for each cohort: (cohort, rows of snp_id, seen, nocall_raw, nocall_p, nocall)."""
+    for name, rows in cohorts:
+        spark.createDataFrame([(name, *r) for r in rows], stream.SUMMARY).coalesce(1).write.mode("append").parquet(place)
+
+
+def test_a_cohort_counts_once_over_restarts(spark, tmp_path):
+    place, kept = str(tmp_path / "in"), str(tmp_path / "state")
+    a, b, c = ("a", [(1, 20, 1, 2, 3), (2, 20, 9, 9, 18)]), ("b", [(1, 20, 0, 1, 1), (2, 20, 0, 0, 0)]), ("c", [(1, 10, 0, 0, 0), (3, 10, 0, 0, 0)])
+    _summaries(spark, place, a, b, a)  # a comes again at once
+    now = lambda: sorted(map(tuple, stream.counted_files(spark, place, 0.35, kept, 1).collect()))
+    assert now() == [(1, 2, 40, 1, 3, False), (2, 2, 40, 9, 9, True)]
+    assert now() == [(1, 2, 40, 1, 3, False), (2, 2, 40, 9, 9, True)]  # the stream starts again and finds nothing new
+    _summaries(spark, place, b, c, (None, [(1, 5, 5, 5, 5)]))  # b once more, and rows of no cohort
+    assert now() == [(1, 3, 50, 1, 3, False), (2, 2, 40, 9, 9, True), (3, 1, 10, 0, 0, False)]
+
+
+def test_a_stream_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], stream.SUMMARY).write.parquet(str(tmp_path / "in"))
+    assert stream.counted_files(spark, str(tmp_path / "in"), 0.35, str(tmp_path / "state")).collect() == []
 
 
 def test_timer(spark):

@@ -8,6 +8,9 @@ Defined results: null or empty text has no ids and decodes to the empty text.  T
 (such as an end mark) becomes that token's id, as in the tokenizers library.  Repeated rows and null doc_ids
 are kept row by row; other columns pass through, but for those named ids and decoded, which are replaced.  A long text
 is encoded in one piece; a word of any length is merged whole.  An empty table gives an empty table.
+
+Memory: a task that counts holds short words only (``word_counts``).  One that encodes takes about 1 MB of text at a time, or one
+text, and some 60 times that; it remembers 300,000 words of 64 MB in all, and keeps no very long ones.
 """
 
 from __future__ import annotations
@@ -145,8 +148,21 @@ class Lexicon:
         return out
 
 
+def short_words(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The tokenizer's words of at most ``LONGEST`` bytes in texts that stand one after the other in UTF-8."""
+    begins = np.flatnonzero((raw & 0xC0) != 0x80)
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    start = cut(points, np.searchsorted(begins, offsets))
+    at = np.append(begins[start], len(raw)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw)))
+    return words.filter(pa.array(np.diff(at) <= LONGEST))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents: strings between white space, added up in each task before the shuffle."""
+    """(word, n) over all documents: the tokenizer's words of at most ``LONGEST`` bytes, added up in each task before the shuffle.
+
+    A task holds 400,000 of them at most, so some 50 MB whatever the texts are.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -155,8 +171,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(text.split())
+            raw, offsets = utf8(batch.column(0))
+            for i, j in chunks(offsets, CHUNK_BYTES):
+                words = short_words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).value_counts()
+                for word, n in zip(words.field("values").to_pylist(), words.field("counts").to_pylist(), strict=True):
+                    found[word] += n
                 if len(found) > 400_000:
                     yield out()
                     found.clear()
@@ -169,7 +188,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def frequent_words(docs: DataFrame, size: int) -> list[tuple[str, int]]:
     """The most frequent words, ``size`` at most: whole classes of about equal counts, as many as fit.
 
-    Only the sizes of the classes (at most a thousand) and the chosen words come to the driver.
+    Only the sizes of the classes (at most a thousand) and the chosen words, of ``LONGEST`` bytes each at most, come to the driver.
     """
     counts = stage(docs.sparkSession, word_counts(docs).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "bpe_counts")
     room, least = size, None
@@ -184,15 +203,8 @@ def frequent_words(docs: DataFrame, size: int) -> list[tuple[str, int]]:
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> Lexicon:
-    """The frequent words of the corpus, cut by the tokenizer's word rule, with their ids."""
-    pieces: Counter = Counter()
-    for word, n in frequent_words(docs, size):
-        spaced = " " + word
-        at = [*cut(np.frombuffer(spaced.encode("utf-32-le"), np.uint32), np.array([0, len(spaced)])).tolist(), len(spaced)]
-        for a, b in zip(at, at[1:], strict=False):
-            pieces[spaced[a:b].encode()] += n
-    pieces = {w: n for w, n in pieces.items() if len(w) <= LONGEST}
-    words = sorted(w for w, _ in sorted(pieces.items(), key=lambda x: (-x[1], x[0]))[:size])
+    """The frequent words of the corpus with their ids."""
+    words = sorted(w.encode() for w, _ in frequent_words(docs, size))
     vocab = vocabulary(path)
     return Lexicon.compile(words, [vocab.merge(w) for w in words])
 

@@ -8,8 +8,8 @@ The order is cut into buckets of digest prefixes; the bucket in which a source's
 until it is small, so that only few rows of a source are ever sorted.
 
 Defined results: null text has size 0.  Null is a source of its own, the last one.  Documents with equal ids
-stand in the order of their texts' digests, those without ids in a seeded order of these; of rows with one id and one
-text, any may be taken.  Sources without words have target 0.  A long text counts whole.  Columns named like the
+stand in the order of their texts' digests, those without ids in a seeded order of these; rows with one id and one
+text in the order of their other kept columns' digests, so only rows that are equal in all are as good as each other.  Sources without words have target 0.  A long text counts whole.  Columns named like the
 result's own are left out.  An empty table gives an empty result.
 """
 
@@ -24,8 +24,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
 #: Hexadecimal digits by which a bucket's prefix is longer than the last one: 256 buckets of each; rows of a bucket that
-#: is sorted; digits of a document's place in the order (its mark, its text's digest and its row's digest).
-BUCKET_DIGITS, BUCKET_ROWS, DIGITS = 2, 10_000, 96
+#: is sorted; digits of a document's place in the order (its mark, its text's digest, its kept columns' and its row's digest).
+BUCKET_DIGITS, BUCKET_ROWS, DIGITS = 2, 10_000, 128
 #: Sources up to which their rows are broadcast (some 100 bytes each); above, they are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: Names that the result has of its own; columns of the input with such names are left out.
@@ -38,6 +38,9 @@ def sizes(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.md5(body().cast("binary"))
     mark = F.concat(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), text)).cast("binary")), text)
     names = dict.fromkeys([*(c for c in keep if c not in OWN), "source"])
+    # Rows with one id and one text stand in the order of what else is kept of them, so reruns take the same.
+    others = [F.col(c) for c in names if c not in ("doc_id", "text")]
+    mark = F.concat(mark, F.md5(F.to_json(F.struct(*others)).cast("binary")))
     return docs.select(*names, size.alias("size"), mark.alias("mark"))
 
 

@@ -15,7 +15,8 @@ its exact number of links, and the links' components are the near-duplicate clas
 
 Defined results: a text of 1 to 4 words is one n-gram; a null text, as one without words, links to nothing and is a class by
 itself.  Links of exactly the threshold count.  A long text is compared whole.  Repeated rows are copies.  Null doc_ids are rows like others, and a class's id is the smallest doc_id that is not
-null in it.  Columns other than those asked for are left out.  An empty table gives an empty result.
+null in it.  Columns other than those asked for are left out, and so
+are kept ones with the result's own names.  Rows that share a doc_id cost no more than rows with their own.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,11 +116,15 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
+def _name() -> Column:
+    """What a row's text is found by again: its doc_id (or none) and a hash of the text, so rows that share an id stay apart."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("mark"))
+
+
 def sketched(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, id, set (hash of the 5-gram set; null without words) and vector (signature) of each document."""
+    """``keep``, name (of the row's text), set (hash of the 5-gram set; null without words) and vector (signature) of each document."""
     kept = list(dict.fromkeys(keep))
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("id", T.LongType()), T.StructField("set", T.LongType()), T.StructField("vector", T.BinaryType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("name", T.StructType([T.StructField("id", T.LongType()), T.StructField("mark", T.LongType())])), T.StructField("set", T.LongType()), T.StructField("vector", T.BinaryType())])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +138,7 @@ def sketched(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part, pa.array(key, mask=at[1:] == at[:-1]), pa.array([v.tobytes() for v in vectors], pa.binary())], names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(*kept, ident.alias("id"), body().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, _name().alias("name"), body().alias("__text")).mapInArrow(run, schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -276,7 +281,7 @@ def _owner_type(n: int) -> np.dtype:
 
 
 def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set, label, n_links) of the sets in ``wanted`` (set, id, root): links within each root's group, and their components.
+    """(set, label, n_links) of the sets in ``wanted`` (set, name, root): links within each root's group, and their components.
 
     The result is staged; what it was made of is deleted.
     """
@@ -366,10 +371,10 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     sizes = wanted.groupBy("root").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / BLOCK)
     part = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("set"), parts)).otherwise(-1).cast("int")
-    placed = stage(spark, wanted.join(sizes, "root").select("set", "id", "root", part.alias("part")), "join_groups")
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), body().alias("text"))
+    placed = stage(spark, wanted.join(sizes, "root").select("set", "name.id", "name.mark", "root", part.alias("part")), "join_groups")
+    text = docs.select(_name().alias("name"), body().alias("text")).select("name.id", "name.mark", "text")
     # The same plan at every size: no broadcast where the groups happen to be few.
-    sets = text.join(placed.hint("merge"), "id").select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
+    sets = text.join(placed.hint("merge"), ["id", "mark"]).select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
     staged = [placed, raw_sets := stage(spark, sets, "join_sets")]
     sets = raw_sets.dropDuplicates(["set"])
     result = "set long, label long, n_links long"
@@ -415,6 +420,10 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     return out
 
 
+#: Columns that a result has of its own: kept columns of these names are left out.
+OWN = ("doc_id", "class_id", "rep_id", "n_copies", "n_links", LABEL)
+
+
 def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, doc_id, class_id, rep_id, n_copies, n_links of each document.
 
@@ -427,14 +436,16 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
 def _labelled(docs: DataFrame, *keep: str) -> DataFrame:
     """The rows of ``near_classes`` with the class itself in ``LABEL``: its smallest set hash, null without words."""
     spark = docs.sparkSession
-    names = list(dict.fromkeys(["doc_id", *keep]))
-    rows = stage(spark, sketched(docs, *names), "join_sketches")
-    classes = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep_id"), F.min("id").alias("id"), F.count("*").alias("n_copies"), F.min("vector").alias("vector"))
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in OWN]
+    names = ["doc_id", *(f"__kept{k}" for k in range(len(kept)))]  # under names that nothing here has
+    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names[1:], strict=True)))
+    rows = stage(spark, sketched(renamed, *names), "join_sketches")
+    classes = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep_id"), F.min("name").alias("name"), F.count("*").alias("n_copies"), F.min("vector").alias("vector"))
     classes = stage(spark, classes, "join_classes")
     edges, staged = candidates(spark, classes.select("set", "vector"))
     groups = components(spark, edges)
     discard(*staged)
-    wanted = classes.join(groups, F.col("set") == F.col("node")).select("set", "id", "root")
+    wanted = classes.join(groups, F.col("set") == F.col("node")).select("set", "name", "root")
     links = exact_links(spark, docs, wanted)
     discard(groups)
     known = classes.join(links, "set", "left").select("set", "rep_id", "n_copies", F.coalesce("label", "set").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -442,7 +453,7 @@ def _labelled(docs: DataFrame, *keep: str) -> DataFrame:
     known = known.join(lowest, "label").select("set", "rep_id", "n_copies", "n_links", "class_id", F.col("label").alias(LABEL))
     linked = rows.where("set is not null").select(*names, "set").join(known, "set").select(*names, "class_id", "rep_id", "n_copies", "n_links", LABEL)
     alone = rows.where("set is null").select(*names, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias(LABEL))
-    return linked.union(alone)
+    return linked.union(alone).withColumnsRenamed(dict(zip(names[1:], kept, strict=True)))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

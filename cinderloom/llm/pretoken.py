@@ -237,6 +237,8 @@ class Vocabulary:
 
 #: Words that the library gets in one text.
 JOINED = 256
+#: Code points of words that an encoder remembers (four bytes each), and of the longest of them that it keeps for long.
+ROOM, KEPT = 1 << 24, 1 << 12
 
 
 class BatchEncoder:
@@ -258,10 +260,10 @@ class BatchEncoder:
         self.flat, self.points, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32), [0, 0]
 
     def _shrink(self) -> None:
-        """Keep the words that more than one batch had, half of the room at most."""
-        kept = np.flatnonzero(self.met > 1)
-        if len(kept) > self.remember // 2:
-            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: self.remember // 2]])
+        """Keep the words that more than one batch had, half of the room at most, and none that is very long."""
+        kept = np.flatnonzero((self.met > 1) & (self.size <= KEPT))
+        kept = kept[np.argsort(-self.met[kept], kind="stable")[: self.remember // 2]]
+        kept = np.sort(kept[np.cumsum(self.size[kept]) <= ROOM // 2])
         hashes, count, size = self.hashes[kept], self.count[kept], self.size[kept]
         ids, points = self.flat[ranges(self.first[kept], count)], self.points[ranges(self.at[kept], size)]
         self.forget()
@@ -340,7 +342,7 @@ class BatchEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(points))
         size, hashes = end - start, stretch(prefix(points, CHARS), start, end, CHARS)
-        if len(self.met) > self.remember:
+        if len(self.met) > self.remember or self.used[1] > ROOM:
             self._shrink()
         slot = self._find(hashes)
         if len(new := np.flatnonzero(slot < 0)):

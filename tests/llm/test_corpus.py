@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -188,7 +189,8 @@ def test_sql_gives_the_same_rows(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, sf)
     assert sorted(map(str, (tuple(r) for r in got.select(*sorted(got.columns)).collect()))) == sorted(map(str, con.sql(f"SELECT {', '.join(sorted(want.columns))} FROM want").fetchall()))
@@ -406,3 +408,41 @@ def test_op3_on_awkward_rows(spark, landed, awkward_rows):
             n = len(r[1].encode())
             assert (r[0], n, n, 1, hashlib.sha256(b"").hexdigest()) in got
     assert suffix_dedup.op3_suffix_dedup(spark, landed["empty"]).count() == 0
+
+
+def _near_pairs(n, rnd):
+    """n texts of 60 words, of which each two in a row differ in one word."""
+    out = []
+    for _ in range(n // 2):
+        words = [f"w{rnd.randrange(10_000)}" for _ in range(60)]
+        out += [" ".join(words), " ".join([*words[:-1], "other"])]
+    return out
+
+
+def test_shared_doc_ids_cost_no_more_than_own_ones(spark):
+    """Texts are found again by their id and a hash of their own, so rows with one id don't all meet."""
+    texts = _near_pairs(3000, random.Random(5))
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    took = {}
+    for name, frame in (("warm", own), ("own", own), ("one", own.withColumn("doc_id", F.lit(7).cast("long"))), ("none", own.withColumn("doc_id", F.lit(None).cast("long")))):
+        start = time.perf_counter()
+        rows = ngram_join.near_classes(frame.withColumn("row", F.xxhash64("text")), "row").collect()
+        took[name] = time.perf_counter() - start
+        assert len(rows) == 3000 and {r.n_links for r in rows} == {1} and {r.n_copies for r in rows} == {1}
+        assert {r.class_id for r in rows} == {"warm": set(range(0, 3000, 2)), "own": set(range(0, 3000, 2)), "one": {7}, "none": {None}}[name]
+    assert took["one"] < 2 * took["own"] and took["none"] < 2 * took["own"], took
+
+
+def test_kept_columns_with_the_join_s_own_names(spark):
+    rows = [(k, t, f"i{k}", k * 10, f"v{k}", -k) for k, t in enumerate(["a b c d e f", "a b c d e f", "x y z", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string, set long, vector string, rep_id int")
+    got = ngram_join.near_classes(docs, "id", "set", "vector", "rep_id")
+    assert sorted(got.columns) == sorted(["doc_id", "id", "set", "vector", "class_id", "rep_id", "n_copies", "n_links"])
+    assert sorted((r.doc_id, r.id, r.set, r.vector, r.class_id, r.rep_id, r.n_copies) for r in got.collect()) == [(0, "i0", 0, "v0", 0, 0, 2), (1, "i1", 10, "v1", 0, 0, 2), (2, "i2", 20, "v2", 2, 2, 1), (3, "i3", 30, "v3", 3, 3, 1)]
+
+
+def test_reruns_of_the_mix_take_the_same_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "one two three", "s0", f"l{k}") for k in range(30)] + [(2, "four five", "s1", "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    runs = [sorted(map(tuple, mixing.mix(docs.repartition(n), "doc_id", "lang").select("doc_id", "lang", "taken").collect())) for n in (1, 5, 7)]
+    assert runs[0] == runs[1] == runs[2] and len({t for *_, t in runs[0]}) > 1

@@ -163,6 +163,31 @@ def test_separator_scan_of_an_open_end(spark):
 def test_frequent_words_are_whole_classes_that_fit(spark):
     texts = ["a " * 40 + "b " * 39 + "c " * 8 + "d e f"] * 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(bpe.frequent_words(docs, 10)) == [("a", 80), ("b", 78), ("c", 16), ("d", 2), ("e", 2), ("f", 2)]
-    assert sorted(bpe.frequent_words(docs, 5)) == [("a", 80), ("b", 78), ("c", 16)]
+    # The words are the tokenizer's: all but a text's first have their blank with them.
+    assert sorted(bpe.frequent_words(docs, 10)) == [(" a", 78), (" b", 78), (" c", 16), (" d", 2), (" e", 2), (" f", 2), ("a", 2)]
+    assert sorted(bpe.frequent_words(docs, 5)) == [(" a", 78), (" b", 78), (" c", 16)]
     assert bpe.frequent_words(docs, 0) == [] and bpe.frequent_words(docs.limit(0), 5) == []
+
+
+def test_long_words_stay_out_of_the_counts(spark, library):
+    """Unspaced text and words of megabytes: short words are counted, and ids are the library's."""
+    rnd = random.Random(3)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(30_000))
+    texts = [han, "y" * 3_000_000, "ab " * 2000 + "z" * 200_000, han[:9] + "。" + han[9:15] + "。", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    counts = {r.word: r.n for r in bpe.word_counts(docs).collect()}
+    assert max(len(w.encode()) for w in counts) <= bpe.LONGEST and counts[" ab"] == 1999 and counts["。"] == 2 and counts[han[9:15]] == 1
+    path = bpe.vocabulary_path()
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, bpe.build_lexicon(docs, path), path).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_remembered_words_are_bounded_by_their_length(monkeypatch):
+    monkeypatch.setattr(pretoken, "ROOM", 1000)
+    monkeypatch.setattr(pretoken, "KEPT", 50)
+    seen = []
+    coder = BatchEncoder(lambda words: (seen.extend(words), (np.arange(len(words), dtype=np.uint32), np.ones(len(words), np.int64)))[1], {})
+    for k in range(40):
+        coder.encode(["ab" * 40 + " cd ef " + "".join(chr(97 + (k * 7 + i) % 26) for i in range(200))])
+        assert coder.used[1] <= 2000
+    assert seen.count(" cd") == 1 and seen.count("ab" * 40) > 1  # a word of 80 signs isn't kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,16 +60,24 @@ def quantile_centres(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.take_along_axis(x, order[:, at], 1), np.take_along_axis(y, order[:, at], 1)
 
 
-def spread_centres(x: np.ndarray, y: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """k-means++: later centres by squared distance; one seeded stream for every marker."""
-    rng, n, line = np.random.default_rng(seed), x.shape[1], np.arange(len(x))
-    chosen = [np.full(len(x), rng.integers(n))]
+def stream(seed: int, restart: int, draw: int) -> float:
+    """A number in [0, 1) that depends on its counters alone, so any engine with MD5 draws the same."""
+    return int(hashlib.md5(f"{seed}:{restart}:{draw}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+def spread_centres(x: np.ndarray, y: np.ndarray, k: int, seed: int, restart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """k-means++: a centre is the first point at which the running sum of squared distances reaches a drawn part of their total.
+
+    All markers draw the same numbers.  Points that are all equal to centres give the first centre again.
+    """
+    n, line = x.shape[1], np.arange(len(x))
+    chosen = [np.full(len(x), min(int(stream(seed, restart, 0) * n), n - 1))]
     nearest = np.full(x.shape, np.inf)
     while len(chosen) < k:
         c = chosen[-1]
         nearest = np.minimum(nearest, (x - x[line, c][:, None]) ** 2 + (y - y[line, c][:, None]) ** 2)
         total = np.cumsum(nearest, 1)
-        pick = (total < rng.random() * total[:, -1:]).sum(1)
+        pick = (total < stream(seed, restart, len(chosen)) * total[:, -1:]).sum(1)
         chosen.append(np.where(total[:, -1] > 0, np.where(pick < n, pick, 0), chosen[0]))
     at = np.stack(chosen, 1)
     return np.take_along_axis(x, at, 1), np.take_along_axis(y, at, 1)
@@ -112,7 +121,7 @@ def fitted(x: np.ndarray, y: np.ndarray, k: int, cfg: CohortConfig) -> Model:
         return expectation_maximisation(x, y, quantile_centres(x, y, k), cfg.max_iters, cfg.tol)
     best = None
     for r in range(cfg.restarts):
-        m = expectation_maximisation(x, y, spread_centres(x, y, k, cfg.seed + r), cfg.max_iters, cfg.tol)
+        m = expectation_maximisation(x, y, spread_centres(x, y, k, cfg.seed, r), cfg.max_iters, cfg.tol)
         if best is None:
             best = m
         else:
@@ -202,6 +211,21 @@ def fits(points: DataFrame, cfg: CohortConfig) -> DataFrame:
     return points.select("snp_id", "samples", "raw", "x", "y").mapInArrow(run, FIT)
 
 
+def starts(points: DataFrame, k: int, cfg: CohortConfig) -> DataFrame:
+    """The k-means++ centres of each marker and restart: snp_id, restart, comp, x, y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in (1, 2))
+                for r in range(cfg.restarts):
+                    cx, cy = spread_centres(x, y, k, cfg.seed, r)
+                    columns = [np.repeat(batch.column(0).to_numpy(), k), np.full(cx.size, r, np.int32), np.tile(np.arange(k, dtype=np.int32), len(cx)), cx.ravel(), cy.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["snp_id", "restart", "comp", "x", "y"])
+
+    return points.select("snp_id", "x", "y").mapInArrow(run, "snp_id long, restart int, comp int, x double, y double")
+
+
 def fixed_em(points: DataFrame, k: int, iterations: int) -> DataFrame:
     """Components after exactly ``iterations`` rounds from the quantile start: snp_id, comp, w, mx, my, vx, vy, loglik."""
 

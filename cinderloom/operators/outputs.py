@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,35 +37,97 @@ def plot_bounds(points: DataFrame) -> DataFrame:
     return points.groupBy("snp_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("theta", "r") for n, f in (("low", lambda c: F.min(c) - pad(c)), ("high", lambda c: F.max(c) + pad(c)))))
 
 
+#: Fixed values of the picture: size, colours of the genotypes, and how far dots and crosses reach.
+WIDTH, HEIGHT = 1400, 1000
 COLOURS = {"AA": "#d62728", "AB": "#1f77b4", "BB": "#2ca02c"}
+DOT, CROSS = 4, 8
 
 
-def svg(points: list, centres: list[tuple[float, float]] = (), width: int = 1400, height: int = 1000) -> str:
-    """A scatter plot of one marker's rows of ``plot_points`` as SVG text; crosses mark centres."""
-    xs, ys = ([p[c] for p in points] + [m[i] for m in centres] for i, c in enumerate(("theta", "r")))
-    if not xs:
-        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"/>'
+def _scales(points: list, centres: list[tuple[float, float]], width: int, height: int) -> list:
+    """Where a theta and an r fall in the picture: the ranges of ``plot_bounds``, over centres as well."""
     scale = []
-    for v, size, flip in ((xs, width, False), (ys, height, True)):
+    for i, (name, size) in enumerate((("theta", width), ("r", height))):
+        v = [p[name] for p in points] + [m[i] for m in centres]
         pad = 0.06 * max(max(v) - min(v), 1.0)
         low, high = min(v) - pad, max(v) + pad
-        scale.append(lambda x, low=low, high=high, size=size, flip=flip: (high - x if flip else x - low) / (high - low) * size)
-    dots = "".join(f'<circle cx="{scale[0](p["theta"]):.1f}" cy="{scale[1](p["r"]):.1f}" r="4" fill="{COLOURS[p["call"]]}"/>' for p in points)
-    marks = "".join(f'<path d="M{scale[0](x) - 8:.1f} {scale[1](y):.1f}h16m-8 -8v16" stroke="black"/>' for x, y in centres)
+        scale.append(lambda x, low=low, high=high, size=size, flip=i == 1: (high - x if flip else x - low) / (high - low) * size)
+    return scale
+
+
+def svg(points: list, centres: list[tuple[float, float]] = (), width: int = WIDTH, height: int = HEIGHT) -> str:
+    """A scatter plot of one marker's rows of ``plot_points`` as SVG text; crosses mark centres."""
+    if not points and not centres:
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"/>'
+    x_of, y_of = _scales(points, centres, width, height)
+    dots = "".join(f'<circle cx="{x_of(p["theta"]):.1f}" cy="{y_of(p["r"]):.1f}" r="{DOT}" fill="{COLOURS[p["call"]]}"/>' for p in points)
+    marks = "".join(f'<path d="M{x_of(x) - CROSS:.1f} {y_of(y):.1f}h{2 * CROSS}m-{CROSS} -{CROSS}v{2 * CROSS}" stroke="black"/>' for x, y in centres)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}{marks}</svg>'
 
 
+def raster(points: list, centres: list[tuple[float, float]] = (), width: int = WIDTH, height: int = HEIGHT) -> np.ndarray:
+    """The same plot as pixels [height, width, 3]: dots, and black crosses over them."""
+    out = np.full((height, width, 3), 255, np.uint8)
+    if not points and not centres:
+        return out
+    x_of, y_of = _scales(points, centres, width, height)
+
+    def paint(x: float, y: float, dx: np.ndarray, dy: np.ndarray, colour: tuple[int, ...]) -> None:
+        px, py = int(x_of(x)) + dx, int(y_of(y)) + dy
+        on = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+        out[py[on], px[on]] = colour
+
+    dy, dx = np.mgrid[-DOT : DOT + 1, -DOT : DOT + 1]
+    disc = dx**2 + dy**2 <= DOT**2
+    for p in points:
+        paint(p["theta"], p["r"], dx[disc], dy[disc], tuple(bytes.fromhex(COLOURS[p["call"]][1:])))
+    arm = np.arange(-CROSS, CROSS + 1)
+    for x, y in centres:
+        paint(x, y, np.append(arm, 0 * arm), np.append(0 * arm, arm), (0, 0, 0))
+    return out
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """Pixels [height, width, 3] as a PNG file: true colour, eight bits, each row filtered by the row above."""
+    height, width, _ = pixels.shape
+    rows = pixels.reshape(height, width * 3)
+    up = rows.copy()
+    up[1:] -= rows[:-1]  # modulo 256, as filter 2 wants it
+    data = np.concatenate([np.full((height, 1), 2, np.uint8), up], 1).tobytes()
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(data, 6)) + chunk(b"IEND", b"")
+
+
+def pixels(raw: bytes) -> np.ndarray:
+    """The pixels of a file by ``png``."""
+    at, width, height, data = 8, 0, 0, b""
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        body = raw[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            width, height = struct.unpack_from(">II", body)
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + size
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + 3 * width)[:, 1:]
+    return np.cumsum(rows, 0, dtype=np.uint8).reshape(height, width, 3)
+
+
 def plots(points: DataFrame, fits: DataFrame, cfg: CohortConfig, tau: float) -> DataFrame:
-    """(name, svg): a picture of each marker of ``plot_points`` rows with its refined centres; a task draws a marker."""
+    """(snp_id, name, svg, png): pictures of each marker of ``plot_points`` rows with its refined centres; a task draws a marker."""
     rows = gates.refined_markers(fits.join(F.broadcast(points.select("snp_id").distinct()), "snp_id"), cfg, F.lit(tau))  # at most plot_first_snps + 1 rows
     places = F.transform("centres", lambda c: F.struct((c["mx"] / cfg.theta_scale).alias("theta"), (c["my"] / max(cfg.w_r, 1e-9)).alias("r")))
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         centres = [(c["theta"], c["r"]) for c in rows["places"].iloc[0]]
-        return pd.DataFrame({"name": [rows["name"].iloc[0]], "svg": [svg(rows.sort_values("sample_idx").to_dict("records"), centres)]})
+        dots = rows.sort_values("sample_idx").to_dict("records")
+        return pd.DataFrame({"snp_id": [rows["snp_id"].iloc[0]], "name": [rows["name"].iloc[0]], "svg": [svg(dots, centres)], "png": [png(raster(dots, centres))]})
 
     joined = points.join(rows.select("snp_id", places.alias("places")), "snp_id")
-    return joined.select(snp_name(F.col("snp_id")).alias("name"), "sample_idx", "theta", "r", "call", "places").groupBy("name").applyInPandas(draw, "name string, svg string")
+    return joined.select("snp_id", snp_name(F.col("snp_id")).alias("name"), "sample_idx", "theta", "r", "call", "places").groupBy("snp_id").applyInPandas(draw, "snp_id long, name string, svg string, png binary")
 
 
 def marker_dump(called: DataFrame, snp_id: int, tau: float, r_min: int) -> DataFrame:

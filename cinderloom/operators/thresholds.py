@@ -84,30 +84,49 @@ def cohort_floor(probes: DataFrame, formula: str = "reference") -> DataFrame:
     return upper_median(sample_floors(probes, formula), "r_min")
 
 
-BUCKETS = 1 << 16
+#: Errors that one task puts in order at most, and parts of a binade (first) and of a range of errors (after it).
+CUT_ROWS, BINADE_PARTS, RANGE_PARTS = 100_000, 64, 4096
 
 
-def auto_tau(confident: DataFrame, alpha: float) -> DataFrame:
+def cut_range(errors: DataFrame, alpha: float, rows: int = CUT_ROWS) -> tuple[DataFrame, int, float] | None:
+    """The errors (e in [0, 1]) among which the last one lies up to which the mean is within ``alpha``, and number and sum of those below.
+
+    Errors are summed by parts of their range, and the last part whose first error is good is cut again, until it has ``rows``
+    errors at most or a single value.  The first cut is by binades, since most errors are tiny.  None if no error is good.
+    """
+    inside, n0, s0 = errors, 0, 0.0
+    part = F.when(F.col("e") > 0, F.floor(F.log2("e") * BINADE_PARTS)).otherwise(-(1 << 30))
+    while True:
+        sums = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.min("e").alias("low"), F.max("e").alias("high"))
+        earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+        sums = sums.withColumns({"n0": F.coalesce(F.sum("n").over(earlier), F.lit(0)) + n0, "s0": F.coalesce(F.sum("s").over(earlier), F.lit(0.0)) + s0})
+        last = sums.where((F.col("s0") + F.col("low")) / (F.col("n0") + 1) <= alpha).orderBy(F.desc("part")).first()
+        if last is None:
+            return None
+        n0, s0, low, high = last.n0, last.s0, last.low, last.high
+        inside = errors.where(F.col("e").between(low, high))
+        if last.n <= rows or low == high:
+            return inside, n0, s0
+        part = F.least(F.floor((F.col("e") - low) / (high - low) * RANGE_PARTS), F.lit(RANGE_PARTS - 1))
+
+
+def auto_tau(confident: DataFrame, alpha: float, rows: int = CUT_ROWS) -> DataFrame:
     """One row ``tau``: the cut at which the mean error (1 - post) of what is called stays within ``alpha``.
 
-    Errors ascend, so their running mean does too, and one bucket of the error's range holds the last good one:
-    buckets are summed first, and only that bucket's distinct errors are ordered.
+    Errors ascend, so their running mean does too, and one part of their range holds the last good one (``cut_range``): only
+    that part is put in order, ``rows`` distinct errors at most.
     """
-    e = F.greatest(F.least(1 - F.col("post"), F.lit(1.0)), F.lit(0.0))
-    errors = confident.select(e.alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    errors = errors.withColumn("bucket", F.floor(F.col("e") * BUCKETS))
-    sums = errors.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("e") * F.col("n")).alias("s"), F.min("e").alias("low"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("bucket", "low", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s0"))
-    # The last bucket whose first error is still within alpha.
-    last = sums.where((F.col("s0") + F.col("low")) / (F.col("n0") + 1) <= alpha).orderBy(F.desc("bucket")).limit(1)
-    inside = errors.join(F.broadcast(last), "bucket")  # one row is broadcast
+    spark = confident.sparkSession
+    errors = confident.select(F.greatest(F.least(1 - F.col("post"), F.lit(1.0)), F.lit(0.0)).alias("e"))
+    if (found := cut_range(errors, alpha, rows)) is None:
+        return spark.createDataFrame([(TAU_NONE,)], "tau double")
+    inside, n0, s0 = found
     before = Window.orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.col("n0") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    s = F.col("s0") + F.coalesce(F.sum(F.col("e") * F.col("n")).over(before), F.lit(0.0))
-    good = inside.select("e", ((s + F.col("e")) / (n + 1)).alias("mean")).where(F.col("mean") <= alpha)
-    cut = F.least(F.greatest(1 - F.max("e"), F.lit(TAU_LOW)), F.lit(TAU_HIGH))
-    return good.agg(F.when(F.count("*") > 0, cut).otherwise(TAU_NONE).alias("tau"))
+    distinct = inside.groupBy("e").agg(F.count("*").alias("n"))
+    n = F.coalesce(F.sum("n").over(before), F.lit(0)) + n0
+    s = F.coalesce(F.sum(F.col("e") * F.col("n")).over(before), F.lit(0.0)) + s0
+    good = distinct.select("e", ((s + F.col("e")) / (n + 1)).alias("mean")).where(F.col("mean") <= alpha)
+    return good.agg(F.least(F.greatest(1 - F.max("e"), F.lit(TAU_LOW)), F.lit(TAU_HIGH)).alias("tau"))
 
 
 def tau_input(fits: DataFrame, r_min: int, markers: int = TAU_MARKERS) -> DataFrame:

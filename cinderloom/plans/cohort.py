@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CohortConfig
 from ..operators import feedback, gates, mixture, outputs, snps, thresholds
-from ..sources import idat, idat_source, matrix, state
+from ..sources import files, idat, idat_source, matrix, state
 from ..sources.places import SCHEMES, scheme
 from ..timing import Timer, timing_summary
 
@@ -126,7 +126,10 @@ def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConf
         with done.timer.span("plot_one_snp"):
             points = stage(spark, outputs.plot_points(done.calls, cfg), "plot_points")
             points.write.mode("overwrite").parquet(f"{out_dir}/plot_points")
-            outputs.plots(points, done.fits, cfg, done.tau).write.mode("overwrite").partitionBy("name").text(f"{out_dir}/plots")
+            drawn = stage(spark, outputs.plots(points, done.fits, cfg, done.tau), "plots")
+            drawn.select("name", "svg").write.mode("overwrite").partitionBy("name").text(f"{out_dir}/plots")
+            if scheme(out_dir) in SCHEMES:
+                files.write_files(drawn.select(F.concat("name", F.lit(".png")).alias("name"), F.col("png").alias("content")), f"{out_dir}/pictures")
     if cfg.debug_snp is not None:
         with done.timer.span("debug_csv_one_snp"):
             outputs.marker_centres(done.fits, cfg.debug_snp, cfg, done.tau).coalesce(1).write.mode("overwrite").csv(f"{out_dir}/debug_snp_{cfg.debug_snp:08d}_centres", header=True)

@@ -37,16 +37,22 @@ fit1 AS (SELECT c.snp_id, n, 0 AS comp, 1.0::DOUBLE AS w, mx, my, vx, vy, sum({d
 
 
 def em(k: int, rounds: int, tol: float) -> str:
-    """Recursive rounds of EM from the quantile start, for all markers at once."""
-    square = lambda v: f"sum(r * {v} * {v}) / greatest(sum(r), 1e-8) - power(sum(r * {v}) / greatest(sum(r), 1e-8), 2)"
+    """Rounds of EM from the quantile start, for all markers at once."""
     return f"""
 start{k} AS (
   SELECT o.snp_id, t - 1 AS comp, o.x, o.y, m.vx, m.vy
   FROM (SELECT *, row_number() OVER (PARTITION BY snp_id ORDER BY x, sample_idx) - 1 AS place, count(*) OVER (PARTITION BY snp_id) AS s FROM pts) o
   JOIN mean1 m USING (snp_id), range(1, {k + 1}) AS q(t)
-  WHERE place = least(CAST(floor(CAST(t AS DOUBLE) / {k + 1} * s) AS BIGINT), s - 1)),
-em{k}(snp_id, step, comp, w, mx, my, vx, vy, loglik, done) AS (
-  SELECT snp_id, 0, comp, CAST(1 AS DOUBLE) / {k}, x, y, vx, vy, CAST('-inf' AS DOUBLE), false FROM start{k}
+  WHERE place = least(CAST(floor(CAST(t AS DOUBLE) / {k + 1} * s) AS BIGINT), s - 1)),{rounds_of(k, rounds, tol, f"start{k}", "pts", f"em{k}")},
+fit{k} AS (SELECT * FROM em{k} QUALIFY step = max(step) OVER (PARTITION BY snp_id))"""
+
+
+def rounds_of(k: int, rounds: int, tol: float, start: str, points: str, name: str) -> str:
+    """Recursive rounds of EM over ``points`` from the centres in ``start``; ``snp_id`` names what is fitted."""
+    square = lambda v: f"sum(r * {v} * {v}) / greatest(sum(r), 1e-8) - power(sum(r * {v}) / greatest(sum(r), 1e-8), 2)"
+    return f"""
+{name}(snp_id, step, comp, w, mx, my, vx, vy, loglik, done) AS (
+  SELECT snp_id, 0, comp, CAST(1 AS DOUBLE) / {k}, x, y, vx, vy, CAST('-inf' AS DOUBLE), false FROM {start}
   UNION ALL
   SELECT snp_id, step + 1, comp, wc / sum(wc) OVER (PARTITION BY snp_id), nx, ny, nvx, nvy, new,
     abs(new - loglik) <= {tol} OR sum(sqrt((nx - mx) * (nx - mx) + (ny - my) * (ny - my))) OVER (PARTITION BY snp_id) / {k} < {tol}
@@ -60,9 +66,45 @@ em{k}(snp_id, step, comp, w, mx, my, vx, vy, loglik, done) AS (
         SELECT *, top + ln(sum(exp(lp - top)) OVER (PARTITION BY snp_id, sample_idx)) AS l FROM (
           SELECT *, max(lp) OVER (PARTITION BY snp_id, sample_idx) AS top FROM (
             SELECT c.*, p.sample_idx, p.x, p.y, ln(greatest(c.w, 1e-12)) + {density("p", "c")} AS lp
-            FROM em{k} c JOIN pts p USING (snp_id) WHERE NOT c.done AND c.step < {rounds}))))
-    GROUP BY snp_id, step, comp)),
-fit{k} AS (SELECT * FROM em{k} QUALIFY step = max(step) OVER (PARTITION BY snp_id))"""
+            FROM {name} c JOIN {points} p USING (snp_id) WHERE NOT c.done AND c.step < {rounds}))))
+    GROUP BY snp_id, step, comp))"""
+
+
+def spread(seed: int, restarts: int) -> str:
+    """Centres by k-means++ for each marker and restart: c1, c2, c3, each after the ones before it."""
+    at = lambda n: f"(x - x{n}) * (x - x{n}) + (y - y{n}) * (y - y{n})"
+
+    def step(n: int) -> str:
+        near = at(1) if n == 2 else f"least({', '.join(at(j) for j in range(1, n))})"
+        known = ", ".join(f"i{j}, x{j}, y{j}" for j in range(1, n))
+        return f"""
+far{n} AS (
+  SELECT *, sum(d) OVER (PARTITION BY snp_id, r ORDER BY i) AS reached, sum(d) OVER (PARTITION BY snp_id, r) AS total
+  FROM (SELECT o.i, o.x, o.y, c.*, {near} AS d FROM numbered o JOIN c{n - 1} c USING (snp_id))),
+c{n} AS (
+  SELECT p.snp_id, p.r, {known}, o.i AS i{n}, o.x AS x{n}, o.y AS y{n}
+  FROM (
+    SELECT snp_id, r, {known}, CASE WHEN any_value(total) > 0 THEN coalesce(min(i) FILTER (reached >= u * total), 0) ELSE i1 END AS pick
+    FROM far{n} JOIN drawn USING (r) WHERE draw = {n - 1} GROUP BY snp_id, r, {known}) p
+  JOIN numbered o ON o.snp_id = p.snp_id AND o.i = p.pick)"""
+
+    return f"""
+drawn AS (
+  SELECT r, draw, CAST('0x' || md5('{seed}:' || r || ':' || draw)[1:8] AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u
+  FROM range({restarts}) AS a(r), range(3) AS b(draw)),
+numbered AS (SELECT snp_id, x, y, row_number() OVER (PARTITION BY snp_id ORDER BY sample_idx) - 1 AS i, count(*) OVER (PARTITION BY snp_id) AS n FROM pts),
+c1 AS (SELECT snp_id, r, i AS i1, x AS x1, y AS y1 FROM numbered, drawn WHERE draw = 0 AND i = least(CAST(floor(u * n) AS BIGINT), n - 1)),{step(2)},{step(3)},
+again AS (SELECT snp_id * {restarts} + r AS snp_id, sample_idx, x, y FROM pts, range({restarts}) AS a(r))"""
+
+
+def restarted(k: int, rounds: int, tol: float, restarts: int) -> str:
+    """The best of all restarts, ties to the earlier one, as ``fit{k}``."""
+    starts = " UNION ALL ".join(f"SELECT c.snp_id * {restarts} + c.r, {j - 1}, x{j}, y{j}, m.vx, m.vy FROM c{k} c JOIN mean1 m USING (snp_id)" for j in range(1, k + 1))
+    return f"""
+begin{k}(snp_id, comp, x, y, vx, vy) AS ({starts}),{rounds_of(k, rounds, tol, f"begin{k}", "again", f"run{k}")},
+ended{k} AS (SELECT snp_id // {restarts} AS snp_id, snp_id % {restarts} AS r, * EXCLUDE (snp_id) FROM run{k} QUALIFY step = max(step) OVER (PARTITION BY run{k}.snp_id)),
+best{k} AS (SELECT snp_id, r FROM (SELECT DISTINCT snp_id, r, loglik FROM ended{k}) QUALIFY row_number() OVER (PARTITION BY snp_id ORDER BY loglik DESC, r) = 1),
+fit{k} AS (SELECT e.* FROM ended{k} e JOIN best{k} b ON b.snp_id = e.snp_id AND b.r = e.r)"""
 
 
 MODELS = f"""
@@ -157,6 +199,7 @@ def _with(*parts: str, select: str) -> str:
 
 _FITS = (PROBES, ONE, em(2, CFG.max_iters, CFG.tol), em(3, CFG.max_iters, CFG.tol), MODELS)
 _CALLS = (*_FITS, GATES)
+_SPREAD = (PROBES, ONE, spread(CFG.seed, CFG.restarts), *(restarted(k, CFG.max_iters, CFG.tol, CFG.restarts) for k in (2, 3)), MODELS)
 _OLD = "SELECT p_partkey AS snp_id, CAST(p_size AS BIGINT) AS seen, CAST(p_size % 3 AS BIGINT) AS nocall_raw, CAST(p_size % 5 AS BIGINT) AS nocall_p, p_size % 10 = 0 AS bad FROM part"
 _WIDE = ", ".join(f"max(CASE WHEN sample_idx = {s} THEN call END) AS s{s}" for s in range(SAMPLES))
 
@@ -183,6 +226,13 @@ SELECT snp_id, round(min(t) - 0.06 * greatest(max(t) - min(t), 1), 5) AS low_the
   round(min(r) - 0.06 * greatest(max(r) - min(r), 1), 5) AS low_r, round(max(r) + 0.06 * greatest(max(r) - min(r), 1), 5) AS high_r
 FROM (SELECT snp_id, x AS t, y / 0.45 AS r FROM calls WHERE call <> 'NoCall' AND snp_id IN (SELECT DISTINCT snp_id FROM calls ORDER BY snp_id LIMIT {CFG.plot_first_snps}))
 GROUP BY snp_id"""),
+    "plot_png": _with(*_CALLS, select=f"""
+SELECT snp_id, sample_idx, CAST(floor((x - lx) / (hx - lx) * 1400) AS INTEGER) AS px, CAST(floor((hy - y) / (hy - ly) * 1000) AS INTEGER) AS py, true AS inked
+FROM (
+  SELECT snp_id, sample_idx, x, y, min(x) OVER w - 0.06 * greatest(max(x) OVER w - min(x) OVER w, 1) AS lx, max(x) OVER w + 0.06 * greatest(max(x) OVER w - min(x) OVER w, 1) AS hx,
+    min(y) OVER w - 0.06 * greatest(max(y) OVER w - min(y) OVER w, 1) AS ly, max(y) OVER w + 0.06 * greatest(max(y) OVER w - min(y) OVER w, 1) AS hy
+  FROM (SELECT snp_id, sample_idx, x, y / 0.45 AS y FROM calls WHERE call <> 'NoCall' AND snp_id IN (SELECT DISTINCT snp_id FROM calls ORDER BY snp_id LIMIT {CFG.plot_first_snps}))
+  WINDOW w AS (PARTITION BY snp_id))"""),
     "common_snps": _with(PROBES, select="SELECT snp_id FROM common"),
     "theta_r": _with(PROBES, select="SELECT snp_id, sample_idx, round(2 * atan2(grn, red) / pi(), 6) AS theta, round(0.45 * ln(red + grn + 1), 6) AS r FROM probes"),
     "raw_gate": _with(PROBES, select=f"SELECT snp_id, sample_idx, CAST(red + grn AS BIGINT) AS raw, red + grn >= {CFG.r_min} AS pass_raw FROM probes"),
@@ -201,6 +251,10 @@ FROM c g JOIN c r ON g.base = r.base AND NOT g.red AND r.red""",
     "k1_fit": _with(PROBES, ONE, select="SELECT snp_id, n, round(mx, 4) AS mx, round(my, 4) AS my, round(vx, 4) AS vx, round(vy, 4) AS vy, round(loglik, 4) AS loglik, round(-2 * loglik + 4 * ln(n), 4) AS bic FROM fit1"),
     "em_k2": _fixed(2),
     "em_k3": _fixed(3),
+    "kpp_centres": _with(PROBES, spread(CFG.seed, CFG.restarts), select=" UNION ALL ".join(f"SELECT snp_id, CAST(r AS INTEGER) AS restart, {j - 1} AS comp, round(x{j}, 6) AS x, round(y{j}, 6) AS y FROM c3" for j in (1, 2, 3))),
+    "kpp_fits": _with(*_SPREAD, select="""
+SELECT s.snp_id, k, round(CASE k WHEN 1 THEN f.loglik WHEN 2 THEN a.loglik ELSE b.loglik END, 4) AS loglik, round(CASE k WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, 4) AS bic
+FROM sizes s JOIN bics USING (snp_id) JOIN fit1 f USING (snp_id) JOIN least2 a USING (snp_id) JOIN least3 b USING (snp_id)"""),
     "bic_choose_k": _with(*_FITS, select="SELECT snp_id, k_bic AS k, round(b1, 3) AS bic1, round(b2, 3) AS bic2, round(b3, 3) AS bic3 FROM best"),
     "collapse_k": _with(*_FITS, select="SELECT snp_id, k_bic, k FROM sizes"),
     "posteriors": _with(*_FITS, select="SELECT snp_id, k, sample_idx, CAST(lab AS INTEGER) AS lab, round(post, 4) AS post FROM post"),

@@ -237,6 +237,11 @@ def rmin_upper_median(spark, sf_dir):
     return thresholds.cohort_floor(probes(spark, sf_dir))
 
 
+def kpp_centres(spark, sf_dir):
+    """Where the restarts of the largest fit begin."""
+    return mixture.starts(points(spark, sf_dir), 3, CFG).select("snp_id", "restart", "comp", _r("x", 6), _r("y", 6))
+
+
 def kpp_fits(spark, sf_dir):
     """Fits from k-means++ starts, the best of several restarts."""
     rows = mixture.fits(points(spark, sf_dir), replace(CFG, init="kpp"))
@@ -288,6 +293,23 @@ def plot_bounds(spark, sf_dir):
     return outputs.plot_bounds(points).select("snp_id", *(_r(c, 5) for c in ("low_theta", "high_theta", "low_r", "high_r")))
 
 
+def plot_png(spark, sf_dir):
+    """Where the pictures of the first markers have colour: the pixel of each called point, read from the drawn file."""
+    fitted = stage(spark, fits(spark, sf_dir), "plot_fits")
+    drawn = stage(spark, outputs.plot_points(gates.calls(fitted, CFG, CFG.p_min, CFG.r_min), CFG), "plot_points")
+    bounds = outputs.plot_bounds(drawn.select("snp_id", "theta", "r"))
+    at = lambda v, low, high, size: F.floor((F.col(v) - F.col(low)) / (F.col(high) - F.col(low)) * size).cast("int")
+    pixels = drawn.join(bounds, "snp_id").select("snp_id", "sample_idx", at("theta", "low_theta", "high_theta", outputs.WIDTH).alias("px"), at("r", "high_r", "low_r", outputs.HEIGHT).alias("py"))
+
+    def look(rows: pd.DataFrame) -> pd.DataFrame:
+        image = outputs.pixels(rows["png"].iloc[0])
+        return rows[["snp_id", "sample_idx", "px", "py"]].assign(inked=(image[rows["py"], rows["px"]] < 255).any(1))
+
+    # Without centres, which would move the bounds.
+    pictures = outputs.plots(drawn, fitted.withColumn("comps", F.slice("comps", 1, 0)), CFG, CFG.p_min).select("snp_id", "png")
+    return pixels.join(pictures, "snp_id").groupBy("snp_id").applyInPandas(look, "snp_id long, sample_idx int, px int, py int, inked boolean")
+
+
 def timings(spark, sf_dir):
     """Totals of all events' values by their kind, as spans of a run."""
     rows = timing_summary(table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("value").alias("ms")))
@@ -310,6 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k1_fit": k1_fit,
     "em_k2": _fixed(2),
     "em_k3": _fixed(3),
+    "kpp_centres": kpp_centres,
     "kpp_fits": kpp_fits,
     "bic_choose_k": bic_choose_k,
     "collapse_k": collapse_k,
@@ -331,5 +354,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "state_round_trip": state_round_trip,
     "plot_points": plot_points,
     "plot_bounds": plot_bounds,
+    "plot_png": plot_png,
     "timing_summary": timings,
 }

@@ -1,6 +1,7 @@
 import gzip
 import math
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from cinderloom.config import CohortConfig
 from cinderloom.functions import features
 from cinderloom.operators import feedback, gates, mixture, outputs, snps, thresholds
 from cinderloom.plans import cohort
-from cinderloom.sources import idat, idat_source, matrix, state
+from cinderloom.sources import files, idat, idat_source, matrix, state
 from cinderloom.streaming import feedback as stream
 from cinderloom.timing import Timer, timing_summary
 
@@ -113,6 +114,8 @@ def test_command_line(spark, array_root, tmp_path, capsys):
     assert spark.read.csv(str(out / "cohort_qc_summary"), header=True).count() == 4
     pictures = sorted(out.glob("plots/name=*/part-*"))
     assert len(pictures) == 3 and all(p.read_text().startswith("<svg ") and "<circle" in p.read_text() for p in pictures)
+    images = sorted((out / "pictures").iterdir())
+    assert len(images) == 3 and all(plain_png(p.read_bytes())[:2] == (1400, 1000) for p in images[:1]) and all(p.name.endswith(".png") for p in images)
     (tmp_path / "none").mkdir()
     assert cli.main(["--root", str(tmp_path / "none"), "--out-dir", str(out)]) == 0
     assert "no pairs" in capsys.readouterr().out
@@ -384,6 +387,45 @@ def test_restarts_keep_the_best(spark):
     assert (many.loglik >= one.loglik - 1e-12).all()
 
 
+def plain_spread(xs, ys, k, draw):
+    """k-means++ for one marker, a point at a time; draw(d) gives the d-th number."""
+    n = len(xs)
+    picks = [int(draw(0) * n)]
+    while len(picks) < k:
+        d2 = [min((xs[i] - xs[c]) ** 2 + (ys[i] - ys[c]) ** 2 for c in picks) for i in range(n)]
+        whole = []
+        for d in d2:
+            whole.append((whole[-1] if whole else 0.0) + d)
+        if whole[-1] <= 0:
+            return picks + [picks[0]] * (k - len(picks))
+        goal = draw(len(picks)) * whole[-1]
+        picks.append(next((i for i, w in enumerate(whole) if w >= goal), 0))
+    return picks
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_spread_centres_equal_the_plain_ones(k):
+    rng = np.random.default_rng(3)
+    x, y = rng.choice([0.1, 0.5, 0.9], (40, 17)) + rng.normal(0, 0.03, (40, 17)), rng.normal(4, 0.1, (40, 17))
+    x[5], y[5] = 0.25, 4.0  # all points equal: every distance is zero
+    x[6], y[6] = np.repeat([0.1, 0.9], [9, 8]), 4.0  # two places: the third centre repeats the first
+    x[7, 1:], y[7, 1:] = x[7, 0], y[7, 0]
+    x[8, :8], y[8, :8] = x[8, 8], y[8, 8]  # zero distances in front
+    for seed in (0, 42, -7):
+        for restart in range(4):
+            cx, cy = mixture.spread_centres(x, y, k, seed, restart)
+            for b in range(len(x)):
+                picks = plain_spread(x[b].tolist(), y[b].tolist(), k, lambda d: mixture.stream(seed, restart, d))
+                assert cx[b].tolist() == [x[b, i] for i in picks] and cy[b].tolist() == [y[b, i] for i in picks]
+
+
+def test_drawn_numbers_depend_on_their_counters_alone(spark):
+    drawn = [mixture.stream(42, r, d) for r in range(40) for d in range(40)]
+    assert len(set(drawn)) == 1600 and 0 <= min(drawn) and max(drawn) < 1 and abs(sum(drawn) / 1600 - 0.5) < 0.03
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(42), F.floor(F.col("id") / 40), F.col("id") % 40)), 1, 8), 16, 10).cast("double") / 2**32
+    assert [r[0] for r in spark.range(1600).select(u).collect()] == drawn
+
+
 def test_settings_are_checked():
     for bad in ({"k_max": 4}, {"restarts": 0}, {"max_snps": 1, "sample_snps": 1}, {"init": "x"}):
         with pytest.raises(ValueError):
@@ -439,6 +481,57 @@ def test_gate_counters_add_up(spark):
     assert outputs.marker_dump(rows, 1, 0.85, 500).count() == 24
 
 
+# --- pictures ---
+
+
+def plain_png(raw):
+    """Width, height and rows of pixels, a byte at a time: chunks with right checksums, filters 0 and 2."""
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, []
+    while at < len(raw):
+        (size,) = struct.unpack_from(">I", raw, at)
+        kind, body = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + size]
+        assert struct.unpack_from(">I", raw, at + 8 + size)[0] == zlib.crc32(kind + body)
+        chunks.append((kind, body))
+        at += 12 + size
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", chunks[0][1])
+    assert (depth, colour, rest) == (8, 2, [0, 0, 0])
+    data, rows, above = zlib.decompress(chunks[1][1]), [], bytes(3 * width)
+    for y in range(height):
+        kind, line = data[y * (3 * width + 1)], data[y * (3 * width + 1) + 1 : (y + 1) * (3 * width + 1)]
+        above = bytes((a + b) % 256 for a, b in zip(line, above, strict=True)) if kind == 2 else line
+        rows.append([tuple(above[i : i + 3]) for i in range(0, 3 * width, 3)])
+    return width, height, rows
+
+
+def test_picture_of_a_marker(spark):
+    points = [{"theta": t, "r": r, "call": c} for t, r, c in ((0.0, 4.0, "BB"), (0.5, 4.5, "AB"), (1.0, 5.0, "AA"), (0.9, 4.1, "AA"))]
+    centres = [(0.25, 4.5)]
+    width, height, rows = plain_png(outputs.png(outputs.raster(points, centres, 140, 100)))
+    assert (width, height) == (140, 100)
+    bounds = outputs.plot_bounds(spark.createDataFrame([(1, p["theta"], p["r"]) for p in points], "snp_id long, theta double, r double")).first()
+    place = lambda t, r: (int((t - bounds.low_theta) / (bounds.high_theta - bounds.low_theta) * 140), int((bounds.high_r - r) / (bounds.high_r - bounds.low_r) * 100))
+    for p in points:
+        x, y = place(p["theta"], p["r"])
+        assert "#%02x%02x%02x" % rows[y][x] == outputs.COLOURS[p["call"]] == "#%02x%02x%02x" % rows[y - outputs.DOT][x]
+        assert rows[y - outputs.DOT - 1][x] == (255, 255, 255)
+    x, y = place(*centres[0])
+    assert all(rows[y][x + d] == (0, 0, 0) == rows[y + d][x] for d in (-outputs.CROSS, 0, outputs.CROSS)) and rows[y + 1][x + 1] == (255, 255, 255)
+    assert (outputs.pixels(outputs.png(outputs.raster(points, centres, 140, 100))) == np.array(rows)).all()
+    blank = plain_png(outputs.png(outputs.raster([], [], 9, 7)))
+    assert blank[:2] == (9, 7) and {p for row in blank[2] for p in row} == {(255, 255, 255)}
+
+
+def test_files_appear_together(spark, tmp_path):
+    rows = spark.createDataFrame([("a.bin", bytearray(b"\x00\xff")), ("b.bin", bytearray())], "name string, content binary").repartition(2)
+    files.write_files(rows, str(tmp_path / "f"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "f").iterdir()} == {"a.bin": b"\x00\xff", "b.bin": b""}
+    with pytest.raises(Exception, match="one name"):
+        files.write_files(rows.union(rows), str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").iterdir())) == 2
+
+
 # --- thresholds ---
 
 
@@ -456,6 +549,25 @@ def test_auto_tau_is_the_longest_good_prefix(spark, posts, alpha):
     assert thresholds.auto_tau(df, alpha).first()[0] == pytest.approx(0.99 if tau is None else tau)
 
 
+def test_a_cut_among_crowded_errors(spark):
+    """All errors in a range of 1e-9, many of them equal: ranges are cut until one task gets few, and the cut is the plain one."""
+    rng = np.random.default_rng(8)
+    e = np.concatenate([0.3 + rng.random(4000) * 1e-9, np.full(3000, 0.3 + 5e-10), np.zeros(50), np.full(500, 1e-300)])
+    for alpha in (0.2, 0.2999999, float(np.sort(e).cumsum()[6000] / 6001)):
+        mean = np.sort(e).cumsum() / np.arange(1, len(e) + 1)
+        want = min(max(1 - np.sort(e)[mean <= alpha][-1], 0.85), 0.9999)
+        errors = spark.createDataFrame([(float(v),) for v in e], "e double").repartition(3).cache()
+        inside, n0, s0 = thresholds.cut_range(errors, alpha, 40)
+        held = [r.e for r in inside.collect()]
+        assert len(held) <= 40 or len(set(held)) == 1
+        assert n0 == (e < min(held)).sum() and s0 == pytest.approx(e[e < min(held)].sum())
+        posts = errors.select((1 - F.col("e")).alias("post"))
+        exact = [1 - (1 - v) for v in sorted(e)]
+        assert thresholds.auto_tau(posts, alpha, 40).first()[0] == pytest.approx(want, abs=1e-12) and exact
+    assert thresholds.cut_range(spark.createDataFrame([(0.5,)], "e double"), 0.1) is None
+    assert thresholds.auto_tau(spark.createDataFrame([], "post double"), 0.1).first()[0] == 0.99
+
+
 def test_upper_median_takes_the_upper_one(spark):
     df = lambda v: spark.createDataFrame([(x,) for x in v], "t int")
     assert [thresholds.upper_median(df(v), "t").first()[0] for v in ([3, 1, 2, 0], [5], [7, 5, 6])] == [2, 5, 6]

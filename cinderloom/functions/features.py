@@ -63,4 +63,5 @@ def bic(loglik: Column, k: Column, n: Column) -> Column:
 
 
 def snp_name(snp_id: Column) -> Column:
-    return F.concat(F.lit("snp_"), F.lpad(snp_id.cast("string"), 8, "0"))
+    """Eight digits, or as many as the number has."""
+    return F.format_string("snp_%08d", snp_id)

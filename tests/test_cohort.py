@@ -265,6 +265,12 @@ def test_state_readers(spark, tmp_path):
     assert state.read_feedback(spark, str(tmp_path / "none")).count() == 0
     state.write_bad(spark.createDataFrame([(9,), (10,)], "snp_id long"), str(tmp_path / "w"))
     assert "".join(p.read_text() for p in (tmp_path / "w").glob("part-*")).split() == ["10", "9"]
+    rows = spark.createDataFrame([(k * 7919 % 1009, 1, 0, 0, k % 2 == 0) for k in range(1, 300)], state.FEEDBACK).repartition(5)
+    state.write_feedback(rows, str(tmp_path / "f"))
+    (part,) = (tmp_path / "f").glob("part-*")
+    lines = part.read_text().splitlines()
+    ids = [int(t.split(",")[0]) for t in lines[1:]]
+    assert lines[0] == "snp_id,seen,nocall_raw,nocall_p,bad" and ids == sorted(ids) and len(ids) == 299
 
 
 # --- features ---
@@ -276,6 +282,16 @@ def test_theta_at_the_edges(spark):
     assert got == pytest.approx([0, 1, 0, 0.5])
 
 
+def test_names_and_single_intensities(spark):
+    ids = spark.createDataFrame([(7,), (12345678,), (4_294_967_295,)], "snp_id long")
+    assert [r[0] for r in ids.select(features.snp_name(F.col("snp_id"))).collect()] == ["snp_00000007", "snp_12345678", "snp_4294967295"]
+    values = spark.createDataFrame([(0,), (1,), (65_535,)], "v int")
+    assert [r[0] for r in values.select(features.log1p_intensity(F.col("v"))).collect()] == pytest.approx([0, math.log(2), math.log(65_536)])
+    paths = spark.createDataFrame([("/a/X_Grn.idat",), ("/a/X_Grn.idat.gz",), ("X_Green.idat",), ("b/A_Grn_1_Grn.idat",)], "p string")
+    assert [r[0] for r in paths.select(features.sample_name(F.col("p"))).collect()] == ["X", "X_Grn.idat", "X_Green", "A_Grn_1"] == [idat.stem(n) for n in ("X_Grn.idat", "X_Grn.idat.gz", "X_Green.idat", "A_Grn_1_Grn.idat")]
+    assert [r[0] for r in paths.select(features.sample_name(F.col("p"), False)).collect()] == ["X", "X", "X", "A_Grn_1"]
+
+
 def test_log_sum_exp(spark):
     row = spark.createDataFrame([([1000.0, 1000.0],)], "v array<double>").select(features.log_sum_exp(F.col("v"))).first()
     assert row[0] == pytest.approx(1000 + math.log(2))
@@ -466,6 +482,13 @@ def test_gates_at_their_limits(spark, row, call):
     assert got.call == call
 
 
+@pytest.mark.parametrize("lab", [3, -1])
+def test_a_label_without_component_is_an_error(spark, lab):
+    df = spark.createDataFrame([_fit_row(500, 0.9, lab=lab)], mixture.FIT)
+    with pytest.raises(Exception, match="out of bounds"):
+        gates.calls(df, CFG, 0.85, 500).collect()
+
+
 def test_gate_counters_add_up(spark):
     from cinderloom.plans.queries import called
 

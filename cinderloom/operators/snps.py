@@ -22,11 +22,16 @@ def _bitmaps(probes: DataFrame, *by: str) -> DataFrame:
     return words.groupBy(*by).agg(F.sum(F.bit_count("bits")).alias("samples"), F.sum("cells").alias("cells"))
 
 
-def common_snps(probes: DataFrame, once: bool = False) -> DataFrame:
-    """Markers that every sample has; with ``once``, a marker that a sample has twice is an error."""
-    every = _bitmaps(probes).select(F.col("samples").alias("all_samples"))
-    seen = _bitmaps(probes, "snp_id").join(F.broadcast(every))  # one row is broadcast
-    common = F.col("samples") == F.col("all_samples")
+def common_snps(probes: DataFrame, once: bool = False, samples: int | None = None) -> DataFrame:
+    """Markers that every sample has; with ``once``, a marker that a sample has twice is an error.
+
+    ``samples`` is their number where it is known; else ``probes`` is read once more for it.
+    """
+    seen, every = _bitmaps(probes, "snp_id"), F.lit(samples)
+    if samples is None:
+        seen = seen.join(F.broadcast(_bitmaps(probes).select(F.col("samples").alias("all_samples"))))  # one row is broadcast
+        every = F.col("all_samples")
+    common = F.col("samples") == every
     if once:
         common = F.when(F.col("cells") == F.col("samples"), common).otherwise(F.raise_error(F.lit("a sample has a marker twice")).cast("boolean"))
     return seen.where(common).select("snp_id")
@@ -50,9 +55,9 @@ def sampled_snps(snps: DataFrame, n: int, seed: int) -> DataFrame:
     return snps.orderBy(draw(F.col("snp_id"), seed), "snp_id").limit(n)
 
 
-def selected(probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None = None) -> DataFrame:
+def selected(probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None = None, samples: int | None = None) -> DataFrame:
     """The markers of a run."""
-    snps = common_snps(probes, once=True)
+    snps = common_snps(probes, once=True, samples=samples)
     if cfg.drop_bad_snps and bad is not None:
         snps = drop_bad(snps, bad)
     if cfg.sample_snps:

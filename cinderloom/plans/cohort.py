@@ -47,10 +47,10 @@ class Run:
     totals: dict[str, int]
 
 
-def _chosen(spark: SparkSession, probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None) -> DataFrame:
-    if probes.select("sample_idx").distinct().limit(2).count() < 2:
+def _chosen(spark: SparkSession, probes: DataFrame, cfg: CohortConfig, bad: DataFrame | None, samples: int) -> DataFrame:
+    if samples < 2:
         raise ValueError("a run needs two samples or more")
-    chosen = stage(spark, snps.selected(probes, cfg, bad), "snps")
+    chosen = stage(spark, snps.selected(probes, cfg, bad, samples), "snps")
     if chosen.isEmpty():
         raise ValueError("no common markers")
     return chosen
@@ -62,7 +62,8 @@ def run(probes: DataFrame, cfg: CohortConfig | None = None, bad: DataFrame | Non
     with timer.span("load_samples"):
         probes = stage(spark, probes.select("sample_idx", "snp_id", "red", "grn"), "probes")
     with timer.span("common_ids"):
-        chosen = _chosen(spark, probes, cfg, bad) if chosen is None else chosen
+        if chosen is None:
+            chosen = _chosen(spark, probes, cfg, bad, probes.select("sample_idx").distinct().count())
     with timer.span("compute_r_min"):
         r_min = cfg.r_min or int(thresholds.cohort_floor(probes, cfg.rmin_formula).first()[0])
     with timer.span("chunk_cluster_em_bic"):
@@ -81,8 +82,8 @@ def preflight_floor(spark: SparkSession, root: str, first: int = 0, formula: str
     return int(thresholds.cohort_floor(idat.read_probes(spark, root, first), formula).first()[0])
 
 
-def decoded_cells(spark: SparkSession, root: str, cfg: CohortConfig, bad: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Cells (sample_idx, snp_id, red, grn) below ``root``, the samples' names, and the chosen markers if they are known already.
+def decoded_cells(spark: SparkSession, root: str, cfg: CohortConfig, bad: DataFrame | None, samples: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Cells (sample_idx, snp_id, red, grn) of the ``samples`` below ``root``, their names, and the chosen markers if these are known already.
 
     A run that wants some markers only reads ids first; the second reading leaves the other markers out where they are
     decoded, so their cells are never written or shuffled.  (A learned floor needs all cells, so then they are read once.)
@@ -92,7 +93,7 @@ def decoded_cells(spark: SparkSession, root: str, cfg: CohortConfig, bad: DataFr
     if not few or not cfg.r_min or scheme(root) not in SCHEMES:
         probes = stage(spark, every, "decoded")
         return probes.drop("sample"), probes.select("sample_idx", "sample").distinct(), None
-    chosen = _chosen(spark, every, cfg, bad)
+    chosen = _chosen(spark, every, cfg, bad, samples)
     place = idat_source.write_bloom(chosen, shared(spark, "chosen_markers"))
     cells = stage(spark, idat.read_probes(spark, root, cfg.first, place), "decoded")
     return cells.drop("sample"), cells.select("sample_idx", "sample").distinct(), chosen
@@ -101,10 +102,10 @@ def decoded_cells(spark: SparkSession, root: str, cfg: CohortConfig, bad: DataFr
 def run_from_files(spark: SparkSession, root: str, out_dir: str, cfg: CohortConfig | None = None, feedback_in: str | None = None, feedback_out: str | None = None, bad_in: str | None = None, bad_out: str | None = None) -> Run | None:
     """The command line's run: files below ``root``, results below ``out_dir``.  None if there is no pair of files."""
     cfg = cfg or CohortConfig()
-    if idat.find_pairs(spark, root, cfg.first).isEmpty():
+    if not (samples := idat.find_pairs(spark, root, cfg.first).count()):
         return None
     bad = state.read_bad(spark, bad_in) if bad_in else None
-    probes, names, chosen = decoded_cells(spark, root, cfg, bad)
+    probes, names, chosen = decoded_cells(spark, root, cfg, bad, samples)
     done = run(probes, cfg, bad, chosen)
     with done.timer.span("write_calls_header"):
         done.calls.join(names, "sample_idx").write.mode("overwrite").parquet(f"{out_dir}/calls")

@@ -239,7 +239,7 @@ def test_chosen_markers_are_left_out_where_they_are_decoded(spark, array_root, t
         plain = cohort.run(idat.read_probes(spark, array_root).drop("sample"), cfg, bad)
         pick = lambda r: sorted(map(tuple, r.calls.select("snp_id", "sample_idx", "call").collect()))
         assert pick(done) == pick(plain) and len({r[0] for r in pick(done)}) == next(iter(limit.values()))
-        cells, names, chosen = cohort.decoded_cells(spark, array_root, cfg, bad)
+        cells, names, chosen = cohort.decoded_cells(spark, array_root, cfg, bad, 6)
         assert cells.count() == 6 * chosen.count() and names.count() == 6  # no false positive among so few
 
 
@@ -620,7 +620,8 @@ def test_intersection_by_bitmaps(spark, samples):
     assert sorted(r[0] for r in snps.common_snps(df).collect()) == [0, 1, 2, 4]  # cells twice count once
     with pytest.raises(Exception, match="marker twice"):
         snps.common_snps(df, once=True).collect()
-    assert sorted(r[0] for r in snps.common_snps(df.distinct(), once=True).collect()) == [0, 1, 2, 4]
+    for known in (None, len(samples)):
+        assert sorted(r[0] for r in snps.common_snps(df.distinct(), once=True, samples=known).collect()) == [0, 1, 2, 4]
     with pytest.raises(Exception, match="marker twice"):
         mixture.markers(df, snps.common_snps(df), CFG).collect()
     assert snps.common_snps(df.limit(0), once=True).collect() == []

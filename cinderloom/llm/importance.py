@@ -11,7 +11,8 @@ Gumbel number that the seeded digest of the id gives, so the highest scores are
 
 Defined results: null or empty text has no words, no features and weight 0.  A null doc_id is hashed as the empty string; it
 comes last among equal scores, and rows that tie in score and id are drawn in file order.  Runs of non-ASCII characters are words.
-Texts of any length are taken whole.  An empty corpus gives an empty result, an empty target smoothed shares only.
+Texts of any length are taken whole; one takes some
+100 times its size.  An empty corpus gives an empty result, an empty target smoothed shares only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import body, bounded_batches, chunks, documents, shared_dir, utf8
+from .common import body, bounded_batches, chunks, documents, shared_dir, unused, utf8
 
 #: Buckets of hashed features, words of the longest one, and the seed.
 BUCKETS, NGRAM, SEED = 10_000, 3, 42
@@ -143,12 +144,16 @@ def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
     return rows.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
+#: Columns that a result has of its own; kept columns of these names are left out.
+OWN = ("n_words", "n_features", "weight")
+
+
 def weighed(docs: DataFrame, gain: DataFrame, *keep: str) -> DataFrame:
     """``keep``, n_words, n_features and weight of each document; ``gain`` has ``BUCKETS`` rows, which all tasks get."""
     table = np.zeros(BUCKETS, np.int64)
     for bucket, value in gain.collect():
         table[bucket] = value
-    names = list(dict.fromkeys(keep))
+    names = [c for c in dict.fromkeys(keep) if c.lower() not in OWN]
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +169,7 @@ def weighed(docs: DataFrame, gain: DataFrame, *keep: str) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     schema = ", ".join([x for x in (own,) if x] + ["n_words long, n_features long, weight long"])
-    return docs.select(*names, body().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), body().alias("__text")).mapInArrow(run, schema)
 
 
 def score(doc_id: Column, weight: Column, seed: int = SEED) -> Column:
@@ -179,26 +184,28 @@ def drawn(scored: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT)
 
     Rows are dealt by ranges of their order and numbered within each; one task adds up the sizes of the ranges only.
     """
-    spark = scored.sparkSession
+    spark, columns = scored.sparkSession, [F.col(f"`{c}`") for c in scored.columns]
+    own = unused(scored.columns)
+    at, place, row, n, before, most = (own + x for x in ("at", "range", "row", "n", "before", "most"))
     path = shared_dir(spark, "importance_scores")
     scored.write.parquet(path)
     rows = spark.read.parquet(path)
     enough = F.col("n_words") >= min_words
-    order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("__at")]
-    placed = rows.where(enough).withColumn("__at", F.struct("_metadata.file_name", "_metadata.row_index"))
+    order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc(at)]
+    placed = rows.where(enough).withColumn(at, F.struct("_metadata.file_name", "_metadata.row_index"))
     ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     # Within a task of sorted rows this id counts up from 2**33 times the task's number.
-    ranged = ranged.select(*scored.columns, F.shiftright(F.monotonically_increasing_id(), 33).alias("__range"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"))
+    ranged = ranged.select(*columns, F.shiftright(F.monotonically_increasing_id(), 33).alias(place), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias(row))
     path = shared_dir(spark, "importance_order")
     ranged.write.parquet(path)
     ranged = spark.read.parquet(path)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    earlier = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__range", F.coalesce(earlier, F.lit(0)).alias("__before"), F.floor(F.sum("__n").over(Window.partitionBy()) * percent / 100).alias("__most"))
-    rank = F.col("__before") + F.col("__row") + 1
-    ranged = ranged.join(F.broadcast(starts), "__range")  # as many rows as a shuffle has partitions
-    ranged = ranged.select(*scored.columns, F.when(rank <= F.col("__most"), rank).alias("rank"))
-    return ranged.union(rows.where(~enough).select(*scored.columns, F.lit(None).cast("long")))
+    sizes = ranged.groupBy(place).agg(F.count("*").alias(n))
+    earlier = F.sum(n).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(place, F.coalesce(earlier, F.lit(0)).alias(before), F.floor(F.sum(n).over(Window.partitionBy()) * percent / 100).alias(most))
+    rank = F.col(before) + F.col(row) + 1
+    ranged = ranged.join(F.broadcast(starts), place)  # as many rows as a shuffle has partitions
+    ranged = ranged.select(*columns, F.when(rank <= F.col(most), rank).alias("rank"))
+    return ranged.union(rows.where(~enough).select(*columns, F.lit(None).cast("long")))
 
 
 def resampled(docs: DataFrame, target: DataFrame) -> DataFrame:

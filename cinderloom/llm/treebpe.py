@@ -236,7 +236,7 @@ def reduced(nodes: DataFrame, join: Callable[[dict, dict], dict], name: str) ->
 
 
 def _rest(columns: list[str]) -> Column:
-    return F.struct(*(columns or [F.lit(None).cast("int").alias("none")]))
+    return F.struct(*([F.col(f"`{c}`") for c in columns] or [F.lit(None).cast("int").alias("none")]))
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -292,18 +292,18 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str, packed: bool =
         return coder(path, pattern).joined(a, b)
 
     size = F.octet_length(body())
-    short = docs.where(size <= block).select(*kept, body().alias("__text")).mapInArrow(run, schema)
+    short = docs.where(size <= block).select(*(F.col(f"`{c}`") for c in kept), body().alias("__text")).mapInArrow(run, schema)
     long = docs.where(size > block).select(F.monotonically_increasing_id().alias("row"), _rest(kept).alias("rest"), body().alias("__text"))
     rest = T.StructType([T.StructField("row", T.LongType()), T.StructField("node", T.IntegerType()), T.StructField("rest", long.schema["rest"].dataType), T.StructField("left", T.BooleanType()), T.StructField("right", T.BooleanType())])
     cut_up = long.mapInArrow(blocks, T.StructType([*rest, T.StructField("raw", T.BinaryType())]))
     values = [T.StructField("head", T.LongType()), T.StructField("tail", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     nodes = cut_up.repartition("row", "node").mapInArrow(leaves, T.StructType([*rest, *values]))
-    whole = reduced(nodes, join, "tree_ids").select(*(F.col(f"rest.{c}").alias(c) for c in kept), "ids")
+    whole = reduced(nodes, join, "tree_ids").select(*(F.col(f"rest.`{c}`").alias(c) for c in kept), "ids")
     if check:
         whole = decode(whole, path, pattern, *kept, "ids")
     if packed:
         whole = whole.withColumn("ids", packed_ids("ids"))
-    return short.union(whole.select(*names))
+    return short.union(whole.select(*(F.col(f"`{c}`") for c in names)))
 
 
 def packed_ids(ids: str) -> Column:
@@ -329,14 +329,14 @@ def decode(encoded: DataFrame, path: str, pattern: str, *keep: str, block: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], c.decoded(lists.values.to_numpy(), at)], [f.name for f in schema])
 
     ids, n = F.coalesce("ids", F.array().cast("array<int>")), F.coalesce(F.size("ids"), F.lit(0))
-    short = encoded.where(n <= block).select(*kept, ids.alias("__ids")).mapInArrow(run, schema)
+    short = encoded.where(n <= block).select(*(F.col(f"`{c}`") for c in kept), ids.alias("__ids")).mapInArrow(run, schema)
     long = encoded.where(n > block).select(F.monotonically_increasing_id().alias("row"), _rest(kept).alias("rest"), ids.alias("ids"))
     parts = long.select("row", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / block).cast("int")), lambda k: F.slice("ids", k * block + 1, F.lit(block)))).alias("node", "__ids"), "rest")
     parts = parts.select("row", "node", F.when(F.col("node") == 0, F.col("rest")).alias("rest"), "__ids").repartition("row", "node")
     kept, own = ["row", "node", "rest"], schema
     schema = T.StructType([*(parts.schema[c] for c in kept), T.StructField("decoded", T.BinaryType())])
     whole = reduced(parts.mapInArrow(run, schema), lambda a, b: {"decoded": a["decoded"] + b["decoded"]}, "tree_bytes")
-    return short.union(whole.select(*(F.col(f"rest.{f.name}").alias(f.name) for f in own if f.name != "decoded"), "decoded"))
+    return short.union(whole.select(*(F.col(f"rest.`{f.name}`").alias(f.name) for f in own if f.name != "decoded"), "decoded"))
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,18 @@ def test_resampling_equals_plain_python(spark, awkward, awkward_rows, clashing,
         assert Counter(tuple(r) for r in rows.select("doc_id", "n_features", "weight", "score", "rank").collect()) == wanted
 
 
+def test_awkward_names_of_kept_columns(spark, awkward):
+    docs = awkward.withColumns({"a b": F.lit(1), "__at": F.lit(2), "Weight": F.lit(3), "__row": F.lit(4)})
+    gain = spark.range(10_000).select(F.col("id").alias("bucket"), F.lit(1).cast("long").alias("gain"))
+    rows = importance.weighed(docs, gain, "doc_id", "a b", "__at", "Weight", "__row")
+    assert rows.columns == ["doc_id", "a b", "__at", "__row", "n_words", "n_features", "weight"]
+    ranked = importance.drawn(rows.withColumn("score", F.col("weight")), percent=50)
+    assert {(r["a b"], r["__at"], r["__row"]) for r in ranked.collect()} == {(1, 2, 4)} and ranked.where("rank = 1").count() == 1
+    for block in (treebpe.BLOCK, 100):
+        got = treebpe.encode(docs, treebpe.ranks_path(), treebpe.split_pattern(), "a b", "__row", "ids", check=True, block=block)
+        assert got.columns == ["a b", "__row", "ids", "decoded"] and {(r["a b"], r["__row"]) for r in got.collect()} == {(1, 4)}
+
+
 def test_resampling_of_nothing(spark, empty):
     assert importance.resampled(empty, empty).collect() == []
 

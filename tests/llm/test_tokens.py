@@ -191,3 +191,14 @@ def test_remembered_words_are_bounded_by_their_length(monkeypatch):
         coder.encode(["ab" * 40 + " cd ef " + "".join(chr(97 + (k * 7 + i) % 26) for i in range(200))])
         assert coder.used[1] <= 2000
     assert seen.count(" cd") == 1 and seen.count("ab" * 40) > 1  # a word of 80 signs isn't kept
+
+
+def test_op6_joins_its_files_without_a_broadcast_too(spark, landed, monkeypatch):
+    want = sorted(map(str, tokenfile.op6_token_files(spark, landed["awkward"]).collect()))
+    monkeypatch.setattr(tokenfile, "BROADCAST_FILES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = tokenfile.op6_token_files(spark, landed["awkward"])
+        assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString() and sorted(map(str, rows.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

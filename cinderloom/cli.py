@@ -38,7 +38,7 @@ def parse(argv: list[str] | None = None) -> tuple[argparse.Namespace, CohortConf
 def main(argv: list[str] | None = None) -> int:
     a, cfg = parse(argv)
     done = run_from_files(SparkSession.builder.getOrCreate(), a.root, a.out_dir, cfg, a.feedback_in, a.feedback_out, a.bad_snps_in, a.bad_snps_out)
-    print("no pairs of channel files" if done is None else f"{a.out_dir}/calls\n{a.out_dir}/cohort_qc_summary")
+    print("no pairs of channel files" if done is None else f"{a.out_dir}/calls\n{a.out_dir}/cohort_calls\n{a.out_dir}/cohort_qc_summary")
     if done is not None:
         print(*done.timer.lines(), sep="\n", file=sys.stderr)
     return 0

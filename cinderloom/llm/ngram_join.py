@@ -8,9 +8,10 @@ further, and the others are split again; what is still large after the last leve
 whole.  Runs are repeated until a pair at the threshold is met with probability ``RECALL``.
 
 That gives groups of candidates.  Within a group links are exact, on whole 5-gram sets.  A small group is compared in one
-task.  In a large one every set becomes its difference from a centre, and its distance from there decides most pairs
-(Jaccard distance is a metric): bins of sets that surely link are only counted, bins that surely don't are left alone,
-and blocks of sets are compared for the rest, so that no task holds a large group and no pairs are written.  Each set gets
+task.  In a large one every set becomes its difference from a centre, the n-grams that most sets of a block of it have,
+and its distance from there decides most pairs (Jaccard distance is a metric, and the centre need be no set of the group): bins of sets
+that surely link are only counted, bins that surely don't are left alone, and blocks of sets are compared for the rest, so that no task holds a
+large group and no pairs are written.  Each set gets
 its exact number of links, and the links' components are the near-duplicate classes.
 
 Defined results: a text of 1 to 4 words is one n-gram; a null text, as one without words, links to nothing and is a class by
@@ -305,6 +306,16 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
             label = _labels(len(name), np.argwhere(np.triu(link)))
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name[label]), pa.array(link.sum(1))], ["set", "label", "n_links"])
 
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams that more than half of a group's sets in one part have; the root's set if there are none."""
+        for group in _groups(batches):
+            name, root, sets = group["set"].to_numpy(), group["root"][0].as_py(), _unpacked(group["grams"])
+            gram, n = np.unique(np.concatenate(sets), return_counts=True)
+            centre = gram[2 * n > len(sets)]
+            if not len(centre):
+                centre = sets[int(np.flatnonzero(name == root)[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([root]), pa.array([root]), pa.array([centre.tobytes()], pa.binary())], ["root", "set", "grams"])
+
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set of a part as its difference from the group's centre, which comes first."""
         for group in _groups(batches, 2):
@@ -339,9 +350,9 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
         return centre, name, size, gone, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block against others: the links of its sets, and which labels they connect (a set near the centre has its label)."""
+        """A block against others: the links of its sets, and which labels they connect (sets that link to the innermost ones have their label)."""
         for group in _groups(batches, 3):
-            root, block, joins = group["root"][0].as_py(), group["mine"][0].as_py(), []
+            inner, low, block, joins = group["inner"][0].as_py(), group["low"][0].as_py(), group["mine"][0].as_py(), []
             for batch in group.to_batches():
                 for other, raw in zip(batch["other"].to_pylist(), batch["sets"].to_pylist(), strict=True):
                     if other < 0:  # the block itself comes first
@@ -355,10 +366,10 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
                     if other == block:
                         np.fill_diagonal(link, False)
                     total += link.sum(1)
-                    close = [b >> 32 < CLOSE for b in (block, other)]
+                    close = [(b >> 32) + low < CLOSE for b in (block, other)]
                     if not all(close):
                         i, j = np.nonzero(link)
-                        ends = [np.full(len(x), root) if near else x for x, near in zip((name[i], names[j]), close, strict=True)]
+                        ends = [np.full(len(x), inner) if near else x for x, near in zip((name[i], names[j]), close, strict=True)]
                         joins.append(np.unique(np.stack(ends, 1), axis=0))
             edge = np.concatenate(joins) if joins else np.zeros((0, 2), np.int64)
             node, place = np.unique(edge, return_inverse=True)
@@ -385,12 +396,17 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
         return out
     many = sets.where("part >= 0").select("root", "part", "set", "grams", F.lit(1).alias("turn"))
     parts = placed.where("part >= 0").select("root", "part").distinct()
-    centres = many.where("set = root").select("root", "set", "grams").join(parts, "root").select("root", "part", "set", "grams", F.lit(0).alias("turn"))
+    block_of_each = many.where("part = 0 or set = root").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set")
+    centres = stage(spark, block_of_each.mapInArrow(agreed, "root long, set long, grams binary"), "join_centres")
+    staged.append(centres)
+    centres = centres.join(parts, "root").select("root", "part", "set", "grams", F.lit(0).alias("turn"))
     turns = centres.union(many.select(*centres.columns)).repartition("root", "part").sortWithinPartitions("root", "part", "turn", "set")
     diffs = stage(spark, turns.mapInArrow(centred, "root long, set long, size long, gone long, centre long, bin long, diff binary"), "join_diffs")
     # Distances by a hundredth of 1.  As Jaccard distance is a metric, two sets link for sure if their distances from the
     # centre add up to 0.2 at most, and don't if they differ by more: only blocks of other pairs of bins are compared.
-    bins = stage(spark, diffs.groupBy("root", "bin").agg(F.count("*").alias("n")), "join_bins")
+    bins = stage(spark, diffs.groupBy("root", "bin").agg(F.count("*").alias("n"), F.min("set").alias("least")), "join_bins")
+    # A set links for sure to all sets of the innermost bin if their distances say so; then it has their label, the least of these sets.
+    inner = bins.groupBy("root").agg(F.min("bin").alias("low"), F.min_by("least", "bin").alias("inner"))
     mine, other = bins.select("root", F.col("bin").alias("a"), F.col("n").alias("n_a")), bins.select("root", F.col("bin").alias("b"), F.col("n").alias("n_b"))
     pairs = mine.join(other, "root")  # of at most 101 bins
     sure = pairs.where(F.col("a") + F.col("b") < CLOSE).groupBy("root", F.col("a").alias("bin")).agg(F.sum("n_b").alias("sure"))
@@ -402,16 +418,17 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     names = blocks.select("root", F.col("block").alias("mine"), F.shiftright("block", 32).alias("a"))
     stride = F.shiftleft("b", 32) + F.floor(F.expr("other & 4294967295") / STRIDE)
     others = blocks.select("root", F.col("block").alias("other"), F.shiftright("block", 32).alias("b"), "sets")
-    columns = ["root", "mine", "stride", "other", "sets"]
-    targets = doubtful.select("root", "a", "b").join(names, ["root", "a"]).select("root", "b", "mine")
+    columns = ["root", "mine", "stride", "other", "sets", "low", "inner"]
+    targets = doubtful.select("root", "a", "b").join(names, ["root", "a"]).join(inner, "root").select("root", "b", "mine", "low", "inner")
     met = others.join(targets, ["root", "b"]).withColumn("stride", stride).select(*columns)
-    strides = others.drop("sets").join(targets, ["root", "b"]).select("root", "mine", stride.alias("stride")).distinct()
+    strides = others.drop("sets").join(targets, ["root", "b"]).select("root", "mine", stride.alias("stride"), "low", "inner").distinct()
     own = blocks.select("root", F.col("block").alias("mine"), "sets").join(strides, ["root", "mine"]).withColumn("other", F.lit(-1).cast("long")).select(*columns)
     met = met.union(own).repartition("root", "mine", "stride").sortWithinPartitions("root", "mine", "stride", "other")
     found = stage(spark, met.mapInArrow(across, result), "join_links")
     roots = components(spark, found.where("n_links is null").select(F.col("set").alias("a"), F.col("label").alias("b")))
     counts = found.where("n_links is not null").groupBy("set").agg(F.sum("n_links").alias("counted"))
-    every = diffs.select("set", F.when(F.col("bin") < CLOSE, F.col("root")).otherwise(F.col("set")).alias("label"), "root", "bin").join(sure, ["root", "bin"], "left").join(counts, "set", "left")
+    label = F.when(F.col("bin") + F.col("low") < CLOSE, F.col("inner")).otherwise(F.col("set")).alias("label")
+    every = diffs.join(inner, "root").select("set", label, "root", "bin").join(sure, ["root", "bin"], "left").join(counts, "set", "left")
     itself = F.when(2 * F.col("bin") < CLOSE, 1).otherwise(0)
     every = every.select("set", "label", (F.coalesce("sure", F.lit(0)) - itself + F.coalesce("counted", F.lit(0))).alias("n_links"))
     every = every.join(roots.withColumnRenamed("root", "lowest"), F.col("label") == F.col("node"), "left").select("set", F.coalesce("lowest", "label").alias("label"), "n_links")
@@ -434,7 +451,7 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, *keep: str) -> DataFrame:
-    """The rows of ``near_classes`` with the class itself in ``LABEL``: its smallest set hash, null without words."""
+    """The rows of ``near_classes`` with the class itself in ``LABEL``: the hash of one of its sets, null without words."""
     spark = docs.sparkSession
     kept = [c for c in dict.fromkeys(keep) if c.lower() not in OWN]
     names = ["doc_id", *(f"__kept{k}" for k in range(len(kept)))]  # under names that nothing here has

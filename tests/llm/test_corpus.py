@@ -272,6 +272,27 @@ def test_large_group_of_near_and_far_sets(spark, monkeypatch):
     assert len({w[4] for w in want}) > 20
 
 
+@pytest.mark.parametrize("kind", ["template", "two families", "scattered"])
+def test_centres_that_are_no_set_of_the_group(spark, monkeypatch, kind):
+    """A template that no text shows plain, two families about equally large, and sets that are all far from what most agree on."""
+    for name, value in (("GROUP", 8), ("BLOCK", 7), ("STRIDE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(kind)
+    base = [f"w{k}" for k in range(200)]
+    other = [f"v{k}" if k % 37 == 5 else w for k, w in enumerate(base)]
+    texts = []
+    for k in range(90):
+        words = list(other if kind == "two families" and k % 2 else base)
+        slots = range(10, 200, 60) if kind == "template" else rnd.sample(range(200), rnd.randrange(4) if kind == "two families" else rnd.randrange(3, 7))
+        for at in slots:
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    got = ngram_join.near_classes(frame(spark, texts)).collect()
+    want = near(list(enumerate(texts)))
+    assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == want
+    assert kind != "template" or {w[4] for w in want} == {89}
+
+
 def test_join_equals_sql_on_ten_thousand_documents(spark):
     """Every link of all 10,000 documents is found: recall 1 against all pairs that share a 5-gram."""
     sf = "/root/testdata/sf0.1"

@@ -8,7 +8,7 @@ further, and the others are split again; what is still large after the last leve
 whole.  Runs are repeated until a pair at the threshold is met with probability ``RECALL``.
 
 That gives groups of candidates.  Within a group links are exact, on whole 5-gram sets.  A small group is compared in one
-task.  In a large one every set becomes its difference from a centre, the n-grams that most sets of a block of it have,
+task.  In a large one every set becomes its difference from a centre, what most sets of a block of it are near to,
 and its distance from there decides most pairs (Jaccard distance is a metric, and the centre need be no set of the group): bins of sets
 that surely link are only counted, bins that surely don't are left alone, and blocks of sets are compared for the rest, so that no task holds a
 large group and no pairs are written.  Each set gets
@@ -48,6 +48,8 @@ NEAR, REACH, SAME = 0.6, 0.5, 0.95
 GROUP, BLOCK, STRIDE = 256, 192, 64
 #: Two sets whose distances from a centre, in hundredths rounded down, add up to less than this are within 0.2 of each other.
 CLOSE = 19
+#: Sets of a block that are tried as a large group's centre.
+CENTRES = 16
 CHUNK_BYTES = 1 << 20
 COLUMNS = 1 << 14
 #: Where a row of a file stands.
@@ -307,14 +309,17 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name[label]), pa.array(link.sum(1))], ["set", "label", "n_links"])
 
     def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams that more than half of a group's sets in one part have; the root's set if there are none."""
+        """A group's centre: of the n-grams that most sets of a block have and some sets of it, what most of its sets are near to."""
         for group in _groups(batches):
             name, root, sets = group["set"].to_numpy(), group["root"][0].as_py(), _unpacked(group["grams"])
             gram, n = np.unique(np.concatenate(sets), return_counts=True)
-            centre = gram[2 * n > len(sets)]
-            if not len(centre):
-                centre = sets[int(np.flatnonzero(name == root)[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([root]), pa.array([root]), pa.array([centre.tobytes()], pa.binary())], ["root", "set", "grams"])
+            some = {int(np.flatnonzero(name == root)[0]), *range(0, len(sets), 1 + len(sets) // CENTRES)}
+            tried = [c for c in (gram[2 * n > len(sets)], *(sets[i] for i in sorted(some))) if len(c)]
+            common, size = _common(sets, tried), [np.array([len(x) for x in y]) for y in (sets, tried)]
+            far = 1 - common / (size[0][:, None] + size[1] - common)
+            near = (far < CLOSE / 200).sum(0)
+            best = np.lexsort((far.sum(0), -near))[0]
+            yield pa.RecordBatch.from_arrays([pa.array([root]), pa.array([root]), pa.array([tried[best].tobytes()], pa.binary())], ["root", "set", "grams"])
 
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set of a part as its difference from the group's centre, which comes first."""

@@ -49,6 +49,8 @@ GROUP, BLOCK, STRIDE = 256, 192, 64
 CLOSE = 19
 CHUNK_BYTES = 1 << 20
 COLUMNS = 1 << 14
+#: 64-bit words of the filter by which texts are left out before they are shuffled: 4 MB at most, whatever the input is.
+MASKS = 1 << 18
 #: Where a row of a file stands.
 PLACE = "struct(_metadata.file_path as file, _metadata.row_index as row)"
 LABEL = "__label"
@@ -160,6 +162,28 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _once(group: pa.Table, *by: str) -> pa.Table:
+    """A sorted group without rows that equal the one before in the columns ``by``: repeated rows of a text."""
+    new = np.ones(group.num_rows, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in (group[b].to_numpy() for b in by)], axis=0)
+    return group if new.all() else group.filter(pa.array(new))
+
+
+def maybe_wanted(rows: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``by`` are in no row of ``wanted``; none that is there is lost.
+
+    A bit is set for each of ``wanted``, in ``MASKS`` words that are broadcast.  The more bits are set, the more other rows
+    stay: an exact join has to follow.
+    """
+    own = unused([*rows.columns, *wanted.columns])
+    word, bit, bits = own + "word", own + "bit", own + "bits"
+    key = F.xxhash64(*by)
+    placed = [key.bitwiseAND(F.lit(MASKS - 1)).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58).cast("int")).alias(bit)]
+    masks = wanted.select(*placed).groupBy(word).agg(F.bit_or(bit).alias(bits))
+    met = rows.select("*", *placed).join(F.broadcast(masks), word)  # MASKS rows at most
+    return met.where(F.col(bits).bitwiseAND(F.col(bit)) != 0).select(*rows.columns)
+
+
 def _labels(n: int, pairs: np.ndarray) -> np.ndarray:
     """For each of n items the smallest item that the pairs connect it with."""
     root = np.arange(n)
@@ -222,6 +246,9 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
         met = stage(spark, rows.join(sizes, "node"), "join_nodes")
         discard(rows, sizes)
         staged.append(met)
+        if level == 1:  # Only sets that met another one are looked up later, with their vectors.  The same plan at every size.
+            sets = stage(spark, sets.join(met.select("set").distinct().hint("merge"), "set", "left_semi"), "join_vectors")
+            staged.append(sets)
         few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
         # Nodes with the same sets are compared once.
         once = few.groupBy("node", "n").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("all"), F.min("set").alias("low")).groupBy("all", "n", "low").agg(F.min("node").alias("node"))
@@ -287,18 +314,24 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows mostly come to one task
         for batch in batches:
             raw, offsets = utf8(batch.column(3))
             for i, j in chunks(offsets, CHUNK_BYTES):
                 hashes, at = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 key = stretch(prefix(hashes, ITEMS), at[:-1], at[1:], ITEMS).view(np.int64)
                 part = batch.slice(i, j - i)
-                right = np.flatnonzero((key == part.column(0).to_numpy()) & (at[1:] > at[:-1]))
-                grams = pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in right.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(right)) for c in (0, 1, 2)), grams], ["set", "root", "part", "grams"])
+                right = []
+                for k in np.flatnonzero((key == part.column(0).to_numpy()) & (at[1:] > at[:-1])).tolist():
+                    if (name := int(key[k])) not in seen:
+                        seen.add(name)
+                        right.append(k)
+                grams = pa.array([hashes[at[k] : at[k + 1]].tobytes() for k in right], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(right, pa.int64())) for c in (0, 1, 2)), grams], ["set", "root", "part", "grams"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
+            group = _once(group, "set")
             name, sets = group["set"].to_numpy(), _unpacked(group["grams"])
             link = _linked(sets, sets)
             np.fill_diagonal(link, False)
@@ -308,6 +341,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each set of a part as its difference from the group's centre, which comes first."""
         for group in _groups(batches, 2):
+            group = _once(group, "turn", "set")
             name, (centre, *sets) = group["set"].to_numpy()[1:], _unpacked(group["grams"])
             size = np.array([len(x) for x in sets], np.int64)
             diff = [np.setxor1d(centre, x, assume_unique=True) for x in sets]
@@ -373,10 +407,10 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     part = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("set"), parts)).otherwise(-1).cast("int")
     placed = stage(spark, wanted.join(sizes, "root").select("set", "name.id", "name.mark", "root", part.alias("part")), "join_groups")
     text = docs.select(_name().alias("name"), body().alias("text")).select("name.id", "name.mark", "text")
+    text = maybe_wanted(text, placed, "id", "mark")
     # The same plan at every size: no broadcast where the groups happen to be few.
     sets = text.join(placed.hint("merge"), ["id", "mark"]).select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
-    staged = [placed, raw_sets := stage(spark, sets, "join_sets")]
-    sets = raw_sets.dropDuplicates(["set"])
+    staged = [placed, sets := stage(spark, sets, "join_sets")]  # a repeated row's set may stand here more than once
     result = "set long, label long, n_links long"
     few = sets.where("part < 0").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set").mapInArrow(whole, result)
     if placed.where("part >= 0").isEmpty():

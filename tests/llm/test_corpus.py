@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,3 +468,59 @@ def test_reruns_of_the_mix_take_the_same_of_rows_that_differ_elsewhere(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     runs = [sorted(map(tuple, mixing.mix(docs.repartition(n), "doc_id", "lang").select("doc_id", "lang", "taken").collect())) for n in (1, 5, 7)]
     assert runs[0] == runs[1] == runs[2] and len({t for *_, t in runs[0]}) > 1
+
+
+def _shuffled(spark, run):
+    """What ``run`` returns, and the bytes that its stages wrote to shuffles."""
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        gateway, found = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+        rows = found.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return [rows.apply(k) for k in range(rows.size())]
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    out = run()
+    return out, sum(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+
+
+def test_texts_that_meet_no_other_are_not_shuffled(spark, tmp_path):
+    """Neither their texts nor their signatures: the join shuffles less than half of what its texts have."""
+    rnd = random.Random(31)
+    texts = [" ".join(f"{rnd.getrandbits(40):x}" for _ in range(250)) for _ in range(2000)]
+    texts += [t + " more" for t in texts[:20]]
+    frame(spark, texts).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows, written = _shuffled(spark, ngram_join.near_classes(docs).collect)
+    assert len(rows) == 2020 and {r.doc_id: r.class_id for r in rows} == {k: k % 2000 for k in range(2020)}
+    assert {r.doc_id for r in rows if r.n_links == 1} == {*range(20), *range(2000, 2020)} and sum(r.n_links for r in rows) == 40
+    assert written < sum(map(len, texts)) / 2
+
+
+@pytest.mark.parametrize("masks", [1, 1 << 18])
+def test_repeated_rows_in_small_and_large_groups(spark, monkeypatch, masks):
+    """Rows with one id and one text stand for one set, also where the filter of texts lets all pass."""
+    for name, value in (("GROUP", 8), ("BLOCK", 5), ("STRIDE", 2), ("MASKS", masks)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(32)
+    bases = [prose(rnd, 120) for _ in range(3)]
+    rows = [(k, edited(rnd, bases[0], rnd.randrange(1, 6))) for k in range(30)] + [(None, bases[0])] * 40
+    rows += [(40, bases[1])] * 30 + [(41, edited(rnd, bases[1], 1))] * 2 + [(None, bases[2])] * 20 + [(k, prose(rnd, 50)) for k in range(50, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.near_classes(docs).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "class_id", "rep_id", "n_copies", "n_links")) for r in got), key=str) == near(rows)
+
+
+def test_sorted_groups_lose_their_repeated_rows():
+    group = pa.table({"turn": [0, 0, 1, 1, 1, 1], "set": [5, 5, 2, 5, 5, 7], "grams": list("aabaac")})
+    assert ngram_join._once(group, "turn", "set").to_pydict() == {"turn": [0, 1, 1, 1], "set": [5, 2, 5, 7], "grams": list("abac")}
+    assert ngram_join._once(group, "grams").num_rows == 4 and ngram_join._once(group.slice(0, 0), "set").num_rows == 0
+
+
+def test_filter_of_texts_keeps_all_that_are_wanted(spark):
+    rows = spark.range(40_000).select(F.col("id"), (7 * F.col("id")).alias("mark"), F.lit(1).alias("word"))
+    wanted = rows.where("id % 40 = 0").select("mark", "id")
+    got = {r.id for r in ngram_join.maybe_wanted(rows, wanted, "id", "mark").collect()}
+    assert {*range(0, 40_000, 40)} <= got and len(got) < 1100
+    assert ngram_join.maybe_wanted(rows, wanted, "id", "mark").columns == rows.columns
+    assert ngram_join.maybe_wanted(rows, wanted.limit(0), "id", "mark").count() == 0

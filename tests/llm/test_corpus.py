@@ -491,7 +491,7 @@ def test_texts_that_meet_no_other_are_not_shuffled(spark, tmp_path):
     texts += [t + " more" for t in texts[:20]]
     frame(spark, texts).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    rows, written = _shuffled(spark, ngram_join.near_classes(docs).collect)
+    rows, written = _shuffled(spark, lambda: ngram_join.near_classes(docs).collect())
     assert len(rows) == 2020 and {r.doc_id: r.class_id for r in rows} == {k: k % 2000 for k in range(2020)}
     assert {r.doc_id for r in rows if r.n_links == 1} == {*range(20), *range(2000, 2020)} and sum(r.n_links for r in rows) == 40
     assert written < sum(map(len, texts)) / 2

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body, bounded_batches, chunks, discard, documents, ranges, stage, utf8
+from .common import body, bounded_batches, chunks, discard, documents, lean, ranges, stage, utf8
 from .pretoken import BatchEncoder, Vocabulary, cut
 
 #: Words in the lexicon: bounds what the driver gathers and sends (some 2 MB), whatever the corpus is.
@@ -182,7 +182,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield out()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(body().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(body().alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, size: int) -> list[tuple[str, int]]:
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, lexicon: Lexicon, path: str, check: bool = False) ->
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *[texts(ids, at, path)] * check], [f.name for f in schema])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 @lru_cache(2)
@@ -292,7 +292,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, texts(lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64), path)], [*kept, "decoded"])
 
     bounded_batches(encoded.sparkSession)
-    return encoded.select(*kept).mapInArrow(run, schema)
+    return encoded.select(*kept).mapInArrow(lean(run), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,25 @@ def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
         spark.conf.set(name, str(bound))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system: Arrow's pool, and the C library's heap (where it is glibc)."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker gives free memory back when a task ends: workers stay, for tasks of other operators."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     path = shared_dir(spark, name)
@@ -69,10 +90,12 @@ def frequent(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     return counts.where(F.col(n) * SHARES > total).select(key, F.ceil(F.col(n) * SHARES / F.lit(max(total, 1))).cast("int").alias("parts"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, often: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, often: DataFrame, by: list[str], how: str = "inner", merge: bool = False) -> DataFrame:
     """``left.join(right, key, how)``, where rows of ``left`` with a frequent key are dealt over many tasks.
 
     Each row gets a part by its columns ``by`` and its partition; ``right`` is copied to all parts of its key.
+    ``merge``: never broadcast ``right``.  A broadcast table of two keys takes a page of each executor's heap, however small
+    it is (by Spark's formula 16 MB of 1.8 GB), until the driver happens to collect it; that adds up where many such joins follow each other.
     """
     own = unused([*left.columns, *right.columns])
     parts, part = own + "parts", own + "part"
@@ -80,6 +103,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, often: DataFrame, b
     which = F.coalesce(F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.col(parts)), F.lit(0)).cast("int")
     dealt = left.join(often, key, "left").withColumn(part, which).drop(parts)
     copied = right.join(often, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    copied = copied.hint("merge") if merge else copied
     return dealt.join(copied, [key, part], how).drop(part)
 
 

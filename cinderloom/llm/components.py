@@ -20,10 +20,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Sums are written before they are joined, and hubs are dealt over many tasks.
         least = stage(spark, both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "large_least")
-        large = spread_join(both, least.select("a", "m"), "a", frequent(least, "a", "n", 2 * mark[0]), ["b"])
+        large = spread_join(both, least.select("a", "m"), "a", frequent(least, "a", "n", 2 * mark[0]), ["b"], merge=True)
         large = stage(spark, large.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large_star")
         lower = stage(spark, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "small_least")
-        small = spread_join(large, lower.select("a", "m"), "a", frequent(lower, "a", "n", mark[0]), ["b"])
+        small = spread_join(large, lower.select("a", "m"), "a", frequent(lower, "a", "n", mark[0]), ["b"], merge=True)
         small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, now = now, stage(spark, small.union(lower.select("a", F.col("m").alias("b"))).distinct(), "small_star")
         discard(old, large, least, lower)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, mix, prefix, ranges, shared_dir, stage, stretch, unused, utf8, words_of
+from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, lean, mix, prefix, ranges, shared_dir, stage, stretch, unused, utf8, words_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -140,7 +140,7 @@ def sketched(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part, pa.array(key, mask=at[1:] == at[:-1]), pa.array([v.tobytes() for v in vectors], pa.binary())], names)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(*kept, _name().alias("name"), body().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, _name().alias("name"), body().alias("__text")).mapInArrow(lean(run), schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
@@ -238,7 +238,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
 
     bounded_batches(spark)
     edges, staged = [], []
-    rows = sets.mapInArrow(begin, "node long, set long")
+    rows = sets.mapInArrow(lean(begin), "node long, set long")
     for level in range(1, LEVELS + 1):
         rows = stage(spark, rows, "join_rows")
         # Sums are written before they are joined: then both sides of the join are shuffles, and Spark can split a large node.
@@ -253,7 +253,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
         # Nodes with the same sets are compared once.
         once = few.groupBy("node", "n").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("all"), F.min("set").alias("low")).groupBy("all", "n", "low").agg(F.min("node").alias("node"))
         few = few.join(once.select("node"), "node", "left_semi").join(sets, "set").select("node", "set", "vector")
-        edges.append(few.repartition("node").sortWithinPartitions("node", "set").mapInArrow(brute, "a long, b long"))
+        edges.append(few.repartition("node").sortWithinPartitions("node", "set").mapInArrow(lean(brute), "a long, b long"))
         if level == LEVELS:
             edges.append(many.where("set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
             break
@@ -262,7 +262,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
         tops = many.select("top").distinct().join(sets, F.col("top") == F.col("set")).select("top", F.col("vector").alias("top_vector"))
         tops = stage(spark, tops, "join_tops")
         judged = many.select("node", "set", "top").join(sets, "set").join(tops, "top").select("node", "set", "top", "vector", "top_vector")
-        staged += [tops, judged := stage(spark, judged.mapInArrow(pivot, "set long, top long, near boolean, next array<long>"), "join_pivots")]
+        staged += [tops, judged := stage(spark, judged.mapInArrow(lean(pivot), "set long, top long, near boolean, next array<long>"), "join_pivots")]
         edges.append(judged.where("near and set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
         rows = judged.where("set != top").select(F.explode("next").alias("node"), "set")
     out = edges[0]
@@ -409,10 +409,10 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     text = docs.select(_name().alias("name"), body().alias("text")).select("name.id", "name.mark", "text")
     text = maybe_wanted(text, placed, "id", "mark")
     # The same plan at every size: no broadcast where the groups happen to be few.
-    sets = text.join(placed.hint("merge"), ["id", "mark"]).select("set", "root", "part", "text").mapInArrow(sets_of, "set long, root long, part int, grams binary")
+    sets = text.join(placed.hint("merge"), ["id", "mark"]).select("set", "root", "part", "text").mapInArrow(lean(sets_of), "set long, root long, part int, grams binary")
     staged = [placed, sets := stage(spark, sets, "join_sets")]  # a repeated row's set may stand here more than once
     result = "set long, label long, n_links long"
-    few = sets.where("part < 0").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set").mapInArrow(whole, result)
+    few = sets.where("part < 0").select("root", "set", "grams").repartition("root").sortWithinPartitions("root", "set").mapInArrow(lean(whole), result)
     if placed.where("part >= 0").isEmpty():
         out = stage(spark, few, "join_result")
         discard(*staged)
@@ -421,7 +421,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     parts = placed.where("part >= 0").select("root", "part").distinct()
     centres = many.where("set = root").select("root", "set", "grams").join(parts, "root").select("root", "part", "set", "grams", F.lit(0).alias("turn"))
     turns = centres.union(many.select(*centres.columns)).repartition("root", "part").sortWithinPartitions("root", "part", "turn", "set")
-    diffs = stage(spark, turns.mapInArrow(centred, "root long, set long, size long, gone long, centre long, bin long, diff binary"), "join_diffs")
+    diffs = stage(spark, turns.mapInArrow(lean(centred), "root long, set long, size long, gone long, centre long, bin long, diff binary"), "join_diffs")
     # Distances by a hundredth of 1.  As Jaccard distance is a metric, two sets link for sure if their distances from the
     # centre add up to 0.2 at most, and don't if they differ by more: only blocks of other pairs of bins are compared.
     bins = stage(spark, diffs.groupBy("root", "bin").agg(F.count("*").alias("n")), "join_bins")
@@ -431,7 +431,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     doubtful = stage(spark, pairs.where((F.col("a") + F.col("b") >= CLOSE) & (F.abs(F.col("a") - F.col("b")) <= CLOSE + 1)).select("root", "a", "b", "n_a", "n_b"), "join_pairs")
     block = F.shiftleft("bin", 32) + F.pmod(F.xxhash64("set"), F.ceil(F.col("n_a") / BLOCK))
     cut = diffs.join(doubtful.select("root", F.col("a").alias("bin"), "n_a").distinct(), ["root", "bin"]).select("root", block.alias("block"), "set", "size", "gone", "centre", "diff")
-    blocks = stage(spark, cut.repartition("root", "block").sortWithinPartitions("root", "block", "set").mapInArrow(packed, "root long, block long, sets binary"), "join_blocks")
+    blocks = stage(spark, cut.repartition("root", "block").sortWithinPartitions("root", "block", "set").mapInArrow(lean(packed), "root long, block long, sets binary"), "join_blocks")
     # Each block meets the blocks of its doubtful bins, at most STRIDE of them in a task.
     names = blocks.select("root", F.col("block").alias("mine"), F.shiftright("block", 32).alias("a"))
     stride = F.shiftleft("b", 32) + F.floor(F.expr("other & 4294967295") / STRIDE)
@@ -442,7 +442,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
     strides = others.drop("sets").join(targets, ["root", "b"]).select("root", "mine", stride.alias("stride")).distinct()
     own = blocks.select("root", F.col("block").alias("mine"), "sets").join(strides, ["root", "mine"]).withColumn("other", F.lit(-1).cast("long")).select(*columns)
     met = met.union(own).repartition("root", "mine", "stride").sortWithinPartitions("root", "mine", "stride", "other")
-    found = stage(spark, met.mapInArrow(across, result), "join_links")
+    found = stage(spark, met.mapInArrow(lean(across), result), "join_links")
     roots = components(spark, found.where("n_links is null").select(F.col("set").alias("a"), F.col("label").alias("b")))
     counts = found.where("n_links is not null").groupBy("set").agg(F.sum("n_links").alias("counted"))
     every = diffs.select("set", F.when(F.col("bin") < CLOSE, F.col("root")).otherwise(F.col("set")).alias("label"), "root", "bin").join(sure, ["root", "bin"], "left").join(counts, "set", "left")

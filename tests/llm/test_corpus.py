@@ -35,6 +35,45 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_broadcast_no_table_of_two_keys(spark, monkeypatch):
+    """Such a table takes a page of each executor, however small it is, and each round would leave two of them."""
+    import cinderloom.llm.components as module
+
+    plans, stage = [], module.stage
+
+    def seen(spark, df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(spark, df, name)
+
+    monkeypatch.setattr(module, "stage", seen)
+    components(spark, spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    keys = re.findall(r"(?:BroadcastHashJoin|SortMergeJoin(?:\(skew=true\))?) \[([^\]]*)\]", "".join(plans))
+    assert any("," in k for k in keys)
+    assert not [k for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", "".join(plans)) if "," in k]
+
+
+def test_workers_give_free_memory_back():
+    from cinderloom.llm.common import lean
+
+    pins = []
+
+    def run(batches):
+        blocks = [b"x" * (100_000 + i) for i in range(2000)]
+        pins.extend(blocks[::20])  # the rest is free, between blocks that are not
+        del blocks
+        yield from batches
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    assert list(run(iter([1]))) == [1]
+    kept = resident()
+    assert list(lean(run)(iter([1]))) == [1]
+    assert resident() < kept - 100
+
+
 # --- operator 10 ---
 
 

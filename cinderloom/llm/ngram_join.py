@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CHARS, ITEMS, body, bounded_batches, chunks, discard, documents, lean, mix, prefix, ranges, shared_dir, stage, stretch, unused, utf8, words_of
-from .components import components
+from .components import components, labels
 
 WORDS, THRESHOLD = 5, 0.8
 #: Positions of a signature; levels of the recursion; sets that a node compares by brute force at most.
@@ -184,25 +185,6 @@ def maybe_wanted(rows: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
     return met.where(F.col(bits).bitwiseAND(F.col(bit)) != 0).select(*rows.columns)
 
 
-def _labels(n: int, pairs: np.ndarray) -> np.ndarray:
-    """For each of n items the smallest item that the pairs connect it with."""
-    root = np.arange(n)
-    if len(pairs):
-        a, b = pairs.T
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-    while (root[root] != root).any():
-        root = root[root]
-    return root
-
-
 def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Edges (a, b) whose components hold all pairs at the threshold, met in ``runs()`` runs; sets: (set, vector).
 
@@ -221,7 +203,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
         for group in _groups(batches):
             name, v = group["set"].to_numpy(), _vectors(group["vector"])
             same = sum((v[:, None, k] == v[None, :, k]).astype(np.int16) for k in range(WIDTH))
-            label = _labels(len(name), np.argwhere(np.triu(same >= NEAR * WIDTH, 1)))
+            label = labels(len(name), np.argwhere(np.triu(same >= NEAR * WIDTH, 1)))
             if len(far := np.flatnonzero(label != np.arange(len(name)))):
                 yield pa.RecordBatch.from_arrays([pa.array(name[far]), pa.array(name[label[far]])], ["a", "b"])
 
@@ -237,7 +219,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(top), pa.array(same >= REACH * WIDTH), lists], ["set", "top", "near", "next"])
 
     bounded_batches(spark)
-    edges, staged = [], []
+    edges, smalls, staged = [], [], []
     rows = sets.mapInArrow(lean(begin), "node long, set long")
     for level in range(1, LEVELS + 1):
         rows = stage(spark, rows, "join_rows")
@@ -250,10 +232,7 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
             sets = stage(spark, sets.join(met.select("set").distinct().hint("merge"), "set", "left_semi"), "join_vectors")
             staged.append(sets)
         few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
-        # Nodes with the same sets are compared once.
-        once = few.groupBy("node", "n").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("all"), F.min("set").alias("low")).groupBy("all", "n", "low").agg(F.min("node").alias("node"))
-        few = few.join(once.select("node"), "node", "left_semi").join(sets, "set").select("node", "set", "vector")
-        edges.append(few.repartition("node").sortWithinPartitions("node", "set").mapInArrow(lean(brute), "a long, b long"))
+        smalls.append(few.select("node", "set", "n"))
         if level == LEVELS:
             edges.append(many.where("set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
             break
@@ -265,10 +244,12 @@ def candidates(spark: SparkSession, sets: DataFrame) -> tuple[DataFrame, list[Da
         staged += [tops, judged := stage(spark, judged.mapInArrow(lean(pivot), "set long, top long, near boolean, next array<long>"), "join_pivots")]
         edges.append(judged.where("near and set != top").select(F.col("set").alias("a"), F.col("top").alias("b")))
         rows = judged.where("set != top").select(F.explode("next").alias("node"), "set")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out, staged
+    # Small nodes of all levels together.  Nodes with the same sets are compared once.
+    few = reduce(DataFrame.union, smalls)
+    once = few.groupBy("node", "n").agg(F.sum(F.xxhash64("set").cast("decimal(38,0)")).alias("all"), F.min("set").alias("low")).groupBy("all", "n", "low").agg(F.min("node").alias("node"))
+    few = few.join(once.select("node"), "node", "left_semi").join(sets, "set").select("node", "set", "vector")
+    met = few.repartition("node").sortWithinPartitions("node", "set").mapInArrow(lean(brute), "a long, b long")
+    return reduce(DataFrame.union, edges, met), staged
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -335,7 +316,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
             name, sets = group["set"].to_numpy(), _unpacked(group["grams"])
             link = _linked(sets, sets)
             np.fill_diagonal(link, False)
-            label = _labels(len(name), np.argwhere(np.triu(link)))
+            label = labels(len(name), np.argwhere(np.triu(link)))
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(name[label]), pa.array(link.sum(1))], ["set", "label", "n_links"])
 
     def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +377,7 @@ def exact_links(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> Data
                         joins.append(np.unique(np.stack(ends, 1), axis=0))
             edge = np.concatenate(joins) if joins else np.zeros((0, 2), np.int64)
             node, place = np.unique(edge, return_inverse=True)
-            label = _labels(len(node), place.reshape(-1, 2))
+            label = labels(len(node), place.reshape(-1, 2))
             far = label != np.arange(len(node))
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.nulls(len(name), pa.int64()), pa.array(total)], ["set", "label", "n_links"])
             yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]]), pa.nulls(int(far.sum()), pa.int64())], ["set", "label", "n_links"])
